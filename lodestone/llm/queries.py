@@ -25,6 +25,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.media import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -38,5 +56,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op7_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op7_simhash, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
