@@ -50,11 +50,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op7_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op7_simhash, op9_personal_data, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
