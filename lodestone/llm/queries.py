@@ -43,6 +43,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.substrings import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -62,5 +68,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op7_simhash, op9_personal_data, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op6_substring_dedup, op7_simhash, op9_personal_data, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
