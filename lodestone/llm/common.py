@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,14 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is spark.checkpoint.dir where it is set; a temporary folder serves only where it is not (tests).
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
-def arrow_struct(rows: list[dict], kind: pa.StructType) -> pa.StructArray:
-    return pa.array(rows, type=kind)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def per_text(fn: Callable[[list[str | None]], pa.Array], returns: DataType | str) -> Callable[[Column], Column]:

@@ -27,13 +27,13 @@ FREQUENT = 255
 
 
 def in_chunks(docs: DataFrame, chunk_bytes: int = 16 << 20, least_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
-    """doc_id, text, chunk and the number of chunks, about ``chunk_bytes`` of text each; of fewer bytes where this
+    """doc_id, text, text_hash, chunk; and the number of chunks, about ``chunk_bytes`` of text each; of fewer bytes where this
     keeps more tasks busy."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, total // chunk_bytes + 1, min(tasks, total // least_bytes + 1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
     return rows.repartition(int(n), "chunk"), int(n)
 
 

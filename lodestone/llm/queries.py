@@ -56,6 +56,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffixes import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text", "text_hash")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.pii import digests
 
@@ -68,5 +74,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op6_substring_dedup, op7_simhash, op9_personal_data, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op6_substring_dedup, op7_simhash, op8_suffix_dedup, op9_personal_data, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
