@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_text
-from lodestone.llm.pretokens import pretokens
+from lodestone.llm.pretokens import Words, pretokens
 
 MIX = 0x9E3779B97F4A7C15
 
@@ -136,29 +136,24 @@ class Codec:
         self.table = table
         self.ranks = dict(zip(table.keys, table.values.tolist(), strict=True))
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.known: dict[str, str] = {}
+        self.clear()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        new = list(words)
-        coded = [w.encode() for w in new]
-        for w, raw, value in zip(new, coded, self.table.find(coded).tolist(), strict=True):
-            self.known[w] = str(value) if value >= 0 else ",".join(map(str, merge(raw, self.ranks)))
+    def clear(self) -> None:
+        self.words, self.ids = Words(), []
+
+    def learn(self, words: list[str]) -> None:
+        coded = [w.encode() for w in words]
+        self.ids += [str(v) if v >= 0 else ",".join(map(str, merge(raw, self.ranks))) for raw, v in zip(coded, self.table.find(coded).tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by commas."""
         out = []
         for _, tokens, counts in pretokens(texts):
-            distinct = set(tokens)
-            if len(self.known) > self.CACHE:
-                self.known.clear()
-            if missing := distinct.difference(self.known):
-                self.learn(missing)
-                missing = distinct.difference(self.known)  # after the cache was emptied
-                if missing:
-                    self.learn(missing)
-            ids = list(map(self.known.__getitem__, tokens))
+            if len(self.words) > self.CACHE:
+                self.clear()
+            which = list(map(self.words.__getitem__, tokens))
+            self.learn(self.words.taken())
+            ids = list(map(self.ids.__getitem__, which))
             at = 0
             for c in counts.tolist():
                 out.append(",".join(ids[at : at + c]))

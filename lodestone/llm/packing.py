@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
-from lodestone.llm.pretokens import pretokens
+from lodestone.llm.pretokens import Words, pretokens
 
 ENCODERS: dict[str, WordEncoder] = {}
 
@@ -40,38 +41,56 @@ class WordEncoder:
     vocabulary's special strings are encoded whole.
     """
 
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.begins[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
+        self.words = Words()
+        self.sizes, self.starts = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int64)
+        self.flat, self.used = np.zeros(1 << 19, np.uint32), 0
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        """Ids of new words. Those of a space and letters are encoded many at a time: the space tells them apart."""
+        many = np.array([w[0] == " " and w[1:].isalpha() for w in words], bool)
+        some = [w for w, m in zip(words, many.tolist(), strict=True) if m]
+        texts = ["".join(some[i : i + 500]) for i in range(0, len(some), 500)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        one = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        one_sizes = np.diff(np.flatnonzero(self.begins[one]), append=len(one))
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, m in zip(words, many.tolist(), strict=True) if not m], add_special_tokens=False)]
+        sizes = np.concatenate([one_sizes, np.fromiter(map(len, rest), np.int64, len(rest))]).astype(np.int32)
+        ids = np.concatenate([one, np.fromiter(chain.from_iterable(rest), np.uint32)])
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        b = len(self.words)
+        numbers = np.arange(b - len(words), b)
+        numbers = np.concatenate([numbers[many], numbers[~many]])
+        while b > len(self.sizes):
+            self.sizes, self.starts = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.sizes[numbers], self.starts[numbers] = sizes, starts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         for _, tokens, counts in pretokens(["" if i in odd else t for i, t in enumerate(texts)]):
-            distinct = set(tokens)
-            if len(self.number) > self.CACHE:
+            if len(self.words) > self.CACHE:
                 self.clear()
-            if missing := list(distinct.difference(self.number)):
-                self.learn(missing)
-            which = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-            sizes = self.sizes[which]
+            which = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+            if self.words.new:
+                self.learn(self.words.taken())
+            sizes = self.sizes[which].astype(np.int64)
             ends = np.cumsum(sizes)
             ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[which] - (ends - sizes), sizes)]
             at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]

@@ -68,14 +68,25 @@ def pretokens(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, list
         joined = "\0".join(texts[a:b]) + "\0"
         breaks = np.cumsum(np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a)) - 1
         starts = boundaries(joined, breaks)
-        at = starts.tolist()
-        tokens = [joined[i:j] for i, j in zip(at, at[1:], strict=False)]
         places = np.searchsorted(starts, breaks)  # of the separators among the tokens
-        counts = np.diff(places, prepend=-1) - 1
-        for p in reversed(places.tolist()) if len(places) < 50 else ():
-            del tokens[p]
-        if len(places) >= 50:
-            keep = np.ones(len(tokens), bool)
-            keep[places] = False
-            tokens = [t for t, k in zip(tokens, keep.tolist(), strict=True) if k]
-        yield a, tokens, counts
+        keep = np.ones(len(starts) - 1, bool)
+        keep[places] = False
+        tokens = [joined[i:j] for i, j in zip(starts[:-1][keep].tolist(), starts[1:][keep].tolist(), strict=True)]
+        yield a, tokens, np.diff(places, prepend=-1) - 1
+
+
+class Words(dict):
+    """Numbers of distinct pre-tokens in order of appearance; ``new`` are those that have just been numbered."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
