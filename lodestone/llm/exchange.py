@@ -26,7 +26,7 @@ CELL_BITS = 40
 FREQUENT = 255
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = 16 << 20, least_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
+def in_chunks(docs: DataFrame, chunk_bytes: int = 6 << 20, least_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
     """doc_id, text, text_hash, chunk; and the number of chunks, about ``chunk_bytes`` of text each; of fewer bytes where this
     keeps more tasks busy."""
     spark = docs.sparkSession
@@ -110,7 +110,7 @@ def repeated_cells(chunks: DataFrame, n: int, sketch: Callable[[list[int], list[
         return pd.DataFrame(rows, columns=["chunk", "range", "cells", "often"])
 
     sketches = chunks.groupBy("chunk").applyInPandas(local, "chunk int, range int, cells binary, counts binary")
-    return sketches.groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
+    return sketches.repartition(n, "range").groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
 
 
 def read_cells(pdf: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,10 +8,10 @@ A byte is removed if a string of ``size`` bytes that covers it also starts in a
 2. Segments that may repeat are dealt by their gram; equal segments of a chunk once, with the least doc_id. Where a gram
    is very frequent, its windows are sent as segments of their own, dealt by their whole content.
 3. For the distinct segments of a gram, suffixes of each chunk's strings are sorted apart (a shard's transform). The shards'
-   transforms are then merged by iterative refinement of their interleave: each round takes the merged order of all
-   suffixes by h symbols to that by h + 1, by one stable pass over the transform's symbols. Boundaries that appear in
-   round h are places where neighbours share h - 1 symbols, so that after ``size`` rounds the intervals between
-   boundaries are the repeated strings; the suffixes are not sorted again. A segment that is the only one of its gram
+   transforms are then merged by iterative refinement of their interleave: each round takes the merged order of
+   suffixes by h symbols to that by h + 1, by one stable pass over the transform's symbols. A suffix that is alone in its
+   interval after round h shares h - 1 symbols with any other and leaves; after ``size`` rounds the intervals left
+   are the repeated strings; the suffixes are not sorted again. A segment that is the only one of its gram
    is its own interval.
 4. The least doc_id of each interval goes back to the chunks as one bit per window.
 
@@ -35,7 +35,7 @@ from lodestone.llm.substrings import BASE, mix, powers_to
 GRAM = 20
 SLICE = 1 << 18
 #: Suffixes that are merged at once; grams are independent of one another.
-BLOCK = 200_000
+BLOCK = 100_000
 
 
 def buffers(texts: list[bytes], size: int):
@@ -187,11 +187,10 @@ class Transform:
         row = rank[0] - 1
         self.place = np.empty(n, np.int64)
         self.place[row] = np.arange(n)
-        self.symbols, self.before = np.zeros(n, np.uint16), np.zeros(n, np.int64)
+        self.symbols, self.before = np.zeros(n, np.uint16), np.zeros(n, np.int32)
         inner = np.flatnonzero(self.offset > 0)
         self.symbols[row[inner]] = text[inner - 1]
         self.before[row[inner]] = row[inner - 1]
-        self.ends = np.sort(row[ends - 1])
 
     @staticmethod
     def ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
@@ -201,44 +200,42 @@ class Transform:
         out[order] = np.cumsum(np.concatenate(([1], (k[1:] != k[:-1]).astype(np.int64))))
         return out, int(out.max())
 
-    def merged(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all shards in the order of their suffixes by ``depth`` symbols, and the common prefixes of
-        neighbours, up to ``depth``, by refining the interleave from that of the shards one after another."""
+    def repeated(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of all shards whose suffixes share ``depth`` symbols with another, in merged order; where each interval
+        of equal ones begins; and for every row the longest prefix, up to ``depth``, that it shares with any other.
+
+        The interleave begins with the shards one after another. A round puts the rows that precede those of the last
+        round in order, by one stable pass over the transform's symbols: what was in order by h symbols then is by h + 1.
+        Boundaries between intervals appear where the symbols or the last intervals differ. A suffix alone in its
+        interval stays alone whatever precedes it, and so leaves.
+        """
         n = len(self.symbols)
-        rows, block = np.arange(n), np.zeros(n, np.int64)
-        common = np.full(n, -1, np.int64)
-        common[0] = 0
+        rows, block, shared = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         for h in range(1, depth + 1):
             symbol = self.symbols[rows]
             inner = np.flatnonzero(symbol)
             order = inner[np.argsort(symbol[inner], kind="stable")]
             s, b = symbol[order], block[order]
-            edge = np.ones(n, bool)
-            m = len(self.ends)
-            edge[m + 1 :] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-            rows = np.concatenate([self.ends, self.before[rows[order]]])
-            common[edge & (common < 0)] = h - 1
-            if edge.all():
-                break
-            block = np.cumsum(edge)
-        common[common < 0] = depth
-        return rows, common
+            edge = np.ones(len(order) + 1, bool)
+            edge[1:-1] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+            several = ~(edge[:-1] & edge[1:])
+            rows = self.before[rows[order[several]]]
+            block = np.cumsum(edge[:-1], dtype=np.int32)[several]
+            shared[rows] = h
+        return rows, np.flatnonzero(np.diff(block, prepend=-1)), shared
 
 
 def least_documents(strings: list[bytes], shard: np.ndarray, docs: np.ndarray, size: int) -> list[np.ndarray]:
     """For each string, the least document of all strings that hold each of its windows, by the repeated intervals of
     the merged transforms."""
     t = Transform(strings, shard)
-    rows, common = t.merged(size)
-    begin = np.flatnonzero(common < size)
-    place = t.place[rows]
-    owner = t.string[place]
-    least = np.repeat(np.minimum.reduceat(docs[owner], begin), np.diff(begin, append=len(rows)))
-    by_place = np.empty(len(rows), np.int64)
-    by_place[place] = least
+    rows, begin, _ = t.repeated(size)
+    by_place = docs[t.string]
+    if len(rows):
+        place = t.place[rows]
+        by_place[place] = np.repeat(np.minimum.reduceat(docs[t.string[place]], begin), np.diff(begin, append=len(rows)))
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
-    starts = np.flatnonzero(t.offset == 0)
-    for s in starts.tolist():
+    for s in np.flatnonzero(t.offset == 0).tolist():
         i = int(t.string[s])
         out[i] = by_place[s : s + len(strings[i]) - size + 1]
     return out
@@ -311,7 +308,7 @@ def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
 
     found = repeated_cells(chunks, n, lambda _, texts: count_documents(texts, size))
     sent = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(send, sent_as)
-    return sent.groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
+    return sent.repartition(n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
 
 
 def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, n: int, size: int):
