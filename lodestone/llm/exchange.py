@@ -1,7 +1,7 @@
 """Repeated windows of a corpus, found in two passes over the same chunks of documents.
 
-Documents are dealt to chunks by a hash. Pass one: each chunk makes a sketch of its windows, one count-min row over
-2^40 cells, held sparsely as sorted cells with counts that stop at 2 (and one mark for very frequent cells). Sketches
+Documents are dealt to chunks by a hash. Pass one: each chunk makes a sketch of its windows, one count-min row of 16
+times as many cells as the corpus has bytes, held sparsely as sorted cells with counts that stop at 255. Sketches
 are dealt by cell range, so that a task merges one range of all chunks' sketches, and cells with a merged count of two
 or more go back to the chunks that have them. Estimates are never too low: a window whose cell is not among them occurs
 once. Pass two: only windows (or segments) with such a cell are sent, and grouped exactly; what becomes of them goes back
@@ -13,6 +13,7 @@ All steps are grouped by chunk or by range in Spark; the text itself is dealt on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,20 +22,37 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LAST_DOC
 
-CELL_BITS = 40
 #: Local counts go up to this; cells that reach it over all chunks are marked.
 FREQUENT = 255
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = 6 << 20, least_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
-    """doc_id, text, text_hash, chunk; and the number of chunks, about ``chunk_bytes`` of text each; of fewer bytes where this
+@dataclass(frozen=True)
+class Layout:
+    """The number of chunks, which is also that of the ranges of cells, and the number of cells as a power of two."""
+
+    n: int
+    bits: int
+
+    def cell_of(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def range_of(self, cells: np.ndarray) -> np.ndarray:
+        return ((cells * np.uint64(self.n)) >> np.uint64(self.bits)).astype(np.int64)
+
+    def base_of(self, r: int) -> np.uint64:
+        """At or below the first cell of a range."""
+        return np.uint64((r << self.bits) // self.n)
+
+
+def in_chunks(docs: DataFrame, chunk_bytes: int = 6 << 20, least_bytes: int = 1 << 20) -> tuple[DataFrame, Layout]:
+    """doc_id, text, text_hash, chunk; and the layout, with chunks of about ``chunk_bytes`` of text; of fewer bytes where this
     keeps more tasks busy."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, total // chunk_bytes + 1, min(tasks, total // least_bytes + 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
-    return rows.repartition(int(n), "chunk"), int(n)
+    return rows.repartition(int(n), "chunk"), Layout(int(n), min(40, max(24, int(total).bit_length() + 4)))
 
 
 def ordered(pdf: pd.DataFrame) -> tuple[list[int], list[bytes], np.ndarray]:
@@ -45,14 +63,6 @@ def ordered(pdf: pd.DataFrame) -> tuple[list[int], list[bytes], np.ndarray]:
     return [ids[i] for i in order], [texts[i] for i in order], np.array(order, np.int64)
 
 
-def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - CELL_BITS)
-
-
-def range_of(cells: np.ndarray, ranges: int) -> np.ndarray:
-    return ((cells * np.uint64(ranges)) >> np.uint64(CELL_BITS)).astype(np.int64)
-
-
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending integers as differences in 16 bits; 65535 stands for itself, to be continued."""
     if not len(values):
@@ -69,26 +79,22 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64))[steps != 65535].astype(np.uint64)
 
 
-def by_range(cells: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+def by_range(cells: np.ndarray, lay: Layout) -> Iterator[tuple[int, int, int]]:
     """Ranges present in sorted cells, with the places of their first and last cell."""
-    which = range_of(cells, ranges)
+    which = lay.range_of(cells)
     cuts = np.flatnonzero(np.diff(which, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cells)], strict=True):
         yield int(which[a]), a, b
 
 
-def base_of(r: int, ranges: int) -> int:
-    return (r << CELL_BITS) // ranges
-
-
-def repeated_cells(chunks: DataFrame, n: int, sketch: Callable[[list[int], list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def repeated_cells(chunks: DataFrame, lay: Layout, sketch: Callable[[list[int], list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(chunk, cells, often): for each chunk and range its cells that are estimated repeated, packed, and one bit for
     each that says whether it is very frequent. ``sketch`` gives a chunk's distinct sorted cells and their counts."""
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, texts, _ = ordered(pdf)
         cells, counts = sketch(ids, texts)
-        rows = [(int(pdf["chunk"].iloc[0]), r, pack_sorted(cells[a:b] - np.uint64(base_of(r, n))), np.minimum(counts[a:b], FREQUENT).astype(np.uint8).tobytes()) for r, a, b in by_range(cells, n)]
+        rows = [(int(pdf["chunk"].iloc[0]), r, pack_sorted(cells[a:b] - lay.base_of(r)), np.minimum(counts[a:b], FREQUENT).astype(np.uint8).tobytes()) for r, a, b in by_range(cells, lay)]
         return pd.DataFrame(rows, columns=["chunk", "range", "cells", "counts"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,13 +116,13 @@ def repeated_cells(chunks: DataFrame, n: int, sketch: Callable[[list[int], list[
         return pd.DataFrame(rows, columns=["chunk", "range", "cells", "often"])
 
     sketches = chunks.groupBy("chunk").applyInPandas(local, "chunk int, range int, cells binary, counts binary")
-    return sketches.repartition(n, "range").groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
+    return sketches.repartition(lay.n, "range").groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
 
 
-def read_cells(pdf: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def read_cells(pdf: pd.DataFrame, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's repeated cells, sorted, and which are very frequent."""
     rows = sorted(zip(pdf["range"], pdf["cells"], pdf["often"], strict=True))
-    cells = [unpack_sorted(c) + np.uint64(base_of(int(r), n)) for r, c, _ in rows]
+    cells = [unpack_sorted(c) + lay.base_of(int(r)) for r, c, _ in rows]
     often = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for c, (_, _, o) in zip(cells, rows, strict=True)]
     return (np.concatenate(cells), np.concatenate(often)) if rows else (np.zeros(0, np.uint64), np.zeros(0, bool))
 

@@ -17,8 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodestone.llm import exchange
-from lodestone.llm.exchange import Among, by_range, cell_of, in_chunks, ordered, range_of, read_cells, repeated_cells
+from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, unpack_sorted
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -99,8 +98,8 @@ def second_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return (window_hashes(mix(words ^ np.uint64(OTHER)), size, WIDE) >> np.uint64(32)).astype(np.uint32)
 
 
-def count_cells(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    cells = [cell_of(window_hashes(word_hashes(t), size, WIDE)) for t in texts]
+def count_cells(texts: list[bytes], size: int, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    cells = [lay.cell_of(window_hashes(word_hashes(t), size, WIDE)) for t in texts]
     every = np.sort(np.concatenate(cells)) if cells else np.zeros(0, np.uint64)
     first = np.flatnonzero(np.diff(every, prepend=np.uint64(2**63)) != 0)
     return every[first], np.diff(first, append=len(every))
@@ -109,13 +108,14 @@ def count_cells(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 class Candidates:
     """Windows of a chunk with a repeated cell: each distinct one once, in order of its first place."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], size: int, cells: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[bytes], size: int, cells: np.ndarray, lay: Layout):
+        self.lay = lay
         among, keys, checks, docs, places = Among(cells), [], [], [], []
         self.words: list[int] = []
         for i, w in enumerate(map(word_hashes, texts)):
             self.words.append(len(w))
             h = window_hashes(w, size, WIDE)
-            hit = np.flatnonzero(among(cell_of(h)) >= 0)
+            hit = np.flatnonzero(among(lay.cell_of(h)) >= 0)
             if len(hit):
                 keys.append(h[hit])
                 checks.append(second_hashes(w, size)[hit])
@@ -138,15 +138,15 @@ class Candidates:
         self.count = np.bincount(self.group, minlength=len(self.first)) if len(order) else np.zeros(0, np.int64)
         self.ids = np.array(ids, np.int64)
 
-    def by_shard(self, n: int) -> list[tuple[int, np.ndarray]]:
+    def by_shard(self) -> list[tuple[int, np.ndarray]]:
         """Groups of each range of cells, in order of first place."""
-        shard = range_of(cell_of(self.key[self.first]), n)
+        shard = self.lay.range_of(self.lay.cell_of(self.key[self.first]))
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         return [(int(shard[order[a]]), order[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
 
 
-def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
+def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
     """(chunk, shard, range, cells, often, flags): repeated cells again, and two bits for each distinct candidate of a
     chunk and shard: whether its window occurs twice or more, and whether its first occurrence is in this chunk."""
 
@@ -154,10 +154,10 @@ def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
         rows = []
         if len(pdf) and len(found):
             chunk = int(pdf["chunk"].iloc[0])
-            cells, _ = read_cells(found, n)
-            c = Candidates(*ordered(pdf)[:2], size, cells)
+            cells, _ = read_cells(found, lay)
+            c = Candidates(*ordered(pdf)[:2], size, cells, lay)
             own = {int(r): x for r, x in zip(found["range"], found["cells"], strict=True)}
-            for shard, groups in c.by_shard(n):
+            for shard, groups in c.by_shard():
                 at = c.first[groups]
                 rows.append((chunk, shard, own[shard], c.key[at].tobytes(), c.check[at].tobytes(), c.ids[c.doc[at]].tobytes(), np.diff(c.place[at], prepend=0).astype(np.int32).tobytes(), (c.count[groups] > 1).tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "shard", "cells", "keys", "checks", "docs", "places", "twice"])
@@ -182,9 +182,9 @@ def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
         rows = [(int(chunk), int(pdf["shard"].iloc[0]), cells, np.packbits(flags[e - len(x) : e].ravel()).tobytes()) for chunk, cells, x, e in zip(pdf["chunk"], pdf["cells"], keys, ends, strict=True)]
         return pd.DataFrame(rows, columns=["chunk", "shard", "cells", "flags"])
 
-    found = repeated_cells(chunks, n, lambda _, texts: count_cells(texts, size))
+    found = repeated_cells(chunks, lay, lambda _, texts: count_cells(texts, size, lay))
     sent = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(send, "chunk int, shard int, cells binary, keys binary, checks binary, docs binary, places binary, twice binary")
-    return sent.repartition(n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, flags binary")
+    return sent.repartition(lay.n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, flags binary")
 
 
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -195,16 +195,16 @@ def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def removed_words(pdf: pd.DataFrame, back: pd.DataFrame, n: int, size: int):
+def removed_words(pdf: pd.DataFrame, back: pd.DataFrame, lay: Layout, size: int):
     """For each document of a chunk in order: its bytes and which of its words go."""
     ids, texts, order = ordered(pdf)
     back = back.sort_values("shard")
-    cells = [exchange.unpack_sorted(c) + np.uint64(exchange.base_of(int(s), n)) for s, c in zip(back["shard"], back["cells"], strict=True)]
-    c = Candidates(ids, texts, size, np.concatenate(cells) if cells else np.zeros(0, np.uint64))
+    cells = [unpack_sorted(c) + lay.base_of(int(s)) for s, c in zip(back["shard"], back["cells"], strict=True)]
+    c = Candidates(ids, texts, size, np.concatenate(cells) if cells else np.zeros(0, np.uint64), lay)
     gone = np.zeros(len(c.first), bool)  # windows of the group that are not its first
     stays = np.zeros(len(c.first), bool)  # its first in this chunk is the first of all
     flags = {int(s): f for s, f in zip(back["shard"], back["flags"], strict=True)}
-    for shard, groups in c.by_shard(n):
+    for shard, groups in c.by_shard():
         bits = np.unpackbits(np.frombuffer(flags[shard], np.uint8), count=2 * len(groups)).reshape(-1, 2).astype(bool)
         gone[groups], stays[groups] = bits[:, 0], bits[:, 1]
     # The windows that stay: those at the same document and place as a first that is the first of all.
@@ -223,11 +223,11 @@ def removed_words(pdf: pd.DataFrame, back: pd.DataFrame, n: int, size: int):
 
 def remove_repeated(docs: DataFrame, size: int = 20, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space; null if not asked for) and kept_sha256."""
-    chunks, n = in_chunks(docs)
+    chunks, lay = in_chunks(docs)
 
     def finish(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for i, text, gone in removed_words(pdf, back, n, size) if len(pdf) else ():
+        for i, text, gone in removed_words(pdf, back, lay, size) if len(pdf) else ():
             words = text.split()
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
             doc = pdf["doc_id"].iloc[i]
@@ -235,5 +235,5 @@ def remove_repeated(docs: DataFrame, size: int = 20, with_text: bool = True) ->
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
         return out.astype({"doc_id": "Int64"})
 
-    back = verdicts(chunks, n, size)
+    back = verdicts(chunks, lay, size)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

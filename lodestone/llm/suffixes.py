@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LAST_DOC
-from lodestone.llm.exchange import Among, base_of, cell_of, in_chunks, ordered, range_of, read_cells, repeated_cells, unpack_sorted
+from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, unpack_sorted
 from lodestone.llm.substrings import BASE, mix, powers_to
 
 GRAM = 20
@@ -64,7 +64,7 @@ def buffers(texts: list[bytes], size: int):
 class Segments:
     """All segments of a chunk: document, place in it, number of windows, gram and a hash of the content."""
 
-    def __init__(self, texts: list[bytes], size: int, among: Among | None = None, often: np.ndarray | None = None):
+    def __init__(self, texts: list[bytes], size: int, lay: Layout, among: Among | None = None, often: np.ndarray | None = None):
         parts: list[tuple[np.ndarray, ...]] = []
         most = size - GRAM + 1
         for data, docs, offsets, places, lengths in buffers(texts, size):
@@ -98,7 +98,7 @@ class Segments:
                 begin = begin[which] + inner * most
             start, key = at[begin], gram[begin]
             if among is not None:
-                found = among(cell_of(key))
+                found = among(lay.cell_of(key))
                 start, key, count, found = (x[found >= 0] for x in (start, key, count, found))
                 hot = often[found]
                 if hot.any():  # each window for itself, dealt by its content
@@ -118,10 +118,10 @@ class Segments:
         self.doc, self.place, self.count, self.key, self.content = (np.concatenate(c).astype(k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)) if parts else (np.zeros(0, k) for k in kinds)
 
 
-def count_documents(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+def count_documents(texts: list[bytes], size: int, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted cells of a chunk, and in how many of its documents each occurs."""
-    s = Segments(texts, size)
-    cells = cell_of(s.key)
+    s = Segments(texts, size, lay)
+    cells = lay.cell_of(s.key)
     order = np.lexsort((s.doc, cells))
     c, d = cells[order], s.doc[order]
     new = np.ones(len(c), bool)
@@ -134,8 +134,9 @@ def count_documents(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarr
 class Distinct:
     """Segments of a chunk that may repeat, and the distinct ones in order of their first place."""
 
-    def __init__(self, texts: list[bytes], size: int, cells: np.ndarray, often: np.ndarray):
-        self.all = s = Segments(texts, size, Among(cells), often)
+    def __init__(self, texts: list[bytes], size: int, lay: Layout, cells: np.ndarray, often: np.ndarray):
+        self.lay = lay
+        self.all = s = Segments(texts, size, lay, Among(cells), often)
         order = np.lexsort((s.count, s.content, s.key))
         new = np.ones(len(order), bool)
         if len(order):
@@ -148,8 +149,8 @@ class Distinct:
         rank[np.argsort(first)] = np.arange(len(first))
         self.group, self.first = rank[group], np.sort(first)
 
-    def by_shard(self, n: int) -> list[tuple[int, np.ndarray]]:
-        shard = range_of(cell_of(self.all.key[self.first]), n)
+    def by_shard(self) -> list[tuple[int, np.ndarray]]:
+        shard = self.lay.range_of(self.lay.cell_of(self.all.key[self.first]))
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         return [(int(shard[order[a]]), order[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
@@ -273,7 +274,7 @@ def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, do
     return best[at] < np.repeat(docs, counts)
 
 
-def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
+def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
     """(chunk, shard, cells, often, bits) for each chunk: its repeated cells, and a bit for each window of its distinct
     segments, by shard in order of first place."""
     sent_as = "chunk int, shard int, cells binary, often binary, keys binary, counts binary, docs binary, text binary"
@@ -283,9 +284,9 @@ def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
         if len(pdf) and len(found):
             chunk = int(pdf["chunk"].iloc[0])
             ids, texts, _ = ordered(pdf)
-            d = Distinct(texts, size, *read_cells(found, n))
+            d = Distinct(texts, size, lay, *read_cells(found, lay))
             s, known = d.all, np.array(ids, np.int64)
-            shards = dict(d.by_shard(n))
+            shards = dict(d.by_shard())
             own = {int(r): (c, o) for r, c, o in zip(found["range"], found["cells"], found["often"], strict=True)}
             for shard in sorted({*shards, *own}):
                 at = d.first[shards.get(shard, np.zeros(0, np.int64))]
@@ -306,24 +307,24 @@ def verdicts(chunks: DataFrame, n: int, size: int) -> DataFrame:
         rows = [(int(k), int(pdf["shard"].iloc[0]), c, o, np.packbits(bits[e - int(x.sum()) : e]).tobytes()) for k, c, o, x, e in zip(pdf["chunk"], pdf["cells"], pdf["often"], counts, ends, strict=True)]
         return pd.DataFrame(rows, columns=["chunk", "shard", "cells", "often", "bits"])
 
-    found = repeated_cells(chunks, n, lambda _, texts: count_documents(texts, size))
+    found = repeated_cells(chunks, lay, lambda _, texts: count_documents(texts, size, lay))
     sent = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(send, sent_as)
-    return sent.repartition(n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
+    return sent.repartition(lay.n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
 
 
-def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, n: int, size: int):
+def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, lay: Layout, size: int):
     """For each document of a chunk: the row's place, its bytes and which of them go."""
     ids, texts, order = ordered(pdf)
     back = back.sort_values("shard")
-    cells = [unpack_sorted(c) + np.uint64(base_of(int(r), n)) for r, c in zip(back["shard"], back["cells"], strict=True)]
+    cells = [unpack_sorted(c) + lay.base_of(int(r)) for r, c in zip(back["shard"], back["cells"], strict=True)]
     often = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for c, o in zip(cells, back["often"], strict=True)]
-    d = Distinct(texts, size, np.concatenate(cells) if cells else np.zeros(0, np.uint64), np.concatenate(often) if often else np.zeros(0, bool))
+    d = Distinct(texts, size, lay, np.concatenate(cells) if cells else np.zeros(0, np.uint64), np.concatenate(often) if often else np.zeros(0, bool))
     s = d.all
     counts = s.count[d.first]
     ends = np.cumsum(counts)
     bits = np.zeros(int(counts.sum()), bool)
     flags = {int(k): b for k, b in zip(back["shard"], back["bits"], strict=True)}
-    for shard, groups in d.by_shard(n):
+    for shard, groups in d.by_shard():
         own = counts[groups]
         got = np.unpackbits(np.frombuffer(flags[shard], np.uint8), count=int(own.sum())).astype(bool)
         bits[np.arange(len(got)) + np.repeat((ends - counts)[groups] - (np.cumsum(own) - own), own)] = got
@@ -350,18 +351,18 @@ def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, n: int, size: int):
 def remove_repeated(docs: DataFrame, size: int = 50, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes, and the remaining text (without the
     bytes of characters that were cut in two; null if not asked for) with the hash of the text it came from."""
-    chunks, n = in_chunks(docs)
+    chunks, lay = in_chunks(docs)
 
     def finish(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for i, text, gone in removed_bytes(pdf, back, n, size) if len(pdf) else ():
+        for i, text, gone in removed_bytes(pdf, back, lay, size) if len(pdf) else ():
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
             spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0
             doc = pdf["doc_id"].iloc[i]
             rows.append((None if doc is None or doc != doc else int(doc), len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None, int(pdf["text_hash"].iloc[i])))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_hash"]).astype({"doc_id": "Int64"})
 
-    back = verdicts(chunks, n, size)
+    back = verdicts(chunks, lay, size)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, text_hash long")
 
 
