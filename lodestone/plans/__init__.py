@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingestion",)
+MODULES = ("ingestion", "retrieval")
 
 
 def queries() -> dict:
