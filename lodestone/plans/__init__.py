@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingestion", "retrieval")
+MODULES = ("ingestion", "retrieval", "structured", "routing", "graph")
 
 
 def queries() -> dict:
