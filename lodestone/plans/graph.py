@@ -128,7 +128,7 @@ def normalize_entity_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).select("mention_id", normalize_name(F.col("name")).alias("name"))
 
 
-@query("SELECT 'unknown_document' AS rule, CAST(s_suppkey AS VARCHAR) AS detail FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT DISTINCT 'unknown_endpoint', CAST(20000000 + s_nationkey AS VARCHAR) FROM supplier UNION ALL SELECT 'doubled_reference', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey < 4")
+@query("SELECT 'unknown_document' AS rule, CAST(s_suppkey AS VARCHAR) AS detail FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT 'unknown_document', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 10 = 0 AND s_suppkey < 4 UNION ALL SELECT DISTINCT 'unknown_endpoint', CAST(20000000 + s_nationkey AS VARCHAR) FROM supplier UNION ALL SELECT 'doubled_reference', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey < 4")
 def validate_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = mentions(spark, sf_dir).filter("mention_id < 10000000")
     own = own.unionByName(own.filter("mention_id < 4"))
