@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import per_text
+from lodestone.llm.common import per_text, worker_state
 from lodestone.llm.pretokens import Words, pretokens
 
 MIX = 0x9E3779B97F4A7C15
@@ -169,20 +169,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-CODECS: dict[int, Codec] = {}
-
-
 def shared_codec(spark: SparkSession, path: str):
     """A broadcast of the perfect hash: its size is that of the vocabulary file."""
     return spark.sparkContext.broadcast(PerfectHash.build(read_ranks(path)))
 
 
 def worker_codec(shared) -> Codec:
-    key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared.value)
-    if key not in CODECS:
-        CODECS.clear()
-        CODECS[key] = Codec(shared.value)
-    return CODECS[key]
+    table = shared.value
+    return worker_state(("codec", hash(table.keys)), lambda: Codec(table))
 
 
 def encode(text: Column, spark: SparkSession, path: str) -> Column:

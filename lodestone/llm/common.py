@@ -53,6 +53,22 @@ def per_text(fn: Callable[[list[str | None]], pa.Array], returns: DataType | str
     return F.arrow_udf(run, returns)
 
 
+#: What a Python worker keeps between tasks: of one operator at a time, since workers live longer than stages.
+STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this worker until another operator needs room."""
+    if key not in STATE:
+        STATE.clear()
+        STATE[key] = make()
+    return STATE[key]
+
+
+def release_worker_state() -> None:
+    STATE.clear()
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose sizes add up to about ``most``; a larger item stands alone."""
     begin, total = 0, 0

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LAST_DOC
+from lodestone.llm.common import LAST_DOC, release_worker_state
 
 #: Local counts go up to this; cells that reach it over all chunks are marked.
 FREQUENT = 255
@@ -92,6 +92,7 @@ def repeated_cells(chunks: DataFrame, lay: Layout, sketch: Callable[[list[int],
     each that says whether it is very frequent. ``sketch`` gives a chunk's distinct sorted cells and their counts."""
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        release_worker_state()
         ids, texts, _ = ordered(pdf)
         cells, counts = sketch(ids, texts)
         rows = [(int(pdf["chunk"].iloc[0]), r, pack_sorted(cells[a:b] - lay.base_of(r)), np.minimum(counts[a:b], FREQUENT).astype(np.uint8).tobytes()) for r, a, b in by_range(cells, lay)]

@@ -28,12 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, worker_state
 from lodestone.llm.pretokens import Words, pretokens
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     """Ids by a byte-level vocabulary of the ``tokenizers`` library, looked up once per distinct pre-token.
 
@@ -101,9 +98,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    return worker_state(("encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
