@@ -28,8 +28,10 @@ FREQUENT = 255
 
 @dataclass(frozen=True)
 class Layout:
-    """The number of chunks, which is also that of the ranges of cells, and the number of cells as a power of two."""
+    """The number of chunks, of ranges of cells, and of cells as a power of two. There are more ranges than chunks, so that
+    what a range gathers is smaller than a chunk."""
 
+    chunks: int
     n: int
     bits: int
 
@@ -52,7 +54,7 @@ def in_chunks(docs: DataFrame, chunk_bytes: int = 6 << 20, least_bytes: int = 1
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, total // chunk_bytes + 1, min(tasks, total // least_bytes + 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
-    return rows.repartition(int(n), "chunk"), Layout(int(n), min(40, max(24, int(total).bit_length() + 4)))
+    return rows.repartition(int(n), "chunk"), Layout(int(n), 4 * int(n), min(40, max(24, int(total).bit_length() + 4)))
 
 
 def ordered(pdf: pd.DataFrame) -> tuple[list[int], list[bytes], np.ndarray]:
@@ -117,7 +119,7 @@ def repeated_cells(chunks: DataFrame, lay: Layout, sketch: Callable[[list[int],
         return pd.DataFrame(rows, columns=["chunk", "range", "cells", "often"])
 
     sketches = chunks.groupBy("chunk").applyInPandas(local, "chunk int, range int, cells binary, counts binary")
-    return sketches.repartition(lay.n, "range").groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
+    return sketches.repartition(lay.chunks, "range").groupBy("range").applyInPandas(merged, "chunk int, range int, cells binary, often binary")
 
 
 def read_cells(pdf: pd.DataFrame, lay: Layout) -> tuple[np.ndarray, np.ndarray]:

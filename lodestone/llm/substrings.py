@@ -184,7 +184,7 @@ def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
 
     found = repeated_cells(chunks, lay, lambda _, texts: count_cells(texts, size, lay))
     sent = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(send, "chunk int, shard int, cells binary, keys binary, checks binary, docs binary, places binary, twice binary")
-    return sent.repartition(lay.n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, flags binary")
+    return sent.repartition(lay.chunks, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, flags binary")
 
 
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:

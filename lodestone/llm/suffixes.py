@@ -242,8 +242,9 @@ def least_documents(strings: list[bytes], shard: np.ndarray, docs: np.ndarray, s
     return out
 
 
-def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
-    """One bit for each window of each segment, in order: whether it also starts in a smaller document."""
+def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, docs: np.ndarray, size: int, ends_of: np.ndarray) -> list[bytes]:
+    """For each run of segments up to one of ``ends_of``, packed bits of its windows in order: whether they also start in
+    a smaller document."""
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
     distinct = list(number)
@@ -269,9 +270,13 @@ def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, do
         if own is not None:
             block.append(own)
             total += int((windows[own] + size).sum())
-    counts = windows[which]
-    at = np.arange(int(counts.sum())) + np.repeat((ends - windows)[which] - (np.cumsum(counts) - counts), counts)
-    return best[at] < np.repeat(docs, counts)
+    out = []
+    for a, b in zip([0, *ends_of[:-1].tolist()], ends_of.tolist(), strict=True):
+        own = which[a:b]
+        counts = windows[own]
+        at = np.arange(int(counts.sum())) + np.repeat((ends - windows)[own] - (np.cumsum(counts) - counts), counts)
+        out.append(np.packbits(best[at] < np.repeat(docs[a:b], counts)).tobytes())
+    return out
 
 
 def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
@@ -302,14 +307,13 @@ def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
             strings += [text[a:b] for a, b in zip(at, at[1:], strict=False)]
         keys, docs = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("keys", np.uint64), ("docs", np.int64)))
         chunk = np.repeat(pdf["chunk"].to_numpy(), [len(c) for c in counts])
-        bits = judge_segments(keys, strings, chunk, docs, size) if strings else np.zeros(0, bool)
-        ends = np.cumsum([c.sum() for c in counts]).astype(np.int64)
-        rows = [(int(k), int(pdf["shard"].iloc[0]), c, o, np.packbits(bits[e - int(x.sum()) : e]).tobytes()) for k, c, o, x, e in zip(pdf["chunk"], pdf["cells"], pdf["often"], counts, ends, strict=True)]
+        bits = judge_segments(keys, strings, chunk, docs, size, np.cumsum([len(c) for c in counts]))
+        rows = [(int(k), int(pdf["shard"].iloc[0]), c, o, x) for k, c, o, x in zip(pdf["chunk"], pdf["cells"], pdf["often"], bits, strict=True)]
         return pd.DataFrame(rows, columns=["chunk", "shard", "cells", "often", "bits"])
 
     found = repeated_cells(chunks, lay, lambda _, texts: count_documents(texts, size, lay))
     sent = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(send, sent_as)
-    return sent.repartition(lay.n, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
+    return sent.repartition(lay.chunks, "shard").groupBy("shard").applyInPandas(judge, "chunk int, shard int, cells binary, often binary, bits binary")
 
 
 def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, lay: Layout, size: int):
