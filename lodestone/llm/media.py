@@ -128,9 +128,11 @@ def children(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[
                     stop = e
             yield kind, body, stop
             at = stop
-        else:
+        elif body + size <= end or kind in TOP:  # of what breaks off, only the large elements are looked into
             yield kind, body, min(body + size, end)
             at = body + size
+        else:
+            return
 
 
 def number(data: bytes, at: int, end: int) -> int:
