@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,14 +251,14 @@ def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, do
     distinct = list(number)
     least = np.full(len(distinct), LAST_DOC, np.int64)
     np.minimum.at(least, which, docs)
-    key, shard = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.int64)
+    key, shard = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     key[which[::-1]], shard[which[::-1]] = keys[::-1], chunk[::-1]
     windows = np.array([len(s) - size + 1 for s in distinct], np.int64)
     ends = np.cumsum(windows)
     best = np.repeat(least, windows)
     order = np.argsort(key, kind="stable")
     k = key[order]
-    first = np.flatnonzero(np.diff(k, prepend=k[0] ^ np.uint64(1)) != 0) if len(k) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(k, prepend=-1) != 0) if len(k) else np.zeros(0, np.int64)
     shared = [order[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True) if b - a > 1]
     block: list[np.ndarray] = []
     total = 0
@@ -292,20 +293,23 @@ def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
             d = Distinct(texts, size, lay, *read_cells(found, lay))
             s, known = d.all, np.array(ids, np.int64)
             shards = dict(d.by_shard())
+            packer = zstandard.ZstdCompressor(level=3)
             own = {int(r): (c, o) for r, c, o in zip(found["range"], found["cells"], found["often"], strict=True)}
             for shard in sorted({*shards, *own}):
                 at = d.first[shards.get(shard, np.zeros(0, np.int64))]
                 text = b"".join([texts[i][p : p + c + size - 1] for i, p, c in zip(s.doc[at].tolist(), s.place[at].tolist(), s.count[at].tolist(), strict=True)])
-                rows.append((chunk, shard, *own.get(shard, (b"", b"")), s.key[at].tobytes(), s.count[at].astype(np.uint8).tobytes(), known[s.doc[at]].tobytes(), text))
+                rows.append((chunk, shard, *own.get(shard, (b"", b"")), s.key[at].astype(np.uint32).tobytes(), s.count[at].astype(np.uint8).tobytes(), known[s.doc[at]].tobytes(), packer.compress(text)))
         return pd.DataFrame(rows, columns=["chunk", "shard", "cells", "often", "keys", "counts", "docs", "text"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in pdf["counts"]]
-        strings = []
+        strings, unpacker = [], zstandard.ZstdDecompressor()
         for own, text in zip(counts, pdf["text"], strict=True):
             at = np.concatenate(([0], np.cumsum(own + size - 1))).tolist()
+            text = unpacker.decompress(text)
             strings += [text[a:b] for a, b in zip(at, at[1:], strict=False)]
-        keys, docs = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("keys", np.uint64), ("docs", np.int64)))
+        # The lower half of a gram's hash is enough to group by: grams that share it are only merged together.
+        keys, docs = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("keys", np.uint32), ("docs", np.int64)))
         chunk = np.repeat(pdf["chunk"].to_numpy(), [len(c) for c in counts])
         bits = judge_segments(keys, strings, chunk, docs, size, np.cumsum([len(c) for c in counts]))
         rows = [(int(k), int(pdf["shard"].iloc[0]), c, o, x) for k, c, o, x in zip(pdf["chunk"], pdf["cells"], pdf["often"], bits, strict=True)]
