@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,10 +21,10 @@ def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.text(path).limit(1).first()
     if head is None:
         raise ValueError("empty file")
-    names = [c.strip() for c in spark.read.option("header", True).csv(path).columns]
+    names = [c.strip().lstrip("\ufeff") for c in next(csv.reader([head[0]]))]
     if any(not n for n in names) or len({n.lower() for n in names}) < len(names):
         raise ValueError("blank or doubled header")
-    schema = StructType([StructField(n.lstrip("﻿"), StringType()) for n in names])
+    schema = StructType([StructField(n, StringType()) for n in names])
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("nullValue", "").option("enforceSchema", True).csv(path)
 
 
