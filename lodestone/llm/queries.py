@@ -75,4 +75,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op6_substring_dedup, op7_simhash, op8_suffix_dedup, op9_personal_data, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+#: Words as the contracts define them, one row each.
+WORDS = """words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents))"""
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": f"""WITH {WORDS},
+keyed AS (SELECT doc_id, i, w, CASE WHEN count(*) OVER f = 20 THEN string_agg(w, ' ') OVER f END AS k FROM words WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id) AS d, arg_min(i, (doc_id, i)) AS p FROM keyed WHERE k IS NOT NULL GROUP BY k),
+marked AS (SELECT doc_id, i, w, bool_or(d IS NOT NULL AND (d, p) <> (doc_id, i)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM keyed LEFT JOIN firsts USING (k)),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op8_suffix_dedup": """WITH h AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..') AS x FROM documents),
+bytes AS (SELECT doc_id, unnest(x) AS b, generate_subscripts(x, 1) AS i FROM h),
+b AS (SELECT doc_id, i, b, CASE WHEN count(*) OVER f = 50 THEN md5_number(string_agg(b, '') OVER f) END AS k FROM bytes WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id) AS d FROM b WHERE k IS NOT NULL GROUP BY k HAVING min(doc_id) < max(doc_id)),
+marked AS (SELECT doc_id, i, b, coalesce(i - max(CASE WHEN d < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) < 50, false) AS gone FROM b LEFT JOIN firsts USING (k)),
+turns AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS t FROM turns GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op10_quality_rules": f"""WITH {WORDS},
+triples AS (SELECT doc_id, i, w, CASE WHEN count(*) OVER f = 3 THEN string_agg(w, ' ') OVER f END AS k FROM words WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+twice AS (SELECT *, k IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k) > 1 AS t FROM triples),
+inside AS (SELECT doc_id, i, w, bool_or(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r FROM twice),
+per_doc AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (r) AS n_repeat_words, count(*) FILTER (w <> lower(w) AND w = upper(w)) AS n_upper FROM inside GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_upper, 0) AS n_upper, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS breaks FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_symbols > 0.2 * greatest(n_words, 1) AND NOT n_dup_lines > 0.3 * (breaks + 1) AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 30 AND NOT n_upper > 0.5 * n_words AS kept FROM counts""",
+}
