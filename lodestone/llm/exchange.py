@@ -50,7 +50,8 @@ def in_chunks(docs: DataFrame, chunk_bytes: int = 6 << 20, least_bytes: int = 1
     """doc_id, text, text_hash, chunk; and the layout, with chunks of about ``chunk_bytes`` of text; of fewer bytes where this
     keeps more tasks busy."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A document counts as 100 bytes at least, so that a chunk does not hold very many empty ones.
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 100)).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, total // chunk_bytes + 1, min(tasks, total // least_bytes + 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))

@@ -123,16 +123,16 @@ class Candidates:
                 places.append(hit.astype(np.int32))
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         self.key, self.check, self.doc, self.place = cat(keys, np.uint64), cat(checks, np.uint32), cat(docs, np.int32), cat(places, np.int32)
-        # Stable, so that the first of equal windows is the first in order of document and place.
-        order = np.lexsort((self.check, self.key))
+        # The first of equal windows is the first in order of document and place.
+        order = np.argsort(mix(self.key + self.check))
         new = np.ones(len(order), bool)
-        if len(order):
-            k, c = self.key[order], self.check[order]
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        k, c = self.key[order], self.check[order]
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        first = order[new]
-        rank = np.argsort(np.argsort(first, kind="stable"), kind="stable")  # groups by first place
+        first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+        rank = np.empty(len(first), np.int64)  # groups by first place
+        rank[np.argsort(first)] = np.arange(len(first))
         self.group = rank[group] if len(order) else group
         self.first = np.sort(first)
         self.count = np.bincount(self.group, minlength=len(self.first)) if len(order) else np.zeros(0, np.int64)

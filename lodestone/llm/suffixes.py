@@ -123,11 +123,8 @@ def count_documents(texts: list[bytes], size: int, lay: Layout) -> tuple[np.ndar
     """Distinct sorted cells of a chunk, and in how many of its documents each occurs."""
     s = Segments(texts, size, lay)
     cells = lay.cell_of(s.key)
-    order = np.lexsort((s.doc, cells))
-    c, d = cells[order], s.doc[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-    c = c[new]
+    both = np.sort(cells << np.uint64(24) | s.doc.astype(np.uint64))  # a chunk has fewer than 2^24 documents
+    c = both[np.diff(both, prepend=~both[:1]) != 0] >> np.uint64(24)
     first = np.flatnonzero(np.diff(c, prepend=np.uint64(2**63)) != 0)
     return c[first], np.diff(first, append=len(c))
 
@@ -138,14 +135,14 @@ class Distinct:
     def __init__(self, texts: list[bytes], size: int, lay: Layout, cells: np.ndarray, often: np.ndarray):
         self.lay = lay
         self.all = s = Segments(texts, size, lay, Among(cells), often)
-        order = np.lexsort((s.count, s.content, s.key))
+        # One sort by a mix of all three; should mixes ever collide, a segment is only sent twice.
+        order = np.argsort(mix(s.key * np.uint64(3) + s.content) + s.count.astype(np.uint64))
         new = np.ones(len(order), bool)
-        if len(order):
-            k, c, n = s.key[order], s.content[order], s.count[order]
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+        k, c, n = s.key[order], s.content[order], s.count[order]
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        first = order[new]
+        first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
         rank = np.empty(len(first), np.int64)
         rank[np.argsort(first)] = np.arange(len(first))
         self.group, self.first = rank[group], np.sort(first)
@@ -196,7 +193,7 @@ class Transform:
 
     @staticmethod
     def ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         out = np.empty(len(key), np.int64)
         out[order] = np.cumsum(np.concatenate(([1], (k[1:] != k[:-1]).astype(np.int64))))
@@ -256,7 +253,7 @@ def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, do
     windows = np.array([len(s) - size + 1 for s in distinct], np.int64)
     ends = np.cumsum(windows)
     best = np.repeat(least, windows)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     first = np.flatnonzero(np.diff(k, prepend=-1) != 0) if len(k) else np.zeros(0, np.int64)
     shared = [order[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True) if b - a > 1]
