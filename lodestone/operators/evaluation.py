@@ -140,3 +140,49 @@ def compare_retrieval(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     hits = ranked.join(truth.withColumn("good", F.lit(1)), ["query_id", "document_id"], "left")
     one = hits.groupBy("strategy", "query_id").agg(F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"))
     return one.groupBy("strategy").agg(F.count("*").alias("questions"), F.avg(F.col("first").isNotNull().cast("double")).alias("hit"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def label_observations(cited: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, labels): citations (case_id, position, source_type, display) mapped back to the expected labels of the same
+    type and place, distinct, in order of first use. Cases have expected items with a ``display``."""
+    wanted = cases.select("case_id", F.explode("expected").alias("e")).select("case_id", F.col("e.label").alias("label"), F.col("e.source_type").alias("source_type"), F.col("e.display").alias("display"))
+    hits = cited.join(wanted, ["case_id", "source_type", "display"])
+    ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda x: x["label"]))
+    return cases.select("case_id").join(hits.groupBy("case_id").agg(ordered.alias("labels")), "case_id", "left").select("case_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+
+
+def compare_graph(found: DataFrame, expected: DataFrame, supports: DataFrame) -> DataFrame:
+    """One row: how often the expected path (query_id, nodes) is found and at which reciprocal rank, how often its first
+    node is linked, the share of edges of the found paths (query_id, path_id, nodes, path, rank) that have a support
+    (query_id, path_id, relationship_id, document_id), and that of paths with supports from several documents."""
+    hits = expected.alias("e").join(found.alias("f"), (F.col("e.query_id") == F.col("f.query_id")) & (F.col("e.nodes") == F.col("f.nodes")), "left").groupBy("e.query_id").agg(F.min("f.rank").alias("rank"))
+    linked = expected.alias("e").join(found.alias("f"), (F.col("e.query_id") == F.col("f.query_id")) & F.array_contains(F.col("f.nodes"), F.get("e.nodes", F.lit(0))), "left").groupBy("e.query_id").agg(F.count("f.rank").alias("n"))
+    steps = found.select("query_id", "path_id", F.explode("path").alias("relationship_id"))
+    known = supports.select("query_id", "path_id", "relationship_id").distinct().withColumn("ok", F.lit(1.0))
+    cover = steps.join(known, ["query_id", "path_id", "relationship_id"], "left").agg(F.avg(F.coalesce("ok", F.lit(0.0))).alias("edge_coverage"))
+    cross = supports.groupBy("query_id", "path_id").agg((F.countDistinct("document_id") > 1).cast("double").alias("x")).agg(F.avg("x").alias("cross_document"))
+    first = hits.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("path_hit"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    link = linked.agg(F.avg((F.col("n") > 0).cast("double")).alias("linked"))
+    out = first
+    for part in (link, cover, cross):  # one row each
+        out = out.join(F.broadcast(part), F.lit(True))
+    return out
+
+
+def compare_reranking(runs: DataFrame, grades: DataFrame, k: int = 5) -> DataFrame:
+    """By strategy: graded reciprocal rank and NDCG of runs (strategy, query_id, document_id, source, rank) against grades
+    (query_id, document_id, grade), and the share of a query's relevant sources that are covered."""
+    rows = runs.filter(F.col("rank") <= k).join(grades, ["query_id", "document_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    ideal = grades.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.col("grade").cast("double")))), 1, k).alias("best")).select("query_id", dcg(F.col("best")).alias("ideal"))
+    gain = F.sum((F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("rank") + 1.0))
+    one = rows.groupBy("strategy", "query_id").agg(gain.alias("dcg"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.countDistinct(F.when(F.col("grade") > 0, F.col("source"))).alias("sources"))
+    both = one.join(ideal, "query_id", "left")
+    return both.groupBy("strategy").agg(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0))).alias("ndcg"), F.avg("sources").alias("sources"))
+
+
+def compare_routing(routed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row: the share of questions whose intent is as wanted, and the median latency that plans of their own save
+    against the default (latency, default_latency), over questions with such a plan."""
+    both = routed.join(wanted, "query_id")
+    saved = F.median(F.when(F.col("intent") != "default", F.col("default_latency") - F.col("latency")))
+    return both.agg(F.avg((F.col("intent") == F.col("wanted")).cast("double")).alias("plan_accuracy"), saved.alias("median_saved"), F.count("*").alias("questions"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingestion", "retrieval", "structured", "routing", "graph", "answers", "governance")
+MODULES = ("ingestion", "retrieval", "structured", "routing", "graph", "answers", "governance", "comparisons")
 
 
 def queries() -> dict:

@@ -252,3 +252,32 @@ def test_sentence_window_retrieval(spark):
     found = retrieval.retrieve_sentence_window(retrieval.as_vectors(retrieval.hashed_terms(asked, "query_id", "question"), "query_id"), vectors, sentences, 2)
     best = found.filter("rank = 1").first()
     assert best.window == "Apples are red. Pears are green. Plums are blue." and (best["first"], best["last"]) == (0, 2)
+
+
+def test_files_reports_and_graph_snapshots(spark, tmp_path):
+    from lodestone.sources import files
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"nope"), ("c.pdf", b""), ("d.txt", b"%PDF-"), ("e.pdf", b"%PDF-" + b"x" * 99)):
+        (folder / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in files.file_inventory(spark, str(folder), "pdf", 50).collect()}
+    assert got == {"a.pdf": "kept", "b.pdf": "magic", "d.txt": "extension", "e.pdf": "too_large"}
+    rows = spark.createDataFrame([(1, [("secret", ["a"])])], "case_id long, segments array<struct<text: string, labels: array<string>>>")
+    root = str(tmp_path / "reports")
+    path = files.write_report(rows, {"benchmark": "h"}, root, "20240101", "base")
+    assert "secret" not in spark.read.text(path).first()[0]
+    with pytest.raises(PySparkException):
+        files.write_report(rows, {"benchmark": "h"}, root, "20240101", "base")
+    broken = tmp_path / "reports" / "20240102-bad-0"
+    broken.mkdir()
+    (broken / "part.json").write_text("{oops\n")
+    good, bad = files.read_reports(spark, root, "case_id long, benchmark string")
+    assert [r.report for r in good.collect()] == [path.rsplit("/", 1)[1]] and [r.report for r in bad.collect()] == ["20240102-bad-0"]
+    docs = spark.createDataFrame([("w", "s", 1, "x"), ("w", "t", 2, "y"), ("v", "s", 3, "z")], "workspace_id string, source_id string, document_id long, content string")
+    files.write_documents(docs, str(tmp_path / "docs"))
+    assert [r.document_id for r in files.read_documents(spark, str(tmp_path / "docs"), "w", "s").collect()] == [1]
+    ent, rel = spark.createDataFrame([("a",)], "entity_id string"), spark.createDataFrame([("r",)], "relationship_id string")
+    files.write_graph(ent, rel, graph.graph_manifest(ent, rel), str(tmp_path / "graph"))
+    e, r, m = files.read_graph(spark, str(tmp_path / "graph"))
+    assert graph.graph_manifest(e, r).first() == m.first()
