@@ -103,13 +103,13 @@ class Estimator:
     half of an observation spread over the ball of that radius for what a sample cannot see.
     """
 
-    def __init__(self, sample: np.ndarray, groups: list[list[int]], threshold: int):
-        self.groups, self.threshold = groups, threshold
+    def __init__(self, sample: np.ndarray, groups: list[list[int]], threshold: int, rows: int = 1_000_000):
+        self.groups, self.threshold, self.rows = groups, threshold, rows
         self.values = [np.unique(project(sample, g), return_counts=True) for g in groups]
         self.total = max(1, len(sample))
 
     def counts(self, values: np.ndarray) -> np.ndarray:
-        """Estimated shares: value x group x threshold (-1 to threshold)."""
+        """Estimated rows, candidates and probes: value x group x threshold (-1 to threshold)."""
         out = np.zeros((len(values), len(self.groups), self.threshold + 2))
         for g, bits in enumerate(self.groups):
             own, (known, seen) = project(values, bits), self.values[g]
@@ -119,8 +119,7 @@ class Estimator:
                 for m in masks if len(known) else []:
                     at = np.minimum(np.searchsorted(known, own ^ m), len(known) - 1)
                     found += np.where(known[at] == (own ^ m), seen[at], 0) / self.total
-                # Each probe costs a row as well, whatever it finds.
-                out[:, g, t + 1] = found + 1e-9 * len(masks)
+                out[:, g, t + 1] = found * self.rows + len(masks)  # a probe is a row, whatever it finds
         return out
 
     def allocate(self, values: np.ndarray) -> np.ndarray:
@@ -144,16 +143,31 @@ class Estimator:
         return out
 
 
-def links(classes: DataFrame, threshold: int = 2, groups: int = 3, sample_rows: int = 20_000) -> DataFrame:
+def choose_groups(sample: np.ndarray, threshold: int, rows: int, most: int = 4) -> Estimator:
+    """The number of groups with the fewest estimated rows: few wide groups need many probes but keep buckets small when
+    there are very many fingerprints, more and narrower ones need a single probe each."""
+    tried = []
+    for groups in range(2, most + 1):
+        e = Estimator(sample, group_bits(sample, groups), threshold, rows)
+        part = sample[:2000]
+        thresholds = e.allocate(part)
+        cost = np.take_along_axis(e.counts(part), thresholds[:, :, None] + 1, axis=2).sum() / max(1, len(part)) + groups
+        tried.append((float(cost), groups, e))
+    return min(tried, key=lambda x: x[:2])[2]
+
+
+def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sample_rows: int = 20_000) -> DataFrame:
     """Pairs (a < b) of different fingerprints in column ``fp`` that differ in at most ``threshold`` bits.
 
-    ``sample_rows`` bounds the sample from which bits are grouped and candidates estimated; it decides about cost
-    only, since every allocation is complete. A group key's candidates grow with the number of classes over 2^width;
-    for many billions of classes use 2 groups.
+    ``sample_rows`` bounds the sample from which bits are grouped and candidates estimated; with the number of
+    fingerprints it also decides the number of groups where none is given. All of this is about cost only, since every
+    allocation is complete.
     """
     spark = classes.sparkSession
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64).view(np.uint64)
-    estimator = Estimator(sample, parts := group_bits(sample, groups), threshold)
+    rows = classes.count()
+    estimator = choose_groups(sample, threshold, rows) if groups is None else Estimator(sample, group_bits(sample, groups), threshold, rows)
+    parts = estimator.groups
     shared = spark.sparkContext.broadcast(estimator)
 
     def index(batches):
@@ -206,7 +220,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 2, groups: int = 3, size: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 2, groups: int | None = None, size: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id for every row of ``docs``."""
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -222,7 +236,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, threshold: int = 2, groups: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, threshold: int = 2, groups: int | None = None) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest doc_id. Rows without a doc_id stay."""
     gone = near_duplicates(docs, threshold, groups).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -168,6 +168,11 @@ def test_allocations_are_complete():
                 assert any(near)
 
 
+def test_many_fingerprints_get_wide_groups():
+    sample = np.random.default_rng(5).integers(0, 2**63, 3000).astype(np.uint64)
+    assert len(simhash.choose_groups(sample, 2, 100_000).groups) == 3 and len(simhash.choose_groups(sample, 2, 10**10).groups) == 2
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d e f", "k"), (1, "a b c d e f", "l"), (2, "x y z q r s", "m"), (None, "a b c d e f", "n")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, component_id string")).collect()
