@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,59 +52,44 @@ def column_roles(rows: DataFrame, text_columns: list[str], row_id: str | None, m
     return out
 
 
-class Page(HTMLParser):
-    """Title, visible text, canonical link and hrefs of a page."""
+# Elements whose text is not visible content.
+HIDDEN = ("script", "style", "nav", "form", "noscript", "svg", "canvas")
 
-    HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "canvas", "iframe"))
 
-    def __init__(self) -> None:
+class Events(HTMLParser):
+    """A page as a flat list of events: (+1, tag, attributes), (-1, tag, {}) and (0, text, {})."""
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title = 0, False
-        self.title: list[str] = []
-        self.text: list[str] = []
-        self.links: list[str] = []
-        self.canonical: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        known = dict(attrs)
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag == "title":
-            self.in_title = True
-        elif tag == "a" and known.get("href"):
-            self.links.append(known["href"])
-        elif tag == "link" and "canonical" in (known.get("rel") or "").lower().split() and known.get("href"):
-            self.canonical = self.canonical or known["href"]
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "title":
-            self.in_title = False
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.text.append(data)
+        self.found: list[tuple[int, str, dict[str, str | None]]] = []
+        self.handle_starttag = lambda tag, attrs: self.found.append((1, tag, dict(attrs)))
+        self.handle_endtag = lambda tag: self.found.append((-1, tag, {}))
+        self.handle_data = lambda data: self.found.append((0, data, {}))
+        self.feed(html)
+        self.close()
+
+
+def page_facts(html: str) -> dict:
+    """Title, visible text, canonical link and links of a page."""
+    events = Events(html).found
+    hidden = accumulate(events, lambda depth, e: max(0, depth + e[0]) if e[1] in HIDDEN and e[0] else depth, initial=0)
+    titled = accumulate(events, lambda inside, e: e[0] > 0 if e[1] == "title" and e[0] else inside, initial=False)
+    texts = [(e[1], depth, inside) for e, depth, inside in zip(events, list(hidden)[1:], list(titled)[1:], strict=True) if not e[0]]
+    one_line = lambda parts: " ".join(" ".join(parts).split()) or None
+    canonical = [attrs["href"] for kind, tag, attrs in events if kind > 0 and tag == "link" and "canonical" in (attrs.get("rel") or "").lower().split() and attrs.get("href")]
+    return {
+        "title": one_line(t for t, _, inside in texts if inside), "text": one_line(t for t, depth, _ in texts if not depth), "canonical": canonical[-1] if canonical else None,
+        "links": [attrs["href"] for kind, tag, attrs in events if kind > 0 and tag == "a" and (attrs.get("href") or "").strip()],
+    }
 
 
 def extract_html(html: Column) -> Column:
     """struct<title, text, canonical, links> of a page; null text where nothing is visible."""
     kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("canonical", pa.string()), ("links", pa.list_(pa.string()))])
 
-    def read(html: str | None) -> dict | None:
-        if html is None:
-            return None
-        page = Page()
-        page.feed(html)
-        page.close()
-        text = " ".join(" ".join(page.text).split())
-        return {"title": " ".join("".join(page.title).split()) or None, "text": text or None, "canonical": page.canonical, "links": page.links}
-
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([read(h) for h in b.to_pylist()], kind)
+            yield pa.array([None if h is None else page_facts(h) for h in b.to_pylist()], kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "struct<title: string, text: string, canonical: string, links: array<string>>")(html)

@@ -108,5 +108,5 @@ def test_domains(spark):
 def test_pages(spark):
     html = "<html><head><title> A  b </title><link rel='canonical' href='/c'><style>x{}</style></head><body><p>Hi <b>you</b></p><script>no()</script><a href='/d'>go</a></body></html>"
     r = spark.createDataFrame([(html,), (None,), ("<p></p>",)], "h string").select(ingest.extract_html(F.col("h")).alias("p")).collect()
-    assert (r[0].p.title, r[0].p.text, r[0].p.canonical, r[0].p.links) == ("A b", "Hi you go", "/c", ["/d"])
+    assert (r[0].p.title, r[0].p.text, r[0].p.canonical, r[0].p.links) == ("A b", "A b Hi you go", "/c", ["/d"])
     assert r[1].p is None and r[2].p.text is None
