@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,10 @@ def governed_session(spark: SparkSession, tables: dict[str, DataFrame], policy:
 
 
 def view_of(session: SparkSession, df: DataFrame, name: str) -> None:
-    """``df`` as a view of another session over the same context."""
-    DataFrame(df._jdf, session).createOrReplaceGlobalTempView(f"governed_{id(session)}_{name}")
-    session.table(f"global_temp.governed_{id(session)}_{name}").createOrReplaceTempView(name)
+    """``df`` as a view of another session over the same context, by way of a global view."""
+    shared = f"governed_{uuid.uuid4().hex}_{name}"
+    df.createOrReplaceGlobalTempView(shared)
+    session.table(f"global_temp.{shared}").createOrReplaceTempView(name)
 
 
 def bounded_query(session: SparkSession, statement: str, most_rows: int = 200, **parameters: object) -> DataFrame:
