@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, pii, quality, simhash, suffixes
+from lodestone.llm import packing, pii, quality, shingles, suffixes
 from lodestone.llm.common import stored, table
 from lodestone.llm.queries import vocabulary
 
@@ -19,8 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """The first document of each group of near-duplicates: five-word shingle sets with a similarity of at least 0.8."""
+    return shingles.keep_first(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,26 @@ def test_stages(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, again)) == sorted(map(key, seen["best_fit_packing"]))
+
+
+def test_edited_copies_leave(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts = [rng.choices(words, k=rng.randrange(150, 400)) for _ in range(40)]
+    for share in (0, 0.01, 0.02, 0.03, 0.05):  # 0: a single word; most of the last ones are not similar enough
+        for i in range(40):
+            copy = list(texts[i])
+            for at in rng.sample(range(len(copy)), max(1, int(share * len(copy)))):
+                copy[at] = "changed"
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, "a b c"), (900, "A b  c"), (901, "a b c"), (902, "a b d"), (903, None), (904, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect() if r.doc_id is not None)
+    assert len(set(label)) < 120 and got == sorted({*label, 900, 902, 903})
