@@ -51,6 +51,11 @@ def bounded_query(session: SparkSession, statement: str, most_rows: int = 200, *
     return session.sql(f"SELECT * FROM (\n{statement}\n) LIMIT {int(most_rows)}", args=parameters or None)
 
 
+def governed_query(session: SparkSession, statement: str, **parameters: object) -> DataFrame:
+    """A SELECT with named parameters, with all its rows. As a subquery it can be nothing but a query."""
+    return session.sql(f"SELECT * FROM (\n{statement}\n)", args=parameters or None)
+
+
 def query_fingerprint(statement: str, most_rows: int = 200) -> Column:
     return F.sha2(F.lit(f"SELECT * FROM (\n{statement}\n) LIMIT {int(most_rows)}"), 256)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.structured import GovernedTable, aggregate_to_evidence, bounded_query, governed_session, query_fingerprint, row_identifier, rows_to_evidence
+from lodestone.operators.structured import GovernedTable, aggregate_to_evidence, bounded_query, governed_query, governed_session, query_fingerprint, row_identifier, rows_to_evidence
 from lodestone.plans.registry import ORACLES, query, table
 
 POLICY = [
@@ -23,11 +23,12 @@ def session(spark: SparkSession, sf_dir: str) -> SparkSession:
     return governed_session(spark, {t.name: table(spark, sf_dir, t.name) for t in POLICY}, POLICY)
 
 
-def shaped(name: str, statement: str, most_rows: int = 1_000_000, **parameters: object) -> None:
-    """Registers a query shape: the same SQL runs on the governed views and in DuckDB."""
+def shaped(name: str, statement: str, most_rows: int | None = None, **parameters: object) -> None:
+    """Registers a query shape: the same SQL runs on the governed views and in DuckDB; with ``most_rows``, as a bounded query."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bounded_query(session(spark, sf_dir), statement, most_rows, **parameters)
+        own = session(spark, sf_dir)
+        return governed_query(own, statement, **parameters) if most_rows is None else bounded_query(own, statement, most_rows, **parameters)
 
     run.__name__ = name
     literal = statement
@@ -61,7 +62,7 @@ shaped("semi_join_shape", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (
 def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = [GovernedTable("customer", ("c_custkey", "c_name", "c_mktsegment"), tenant="c_nationkey")]
     own = governed_session(spark, {"customer": table(spark, sf_dir, "customer")}, policy, tenant=7)
-    return bounded_query(own, "SELECT * FROM customer", 1_000_000)
+    return governed_query(own, "SELECT * FROM customer")
 
 
 @query("SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey']) AS \"column\" UNION ALL SELECT 'region', unnest(['r_name', 'r_regionkey'])")
@@ -91,5 +92,5 @@ def database_aggregate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'orders.o_orderkey=' || o_orderkey || ', customer.c_custkey=' || c_custkey AS row_id FROM orders JOIN customer ON o_custkey = c_custkey")
 def row_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bounded_query(session(spark, sf_dir), "SELECT o_orderkey AS order_key, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey", 1_000_000_000)
+    found = governed_query(session(spark, sf_dir), "SELECT o_orderkey AS order_key, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
     return found.select(row_identifier([("orders.o_orderkey", "order_key"), ("customer.c_custkey", "c_custkey")]).alias("row_id"))
