@@ -194,7 +194,7 @@ def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drain(jobs.rate_windows(burst(jobs.read_stream(spark, sf_dir, "events")), 2), folder(spark))
+    return jobs.drain_updates(jobs.rate_windows(burst(jobs.read_stream(spark, sf_dir, "events")), 2), folder(spark), ["key", "window_start"])
 
 
 @query(f"WITH {NUMBERED} SELECT org_id, true AS ok, CAST(NULL AS BIGINT) AS first_broken, CAST(NULL AS BIGINT) AS pruned_through FROM numbered GROUP BY 1")

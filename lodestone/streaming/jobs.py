@@ -36,7 +36,8 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def rate_windows(events: DataFrame, limit: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Keys that went over their limit in a fixed window; rows later than the watermark are dropped."""
+    """Counts of keys in fixed windows, and whether they went over their limit; rows later than the watermark are dropped. In append
+    mode a window is written once the watermark has passed it, in update mode as soon as it has rows."""
     seen = with_time(events).withWatermark("ts", late)
     one = seen.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "key").agg(F.count("*").alias("n"))
     return one.select("key", F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("exceeded"))

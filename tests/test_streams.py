@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lodestone.operators import governance, maintenance
+from lodestone.plans.governance import burst
 from lodestone.streaming import jobs
 
 
@@ -56,3 +58,12 @@ def test_ingestion_publishes_each_batch(spark, tmp_path):
     jobs.ingest(spark.readStream.schema(schema).parquet(path), root, "w", f"{tmp_path}/check")
     assert [r.doc_id for r in maintenance.read_active_generation(spark, root, "documents", "w").collect()] == [3]
     assert all(r.ok for r in maintenance.verify_generation(spark, root, "g1", "none").collect())
+
+
+def test_rate_windows_hold_the_last_events(spark, tmp_path):
+    rows = [(i, i % 7, f"2024-01-01 0{i // 100}:{i % 60:02d}:00") for i in range(400)]
+    write(spark, rows, "event_id long, user_id long, ts string", f"{tmp_path}/events.parquet")
+    events = burst(spark.read.parquet(f"{tmp_path}/events.parquet"))
+    want = events.groupBy("key", F.window("ts", "60 seconds").start.alias("window_start")).agg(F.count("*").alias("n")).collect()
+    got = entry.queries()["stream_rate_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r.key, r.window_start, r.n, r.n > 2) for r in want) == sorted((r.key, r.window_start, r.n, r.exceeded) for r in got)
