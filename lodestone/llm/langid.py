@@ -12,11 +12,12 @@ learned from. If nothing can be learned, all is ``und``. Repeated rows give repe
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_text
@@ -98,15 +99,20 @@ def bits_of(text: Column) -> Column:
 
 
 def train(docs: DataFrame, sample_rows: int = 3000, landmarks: int = 256, ridge: float = 1e-2) -> Model | None:
-    """Learns from about ``sample_rows`` rows of ``docs`` (text, lang), the same number from each language, chosen by
-    a hash of the text."""
-    known = docs.filter("lang is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    """Learns from at most about ``sample_rows`` different texts with a letter of ``docs`` (text, lang), the same number
+    from each language: those with the least hashes. A text counts once in its language, however many rows hold it."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r[0]: max(1, r[1]) for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()}
     if not counts:
         return None
-    share = {k: min(1.0, sample_rows / len(counts) / n) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
-    rows = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("lang")]).select(bits_of(F.col("text")).alias("bits"), "lang").limit(2 * sample_rows).collect()
+    want = math.ceil(sample_rows / len(counts))
+    # Twice and some more than wanted pass the threshold, so that the least hashes of each language are among them.
+    share = {k: min(1.0, (2 * want + 20) / n) for k, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 2**53))])
+    some = known.filter(F.shiftrightunsigned("h", 11) <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    some = some.select("lang", "h", bits_of(F.col("text")).alias("bits"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("bits").isNull(), "h"))
+    rows = some.select("bits", "lang", place.alias("place")).filter(F.col("place") <= want).collect()
     rows = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1], bytes(r[0])))
     if not rows:
         return None

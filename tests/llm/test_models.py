@@ -79,6 +79,28 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in nothing} <= {"und"}
 
 
+@pytest.mark.parametrize("hot", [None, "12 34 !?", "the same ing er on text the"])
+def test_languages_are_learned_beside_a_text_that_fills_the_first_rows(spark, hot):
+    rng = random.Random(6)
+    tongues = {"xx": ["the", "ing", "er", "on"], "yy": ["ción", "ar", "que", "os"]}
+    rows = [(5 * i, hot, "xx") for i in range(4000)] + [(5 * i + 1, made_up(rng, tongues[x], 30), x) for i in range(600) for x in [rng.choice(list(tongues))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, 200).collect()}
+    assert np.mean([got[d] == x for d, t, x in rows if d % 5 == 1]) > 0.97
+    wanted = "xx" if hot and hot[0] == "t" else "und"
+    assert {got[d] for d, t, _ in rows if d % 5 == 0} == {wanted}
+
+
+def test_language_sample_is_bounded_and_even(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(made_up(rng, ["the", "ing", "er", "on"], 30), "xx" if i % 4 else "yy") for i in range(2000)] + [("all the same", "xx")] * 500
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda bits, langs, *_: seen.append(langs))
+    for n in (1, 7):
+        langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(n), 300)
+    assert seen[0] == ["xx"] * 150 + ["yy"] * 150 == seen[1]
+
+
 def test_toxic_documents_and_their_sentences(spark):
     rng = random.Random(7)
     docs, labels = [], []
