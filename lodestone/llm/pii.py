@@ -21,7 +21,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_text
@@ -36,6 +36,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HOT = re.compile(r"[0-9]+|@|\b(?:at|dot)\b")
 UNIT = re.compile(r"[0-9]+|[^\W\d_]+|[\s\S]")
 LONGEST, REACH = 16, 24
+#: What Spark finds in texts that may hold a base span of each kind: only for choosing the sample.
+LIKELY = {"email": "[A-Za-z0-9._%+-]@[A-Za-z0-9-]+[.][A-Za-z0-9-]", "ip": "[0-9]{1,3}([.][0-9]{1,3}){3}", "card": "([0-9][ -]?){12}[0-9]", "phone": "[+][0-9][ ().0-9-]{7,}[0-9]"}
 
 Span = tuple[str, int, int]
 
@@ -224,25 +226,43 @@ def altered(rng: random.Random, kind: str, s: str) -> str:
     return s.replace(".", rng.choice((" . ", "[.]")))
 
 
+def chosen(texts: list[str], most_regions: int, a_text: int = 4) -> list[tuple[str, int, int, list[Span]]]:
+    """At most ``most_regions`` regions (text, begin, end, base spans): equal shares for regions with each kind of span and
+    for those without; what a share leaves free goes to the others in turn. A text gives at most ``a_text`` regions to a
+    share, spread over its length, until all texts have had their turn."""
+    queues: dict[str, list[tuple[int, int, tuple[str, int, int, list[Span]]]]] = {k: [] for k in (*KINDS, "")}
+    for at, text in enumerate(texts):
+        spans, own = base_spans(text), {k: [] for k in queues}
+        for a, b in regions(text):
+            inside = [s for s in spans if a <= s[1] and s[2] <= b]
+            own[min((s[0] for s in inside), key=KINDS.index, default="")].append((text, a, b, inside))
+        for k, found in own.items():
+            step = -(-len(found) // a_text)
+            queues[k] += [(i % step if step else 0, at, r) for i, r in enumerate(found)]
+    lists = [[r for _, _, r in sorted(q, key=lambda x: x[:2])] for q in queues.values()]
+    taken, out = [0] * len(lists), []
+    while len(out) < most_regions and any(n < len(q) for n, q in zip(taken, lists, strict=True)):
+        for i, q in enumerate(lists):
+            if taken[i] < len(q) and len(out) < most_regions:
+                out.append(q[taken[i]])
+                taken[i] += 1
+    return out
+
+
 def train(texts: list[str], epochs: int = 4, rate: float = 0.3, most_regions: int = 500, seed: int = 5) -> Field | None:
-    """Learns from at most ``most_regions`` regions of the texts, whose base spans are the labels."""
+    """Learns from at most ``most_regions`` regions of the texts, whose base spans are the labels, and altered copies."""
     rng = random.Random(seed)
     examples: list[tuple[Lattice, set[Span]]] = []
-    for text in texts:
-        spans = base_spans(text)
-        for a, b in regions(text):
-            own = [s for s in spans if a <= s[1] and s[2] <= b]
-            piece = text[a:b]
-            examples.append((lattice(piece, 0, len(piece)), {(k, x - a, y - a) for k, x, y in own}))
-            if own and rng.random() < 0.5:
-                k, x, y = rng.choice(own)
-                new = altered(rng, k, text[x:y])
-                piece = text[a:x] + new + text[y:b]
-                others = {(k2, x2 - a, y2 - a) for k2, x2, y2 in own if y2 <= x}
-                if not [s for s in own if s[1] >= y]:
-                    examples.append((lattice(piece, 0, len(piece)), {*others, (k, x - a, x - a + len(new))}))
-        if len(examples) >= most_regions:
-            break
+    for text, a, b, own in chosen(texts, most_regions):
+        piece = text[a:b]
+        examples.append((lattice(piece, 0, len(piece)), {(k, x - a, y - a) for k, x, y in own}))
+        if own and rng.random() < 0.5:
+            k, x, y = rng.choice(own)
+            new = altered(rng, k, text[x:y])
+            piece = text[a:x] + new + text[y:b]
+            others = {(k2, x2 - a, y2 - a) for k2, x2, y2 in own if y2 <= x}
+            if not [s for s in own if s[1] >= y]:
+                examples.append((lattice(piece, 0, len(piece)), {*others, (k, x - a, x - a + len(new))}))
     if not any(gold for _, gold in examples):
         return None
     field = Field({})
@@ -278,11 +298,23 @@ def joined(spans: list[Span]) -> str:
 
 
 def learn(docs: DataFrame, sample_rows: int = 4000) -> Field | None:
-    """From the regions of at most ``sample_rows`` documents that hold a digit or an at sign (and at most 20,000
-    characters, which bounds what the driver holds)."""
-    found = docs.filter(F.col("text").rlike("[0-9]{3}|@") & (F.length("text") <= 20_000))
-    rows = found.select("text").limit(sample_rows).collect()
-    return train(sorted(r[0] for r in rows))
+    """From the regions of about ``sample_rows`` different texts (of at most 20,000 characters, which bounds what the driver
+    holds) of the whole table: those with the least hashes, in equal parts of the texts that may hold each kind of base
+    span and of the others with three digits or an at sign."""
+    text = F.col("text")
+    found = docs.filter(text.rlike(r"[0-9]{3}|@|[0-9]\.[0-9]+\.[0-9]") & (F.length("text") <= 20_000))
+    kinds = [F.when(text.rlike(p), F.lit(k)) for k, p in LIKELY.items()]
+    found = found.select("text", F.xxhash64("text").alias("h"), F.array_compact(F.array(*kinds)).alias("kinds"))
+    found = found.select("text", "h", F.explode(F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("")))).alias("kind"))
+    counts = {r[0]: max(1, r[1]) for r in found.groupBy("kind").agg(F.approx_count_distinct("h", 0.02)).collect()}
+    if not counts:
+        return None
+    want = -(-sample_rows // (len(LIKELY) + 1))
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (2 * want + 20) / n) * 2**53))])
+    some = found.filter(F.shiftrightunsigned("h", 11) <= limit[F.col("kind")]).groupBy("kind", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    rows = some.select("text", "h", place.alias("place")).filter(F.col("place") <= want).select("h", "text").distinct().collect()
+    return train([r[1] for r in sorted(rows)])
 
 
 def all_spans(text: str | None, field: Field | None) -> tuple[list[Span], list[Span]]:

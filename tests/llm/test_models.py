@@ -176,6 +176,20 @@ def test_field_adds_what_patterns_miss_and_keeps_clean_texts(spark):
     assert all(not plain_spans(r.t) for r in red if r.t) and {r.doc_id: r.t for r in red}[500] is None
 
 
+def test_field_is_learned_beside_texts_full_of_numbers(spark):
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(" ".join(number(rng.choice([3, 4, 5])) + " " + made_up(rng, ["the", "ing"], 12) for _ in range(9)),) for _ in range(5000)]
+    for _ in range(300):
+        personal = rng.choice([f" +1 ({number(3)}) 555-{number(4)} ", " bob.12@mail.example.com ", " 10.20.30.40 ", " 4539 1488 0343 6467 "])
+        rows.append(("z " + made_up(rng, ["the", "ing", "er"], 12) + personal + made_up(rng, ["on", "sh"], 6),))
+    field = pii.learn(spark.createDataFrame(rows, "text string").coalesce(1))
+    missed = "please call (212) 555-0187 soon or 4539.1488.0343.6467 there"
+    assert field is not None and pii.added_spans(missed, pii.base_spans(missed), field)
+    parts = [k for *_, own in pii.chosen([r[0] for r in rows], 500) for k in {s[0] for s in own} or {""}]
+    assert len(parts) == 500 and min(parts.count(k) for k in ("", *pii.KINDS)) > 50
+
+
 def base_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
