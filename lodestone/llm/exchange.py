@@ -82,11 +82,18 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64))[steps != 65535].astype(np.uint64)
 
 
+def runs(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each group that occurs, with the places of its items in order; none for no items."""
+    order = np.argsort(groups, kind="stable")
+    cuts = np.flatnonzero(np.diff(groups[order], prepend=-1))
+    return [(int(groups[part[0]]), part) for part in np.split(order, cuts[1:])] if len(order) else []
+
+
 def by_range(cells: np.ndarray, lay: Layout) -> Iterator[tuple[int, int, int]]:
     """Ranges present in sorted cells, with the places of their first and last cell."""
     which = lay.range_of(cells)
-    cuts = np.flatnonzero(np.diff(which, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cells)], strict=True):
+    cuts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(cells)], strict=False):
         yield int(which[a]), a, b
 
 

@@ -2,27 +2,29 @@
 
 Words are runs of bytes other than ASCII white space. A word is removed if a window of ``size`` words covers it whose
 word sequence also starts earlier (smaller doc_id, or the same document further left). All windows of all documents go
-into the merged sketch of :mod:`lodestone.llm.exchange`; only windows estimated repeated are then grouped, by two
-independent hashes of 64 and 32 bits over 64-bit word hashes, whose first occurrence stays.
+into the merged sketch of :mod:`lodestone.llm.exchange`; only windows estimated repeated are then grouped, by a digest of
+128 bits: two polynomials over the two halves of each word's 128-bit XXH3 hash. The first occurrence of a group stays.
 
-Null text counts as empty: no words. A null doc_id counts as later than all others. Rows that share a doc_id count as the
-same document; of windows at the same place in them none starts earlier. Texts of any length are hashed in slices.
+An empty table gives an empty table. Null text counts as empty: no words. A null doc_id counts as later than all others.
+Rows that share a doc_id count as the same document; of windows at the same place in them none starts earlier. Other
+columns are not looked at. Texts of any length are hashed in slices.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 
-from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, unpack_sorted
+from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, runs, unpack_sorted
 
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Odd multipliers of the polynomial hashes, and their inverses modulo 2^64.
-BASE, WIDE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BASE, WIDE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SLICE = 1 << 18
 
 
@@ -51,36 +53,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words in bytes."""
-    word = np.empty(len(data) + 2, bool)
-    word[0] = word[-1] = False
-    np.logical_not(SPACES[data], out=word[1:-1])
-    turns = np.flatnonzero(word[1:] != word[:-1])
-    return turns[::2], turns[1::2]
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word; slices end at white space."""
-    out, at = [], 0
+def slices(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about SLICE bytes that end at white space."""
+    at = 0
     while at < len(text):
         end = min(len(text), at + SLICE)
-        if end < len(text):
-            while end > at and text[end - 1] not in b" \t\n\v\f\r":
-                end -= 1
-            if end == at:  # a word longer than the slice
-                end = at + SLICE
-                while end < len(text) and text[end] not in b" \t\n\v\f\r":
-                    end += 1
-        data = np.frombuffer(text, np.uint8, end - at, at)
-        starts, ends = word_places(data)
-        if len(starts):
-            up, down = powers_to(BASE, len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-            out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(OTHER)))
+        while at < end < len(text) and text[end - 1] not in b" \t\n\v\f\r":
+            end -= 1
+        if end == at:  # a word longer than the slice
+            end = at + SLICE
+            while end < len(text) and text[end] not in b" \t\n\v\f\r":
+                end += 1
+        yield text[at:end]
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+class Words:
+    """The distinct words of a chunk, numbered as they appear, with the halves of their 128-bit hashes."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.halves = np.zeros((0, 2), np.uint64)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """The number of each word of a text."""
+        number, parts = self.number, []
+        for piece in slices(text):
+            words = piece.split()
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        if len(self.halves) < len(number):
+            new = islice(number, len(self.halves), None)
+            fresh = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in new), np.uint64).reshape(-1, 2)
+            self.halves = np.concatenate([self.halves, fresh])
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    def windows(self, ids: np.ndarray, size: int, half: int) -> np.ndarray:
+        return window_hashes(self.halves[ids, half], size, (WIDE, BASE)[half])
 
 
 def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -94,12 +102,9 @@ def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[:n])
 
 
-def second_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    return (window_hashes(mix(words ^ np.uint64(OTHER)), size, WIDE) >> np.uint64(32)).astype(np.uint32)
-
-
 def count_cells(texts: list[bytes], size: int, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
-    cells = [lay.cell_of(window_hashes(word_hashes(t), size, WIDE)) for t in texts]
+    words = Words()
+    cells = [lay.cell_of(words.windows(words(t), size, 0)) for t in texts]
     every = np.sort(np.concatenate(cells)) if cells else np.zeros(0, np.uint64)
     first = np.flatnonzero(np.diff(every, prepend=np.uint64(2**63)) != 0)
     return every[first], np.diff(first, append=len(every))
@@ -112,17 +117,18 @@ class Candidates:
         self.lay = lay
         among, keys, checks, docs, places = Among(cells), [], [], [], []
         self.words: list[int] = []
-        for i, w in enumerate(map(word_hashes, texts)):
-            self.words.append(len(w))
-            h = window_hashes(w, size, WIDE)
+        words = Words()
+        for i, own in enumerate(map(words, texts)):
+            self.words.append(len(own))
+            h = words.windows(own, size, 0)
             hit = np.flatnonzero(among(lay.cell_of(h)) >= 0)
             if len(hit):
                 keys.append(h[hit])
-                checks.append(second_hashes(w, size)[hit])
+                checks.append(words.windows(own, size, 1)[hit])
                 docs.append(np.full(len(hit), i, np.int32))
                 places.append(hit.astype(np.int32))
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.key, self.check, self.doc, self.place = cat(keys, np.uint64), cat(checks, np.uint32), cat(docs, np.int32), cat(places, np.int32)
+        self.key, self.check, self.doc, self.place = cat(keys, np.uint64), cat(checks, np.uint64), cat(docs, np.int32), cat(places, np.int32)
         # The first of equal windows is the first in order of document and place.
         order = np.argsort(mix(self.key + self.check))
         new = np.ones(len(order), bool)
@@ -140,10 +146,7 @@ class Candidates:
 
     def by_shard(self) -> list[tuple[int, np.ndarray]]:
         """Groups of each range of cells, in order of first place."""
-        shard = self.lay.range_of(self.lay.cell_of(self.key[self.first]))
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        return [(int(shard[order[a]]), order[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+        return runs(self.lay.range_of(self.lay.cell_of(self.key[self.first])))
 
 
 def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
@@ -164,7 +167,7 @@ def verdicts(chunks: DataFrame, lay: Layout, size: int) -> DataFrame:
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         get = lambda name, kind: [np.frombuffer(x, kind) for x in pdf[name]]
-        keys, checks, docs, twice = get("keys", np.uint64), get("checks", np.uint32), get("docs", np.int64), get("twice", bool)
+        keys, checks, docs, twice = get("keys", np.uint64), get("checks", np.uint64), get("docs", np.int64), get("twice", bool)
         places = [np.cumsum(x) for x in get("places", np.int32)]
         key, check, doc, place, several = map(np.concatenate, (keys, checks, docs, places, twice))
         order = np.lexsort((place, doc, check, key))

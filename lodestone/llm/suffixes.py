@@ -15,8 +15,9 @@ A byte is removed if a string of ``size`` bytes that covers it also starts in a
    is its own interval.
 4. The least doc_id of each interval goes back to the chunks as one bit per window.
 
-Null text counts as empty. A null doc_id counts as larger than all others; rows with equal doc_ids do not remove one
-another's bytes. Texts of any length are cut in overlapping slices. Nothing crosses documents.
+An empty table gives an empty table; where nothing may repeat, everything stays. Null text counts as empty. A null doc_id
+counts as larger than all others; rows with equal doc_ids do not remove one another's bytes. Texts of any length are cut
+in overlapping slices. Nothing crosses documents. Other columns are not looked at, and :func:`clean` keeps them.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LAST_DOC
-from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, unpack_sorted
+from lodestone.llm.exchange import Among, Layout, in_chunks, ordered, read_cells, repeated_cells, runs, unpack_sorted
 from lodestone.llm.substrings import BASE, mix, powers_to
 
 GRAM = 20
+LARGEST = 254 + GRAM - 1  # windows of a segment are counted in a byte
 SLICE = 1 << 18
 #: Suffixes that are merged at once; grams are independent of one another.
 BLOCK = 100_000
@@ -135,11 +137,16 @@ class Distinct:
     def __init__(self, texts: list[bytes], size: int, lay: Layout, cells: np.ndarray, often: np.ndarray):
         self.lay = lay
         self.all = s = Segments(texts, size, lay, Among(cells), often)
-        # One sort by a mix of all three; should mixes ever collide, a segment is only sent twice.
-        order = np.argsort(mix(s.key * np.uint64(3) + s.content) + s.count.astype(np.uint64))
+        # One sort by a mix of all three brings equal segments together; neighbours are then compared byte by byte. Should
+        # hashes ever collide, a segment is only sent twice.
+        order = np.argsort(mix(s.key * np.uint64(3) + s.content) + s.count.astype(np.uint64), kind="stable")
         new = np.ones(len(order), bool)
         k, c, n = s.key[order], s.content[order], s.count[order]
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+        alike = np.flatnonzero(~new)
+        doc, place, ends = s.doc[order], s.place[order], s.place[order] + n + size - 1
+        for at, i, a, b, j, x, y in zip(*(v.tolist() for v in (alike, doc[alike], place[alike], ends[alike], doc[alike - 1], place[alike - 1], ends[alike - 1])), strict=True):
+            new[at] = texts[i][a:b] != texts[j][x:y]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
@@ -148,10 +155,7 @@ class Distinct:
         self.group, self.first = rank[group], np.sort(first)
 
     def by_shard(self) -> list[tuple[int, np.ndarray]]:
-        shard = self.lay.range_of(self.lay.cell_of(self.all.key[self.first]))
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        return [(int(shard[order[a]]), order[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+        return runs(self.lay.range_of(self.lay.cell_of(self.all.key[self.first])))
 
 
 class Transform:
@@ -258,10 +262,7 @@ def judge_segments(keys: np.ndarray, strings: list[bytes], chunk: np.ndarray, do
     windows = np.array([len(s) - size + 1 for s in distinct], np.int64)
     ends = np.cumsum(windows)
     best = np.repeat(least, windows)
-    order = np.argsort(key)
-    k = key[order]
-    first = np.flatnonzero(np.diff(k, prepend=-1) != 0) if len(k) else np.zeros(0, np.int64)
-    shared = [order[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True) if b - a > 1]
+    shared = [own for _, own in runs(key) if len(own) > 1]
     block: list[np.ndarray] = []
     total = 0
     for own in [*shared, None]:
@@ -360,7 +361,10 @@ def removed_bytes(pdf: pd.DataFrame, back: pd.DataFrame, lay: Layout, size: int)
 
 def remove_repeated(docs: DataFrame, size: int = 50, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes, and the remaining text (without the
-    bytes of characters that were cut in two; null if not asked for) with the hash of the text it came from."""
+    bytes of characters that were cut in two; null if not asked for) with the hash of the text it came from. ``size`` is
+    between GRAM and LARGEST."""
+    if not GRAM <= size <= LARGEST:
+        raise ValueError(f"size must be between {GRAM} and {LARGEST}")
     chunks, lay = in_chunks(docs)
 
     def finish(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -379,8 +383,8 @@ def remove_repeated(docs: DataFrame, size: int = 50, with_text: bool = True) ->
 def clean(docs: DataFrame, size: int = 50) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text`` and ``n_chars`` to match; all rows and columns stay. Null texts
     become empty. Rows with the same doc_id and text get the same result."""
-    found = remove_repeated(docs, size).select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
-    d, f = docs.withColumn("_text_hash", F.xxhash64("text")).drop("text").alias("d"), found.alias("f")
-    both = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._text_hash") == F.col("f.text_hash")))
+    found = remove_repeated(docs, size).select(F.col("doc_id").alias("id"), "text_hash", "kept_text").dropDuplicates(["id", "text_hash"])
+    d, f = docs.alias("d"), found.alias("f")
+    both = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.id")) & (F.xxhash64("d.text") == F.col("f.text_hash")))
     text = F.col("f.kept_text")
     return both.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns])

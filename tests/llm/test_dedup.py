@@ -177,3 +177,46 @@ def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d e f", "k"), (1, "a b c d e f", "l"), (2, "x y z q r s", "m"), (None, "a b c d e f", "n")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, component_id string")).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in got) == [(False, 1, "l"), (False, 2, "m"), (True, None, "n")]
+
+
+def unlike(n, words):
+    rng = random.Random(n)
+    return [(i, " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(words))) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [unlike(2, 9), unlike(3, 300), [(1, ""), (2, None), (None, "")], [*unlike(8, 300), (90, unlike(8, 300)[0][1])]])
+def test_tables_and_chunks_without_a_repeated_passage(spark, small_chunks, rows):
+    """Nothing repeats, there are only empty texts, or all chunks but one or two are clean."""
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted((tuple(r) for r in substrings.remove_repeated(df).drop("kept_text").collect()), key=str) == words_removed(rows, 20)
+    assert sorted((tuple(r) for r in suffixes.remove_repeated(df).drop("kept_text", "text_hash").collect()), key=str) == bytes_removed(rows, 50)
+    assert suffixes.clean(df).count() == len(rows)
+
+
+def test_words_whose_polynomials_collide_stay(spark):
+    def thue_morse(n):
+        return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+    a = thue_morse(1024)
+    rows = [(1, " ".join(["w"] * 19 + [a])), (2, " ".join(["w"] * 19 + [a.translate(str.maketrans("ab", "ba"))]))]
+    got = sorted((tuple(r) for r in substrings.remove_repeated(spark.createDataFrame(rows, SCHEMA)).drop("kept_text").collect()), key=str)
+    assert got == words_removed(rows, 20) and all(r[2] == 0 for r in got)
+
+
+def test_texts_beyond_two_slices(spark, monkeypatch):
+    for module in (substrings, suffixes):
+        monkeypatch.setattr(module, "SLICE", 1000)
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefgh \n", k=4000))
+    rows = [(1, base), (2, "x" * 3000 + " " + base[100:2600]), (3, base[990:1040] + "y " + base), (4, "z " * 900 + base[1970:2030])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in substrings.remove_repeated(df).drop("kept_text").collect()), key=str) == words_removed(rows, 20)
+    assert sorted((tuple(r) for r in suffixes.remove_repeated(df).drop("kept_text", "text_hash").collect()), key=str) == bytes_removed(rows, 50)
+
+
+def test_suffix_sizes_are_checked_and_names_may_clash(spark):
+    df = spark.createDataFrame([(1, "a" * 80, 7), (2, "b" + "a" * 80, 8)], "doc_id long, text string, _text_hash int")
+    for size in (19, 274):
+        with pytest.raises(ValueError, match="size"):
+            suffixes.remove_repeated(df, size)
+    assert sorted((r.doc_id, r.text, r._text_hash) for r in suffixes.clean(df).collect()) == [(1, "a" * 80, 7), (2, "b", 8)]
