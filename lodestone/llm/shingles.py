@@ -1,12 +1,18 @@
 """Near-duplicates by exact similarity of shingle sets: documents link at a Jaccard similarity of 0.8 of their 5-word shingles.
 
-Candidates come from ``BANDS`` bands of ``ROWS`` minima each (MinHash): a pair at exactly 0.8 shares no band with a
-probability of 7e-6, a more similar one with less. Every candidate pair that can still change a group is verified on
-the texts. First each class of a band is compared with the least of its band; what then lies in one group needs no
-further comparison, and in bands that hold several groups all members outside the most frequent group are compared
-with all members of the band. So a large group of copies costs rows in proportion to its size.
-
-Documents with equal shingle sets are one class. A text of at most five words is one shingle; null text is as empty.
+The candidates of operator 7 (fingerprints of the same shingles at two or fewer differing bits, by the generalised
+pigeonhole principle) are verified first. SimHash alone can't give right results here: two sets with a similarity of 0.8
+differ in ten of 64 bits on average, too many for any pigeonhole allocation to be selective. So further candidates come
+from ``BANDS`` bands of ``ROWS`` minima each: a pair at exactly 0.8 shares no band with a probability of 7e-6, a more
+similar one with less.
+
+Every candidate pair that can still change a group is verified on the texts. First each class of a band (or of linked
+fingerprints) is compared with the least of it; what then lies in one group needs no further comparison, and in bands that
+hold several groups all members outside the most frequent group are compared with all members of the band. So a large
+group of copies costs rows in proportion to its size.
+
+Documents with equal shingle sets are one class. A text of at most five words is one shingle; null text is as empty. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, per_text, stored
-from lodestone.llm.simhash import components, shingle_hashes
+from lodestone.llm.common import LAST_DOC, cut, per_text, stored
+from lodestone.llm.simhash import components, dealt, fingerprint_value, links, shingle_hashes
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -46,17 +52,19 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def classed(text: Column) -> Column:
-    """struct<fp, bands>: the hash of the shingle set, and its band keys."""
+    """struct<fp, print, bands>: the hash of the shingle set, its SimHash fingerprint, and its band keys."""
 
     def run(texts: list[str | None]) -> pa.Array:
-        fps, bands = [], []
+        fps, prints, bands = [], [], []
         for t in texts:
             hashes = shingle_set(t)
             fps.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42))
+            prints.append(fingerprint_value(hashes))
             bands.append(band_keys(hashes))
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["fp", "bands"])
+        both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, prints)]
+        return pa.StructArray.from_arrays([*both, pa.array(bands, pa.list_(pa.int64()))], ["fp", "print", "bands"])
 
-    return per_text(run, "struct<fp: long, bands: array<long>>")(text)
+    return per_text(run, "struct<fp: long, print: long, bands: array<long>>")(text)
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,23 +87,32 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(found.mapInArrow(verify, "a long, b long"))
 
 
+def linked_prints(classes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of classes (fp, print): those with one fingerprint against the least of them, and the least of
+    linked fingerprints against one another."""
+    least = cut(classes.groupBy("print").agg(F.min("fp").alias("least")))
+    same = dealt(classes.select("fp", "print"), "print", least, "fp").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = links(least.select(F.col("print").alias("fp")))
+    ends = near.join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long), component_id for every row of ``docs``; component_id is the group's smallest doc_id, null if
-    it has none."""
+    """doc_id, h (hash of the text), label: equal for the rows of one group."""
     known = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # texts are found again by their hash, not stored
     rows = stored(known.select("doc_id", "h", classed(F.col("text")).alias("c")).select("doc_id", "h", "c.*"))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("h").alias("h")))
+    classes = cut(rows.groupBy("fp").agg(F.min("h").alias("h"), F.min("print").alias("print")))
     banded = rows.groupBy("fp").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "fp")
     least = banded.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(banded.join(least, "band"))
+    tried = cut(shared.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).union(linked_prints(classes)).distinct())
 
-    needed = classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "h")
+    some = shared.select("fp").union(tried.select("a")).union(tried.select("b")).distinct()
+    needed = classes.join(some, "fp", "left_semi").select("fp", "h")
     texts = stored(known.join(needed, "h").groupBy("fp").agg(F.first("text").alias("text")))
-    nodes = classes.select("fp", F.col("fp").alias("rank"))
-    tried = cut(shared.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
     edges = similar(tried, texts)
 
-    grouped = shared.select("band", "fp").join(components(nodes, edges), "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    grouped = shared.select("band", "fp").join(components(edges), "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
     sizes = grouped.groupBy("band", "label").agg(F.count("*").alias("n"))
     most = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
     mixed = cut(grouped.join(most.drop("groups"), "band"))
@@ -103,12 +120,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = few.join(all_, "band").filter("label <> their").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     edges = edges.union(similar(pairs.join(tried, ["a", "b"], "left_anti"), texts))
 
-    labelled = cut(classes.join(components(nodes, edges), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
-    firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "fp").join(labelled.join(firsts, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    labels = classes.select("fp").join(components(edges), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return dealt(rows.select("doc_id", "h", "fp"), "fp", labels, "doc_id").select("doc_id", "h", "label")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each group: that with the smallest doc_id (rows without one come last), of several texts under
+    that doc_id the one with the least hash, of equal rows any one. Other columns stay, whatever their names."""
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST_DOC)).alias("id"), F.col("h").alias("hash"))
+    first = near_duplicates(docs).groupBy("label").agg(F.min(order).alias("first")).select("first.*")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(LAST_DOC)).alias("id"), F.xxhash64("text").alias("hash"))
+    one = keyed.join(first, ["id", "hash"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id", "hash")))
+    return one.filter("nth = 1").select("row.*")

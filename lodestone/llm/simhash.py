@@ -7,8 +7,9 @@ groups + 1, where -1 skips the group. Two fingerprints within the threshold then
 group. For each fingerprint, dynamic programming picks the thresholds with the fewest estimated candidates; only the
 probing side enumerates variants, the indexed side sends one key per group. Candidates are verified by popcount.
 
-Null text counts as empty: its fingerprint is zero, and it links like any other. A null doc_id is left out of
-component minima unless the whole class has none. Repeated rows are members of the same class.
+An empty table gives an empty table. Null text counts as empty: its fingerprint is zero, and it links like any other.
+A null doc_id is left out of component minima; a component without any doc_id has a null component_id. Repeated rows are
+members of the same class. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -156,8 +157,9 @@ def choose_groups(sample: np.ndarray, threshold: int, rows: int, most: int = 4)
     return min(tried, key=lambda x: x[:2])[2]
 
 
-def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sample_rows: int = 20_000) -> DataFrame:
-    """Pairs (a < b) of different fingerprints in column ``fp`` that differ in at most ``threshold`` bits.
+def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sample_rows: int = 20_000, most: int = 1000) -> DataFrame:
+    """Pairs (a < b) of different fingerprints in column ``fp`` that differ in at most ``threshold`` bits: all of them, but
+    among the fingerprints of a very full bucket (more than ``most``) only as many as keep connected what is connected.
 
     ``sample_rows`` bounds the sample from which bits are grouped and candidates estimated; with the number of
     fingerprints it also decides the number of groups where none is given. All of this is about cost only, since every
@@ -195,48 +197,80 @@ def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sam
     left = classes.select("fp").mapInArrow(probe, schema)
     right = classes.select("fp").mapInArrow(index, schema).withColumnRenamed("fp", "other")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= threshold
+    full = cut(right.groupBy("g", "key").count().filter(F.col("count") > most).drop("count"))
+    crowded = full.limit(1).count() > 0
+    if crowded:
+        # Whoever probes a full bucket and whoever is in one meet by shared variants instead.
+        met = left.join(full, ["g", "key"], "left_semi").select("fp").union(right.join(full, ["g", "key"], "left_semi").select("other")).distinct()
+        left, right = (side.join(full, ["g", "key"], "left_anti") for side in (left, right))
     found = left.join(right, ["g", "key"]).filter((F.col("fp") != F.col("other")) & near)
-    return found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    pairs = found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    return (pairs.union(by_variants(met, threshold)) if crowded else pairs).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(fp, label): the smallest ``rank`` (a long) reachable over ``edges`` (a, b), for nodes (fp, rank).
+def by_variants(prints: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b) that connect all of ``prints`` that differ in at most ``threshold`` bits, without any bucket that could
+    fill up: two fingerprints within the threshold share a variant with about half of it flipped on either side, and what
+    shares a variant lies within the threshold or within that many bits of the least, which stands for the rest.
 
-    Only nodes with an edge take part in the rounds; each round takes the smallest label among neighbours and then
-    that label's own label, so that the number of rounds grows with the logarithm of a chain's length.
+    For an odd threshold only one side may flip the larger half, so that each pair in a bucket is checked."""
+    low, high = threshold // 2, -(-threshold // 2)
+
+    def variants(batches):
+        for b in batches:
+            values = b.column("fp").to_numpy().view(np.uint64)
+            for side, t in ((0, low), (1, high)) if low < high else ((0, low),):
+                masks = flips(BITS, t)
+                for i in range(0, len(values), 1024):
+                    part = values[i : i + 1024]
+                    keys = (part[:, None] ^ masks[None, :]).ravel()
+                    yield pa.record_batch({"variant": pa.array(keys.view(np.int64)), "side": pa.array(np.full(len(keys), side, np.int32)), "fp": pa.array(np.repeat(part, len(masks)).view(np.int64))})
+
+    rows = prints.select("fp").mapInArrow(variants, "variant long, side int, fp long")
+    # All of side 0 are within 2 * low bits of one another, and those of side 1 within the threshold of any of side 0.
+    least = rows.filter("side = 0").groupBy("variant").agg(F.min("fp").alias("least"))
+    return rows.join(least, "variant").filter("fp <> least").select(F.least("fp", "least").alias("a"), F.greatest("fp", "least").alias("b")).distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(fp, label): for each end of an edge (a, b), the smallest end that is reachable.
+
+    Each round takes the smallest label among neighbours and then that label's own label, so that the number of rounds
+    grows with the logarithm of a chain's length.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
-    state = cut(both.select(F.col("a").alias("fp")).distinct().join(nodes, "fp").select("fp", "rank", F.col("rank").alias("label")))
+    state = cut(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("label")).select("fp", F.least("fp", "label").alias("label")))
     for _ in range(rounds):
-        told = both.join(state.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
-        near = state.join(told, "fp").select("fp", "rank", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = near.groupBy(F.col("rank").alias("label")).agg(F.min("label").alias("further"))
-        new = near.join(jump, "label", "left").select("fp", "rank", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        new = cut(new)
+        told = dealt(both, "b", state.select(F.col("fp").alias("b"), "label"), "a").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
+        near = state.join(told, "fp").select("fp", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        jump = near.select(F.col("fp").alias("label"), F.col("label").alias("further"))
+        new = cut(dealt(near, "label", jump, "fp").select("fp", "old", F.least("label", "further").alias("label")))
         changed = new.filter("label <> old").limit(1).count()
         state = new.drop("old")
         if not changed:
-            return state.select("fp", "label")
+            return state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def dealt(rows: DataFrame, key: str, named: DataFrame, by: str) -> DataFrame:
+    """``rows`` joined with ``named`` (one row a key), where a key may hold a large share of the rows: they are dealt by the key
+    and a salt from column ``by``, and ``named`` is repeated only for the salts that a key has."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    present = salted.select(key, "_salt").distinct().join(named, key)
+    return salted.join(present, [key, "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, groups: int | None = None, size: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id for every row of ``docs``."""
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    # A class without any doc_id takes part under a rank above all ids; its component_id falls back to null.
-    nodes = classes.select("fp", F.coalesce("first", F.lit(2**63 - 1)).alias("rank"))
-    labels = components(nodes, links(classes, threshold, groups))
-    named = classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    labels = components(links(classes, threshold, groups))
+    labelled = cut(classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = labelled.join(firsts, "label").select("fp", "component_id")
+    return dealt(prints, "fp", named, "doc_id").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_first(docs: DataFrame, threshold: int = 2, groups: int | None = None) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, threshold, groups).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")

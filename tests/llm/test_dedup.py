@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import exchange, simhash, substrings, suffixes
+from lodestone.llm import exchange, shingles, simhash, substrings, suffixes
 from lodestone.llm.common import LAST_DOC
 
 SCHEMA = "doc_id long, text string"
@@ -173,10 +173,53 @@ def test_many_fingerprints_get_wide_groups():
     assert len(simhash.choose_groups(sample, 2, 100_000).groups) == 3 and len(simhash.choose_groups(sample, 2, 10**10).groups) == 2
 
 
+def flipped(fp, *bits):
+    value = fp
+    for b in bits:
+        value ^= 1 << b
+    return value - 2**64 if value >= 2**63 else value
+
+
+def connected(values, threshold):
+    group = list(range(len(values)))
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= threshold:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(sorted(v for v, g in zip(values, group) if g == x) for x in set(group))
+
+
+@pytest.mark.parametrize(("threshold", "most"), [(2, 1000), (2, 3), (3, 2), (1, 1)])
+def test_links_connect_dense_clusters(spark, threshold, most):
+    rng = random.Random(threshold + most)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    values = sorted({flipped(c, *rng.sample(range(64), rng.randrange(5))) for c in centres for _ in range(60)} | {rng.getrandbits(63) for _ in range(20)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    pairs = simhash.links(df, threshold, most=most).collect()
+    assert all(a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= threshold for a, b in pairs) and len(set(pairs)) == len(pairs)
+    labels = {r.fp: r.label for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {}
+    for v in values:
+        got.setdefault(labels.get(v, v), []).append(v)
+    assert sorted(map(sorted, got.values())) == connected(values, threshold)
+
+
+def test_groups_without_ids_stay_apart(spark):
+    """Linked classes of which several have no doc_id: edges 10-11 and 20-21, where 10, 20 and 21 have none."""
+    rng = random.Random(2)
+    a, b = (" ".join("".join(rng.choices("abcdef", k=6)) for _ in range(400)) for _ in range(2))
+    rows = [(None, a), (1, a + " tail"), (None, b), (None, b + " tail"), (None, b), (2, None), (None, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    prints = [fingerprint(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 >= (prints[2] ^ prints[3]).bit_count() and len(set(prints[:4])) == 4
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 2), (1, 1), (2, 2)]
+
+
 def test_one_of_each_group_stays(spark):
-    rows = [(3, "a b c d e f", "k"), (1, "a b c d e f", "l"), (2, "x y z q r s", "m"), (None, "a b c d e f", "n")]
-    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, component_id string")).collect()
-    assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in got) == [(False, 1, "l"), (False, 2, "m"), (True, None, "n")]
+    rows = [(3, "a b c d e f", "k"), (1, "a b c d e f", "l"), (2, "x y z q r s", "m"), (None, "a b c d e f", "n"), (5, "a b c d e f", "o"), (5, "p q r s t u v", "p"), (6, "u v w", "q"), (6, "u v w", "q"), (None, "alone here", "r"), (None, "alone here", "r")]
+    got = shingles.keep_first(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.label) for r in got) == [(0, "alone here", "r"), (1, "a b c d e f", "l"), (2, "x y z q r s", "m"), (5, "p q r s t u v", "p"), (6, "u v w", "q")]
 
 
 def unlike(n, words):
