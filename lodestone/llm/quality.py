@@ -1,17 +1,20 @@
 """Quality rules as a short-circuit cascade.
 
-Every document gets its base counts. The verdict runs rules one after another and stops at the first that rejects:
-:func:`plan_cascade` estimates each rule's cost and selectivity on a bounded sample and puts the rules in order of
-rejection per cost. The order changes what a verdict costs, never the verdict.
-
-Null and empty texts have no words: they fail the base rule and are rejected. Extra columns and repeated rows do not
-matter, since every row is judged by its text alone.
+A rule looks at features of a text (its words, its lines, its repeated windows, ...). Features are computed when a rule
+first asks for them, so a verdict that stops at the first rejection pays for no later feature. :func:`plan_cascade`
+measures on a bounded sample what each feature costs and what each rule rejects, and puts the rules in order of rejection
+per cost: at each step the rule with the most rejected per second among the sample's survivors, where features that
+earlier rules computed are free. The order changes what a verdict costs, never the verdict.
+
+Null and empty texts have no words: they fail the base rules and are rejected. An empty table gives an empty table, with
+the rules in their written order. Extra columns and repeated rows do not matter, since every row is judged by its text alone.
 """
 
 from __future__ import annotations
 
 import re
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -65,113 +68,147 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-@dataclass(frozen=True)
+def commonest_pair(words: list[str]) -> int:
+    """How often the most frequent pair of neighbouring words occurs."""
+    return max(Counter(zip(words, words[1:], strict=False)).values(), default=0)
+
+
+#: What rules look at: how each feature is computed, from the text and from features before it.
+FEATURES: dict[str, Callable[[Facts], object]] = {
+    "words": lambda f: words_of(f.text),
+    "word_chars": lambda f: sum(map(len, f["words"])),
+    "n_symbols": lambda f: len(f.text.translate(NOT_SYMBOL)) if f.text.isascii() else sum(map(f.text.count, SYMBOLS)),
+    "n_dup_lines": lambda f: duplicate_lines(f.text),
+    "n_repeat_words": lambda f: repeated_words(f["words"]),
+    "n_upper": lambda f: sum(map(str.isupper, f["words"])),
+    "n_letters": lambda f: sum(map(str.isalpha, f.text)),
+    "commonest_pair": lambda f: commonest_pair(f["words"]),
+}
+
+
 class Facts:
-    """What rules look at; the base counts exist for every document."""
+    """A text and those of its features that have been asked for."""
 
-    text: str
-    words: list[str]
-    word_chars: int
-    n_symbols: int
-    n_dup_lines: int
-    n_repeat_words: int
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.known: dict[str, object] = {}
 
+    def __getitem__(self, name: str):
+        if name not in self.known:
+            self.known[name] = FEATURES[name](self)
+        return self.known[name]
 
-def base_failed(f: Facts) -> bool:
-    return len(f.words) < 50 or 100 * f.n_repeat_words > 50 * len(f.words)
+    @property
+    def n_words(self) -> int:
+        return len(self["words"])
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Facts], bool]
 
 
-def _shouting(f: Facts) -> bool:
-    upper = sum(map(str.isupper, f.words))
-    return upper > 0.5 * len(f.words)
+def _short(f: Facts) -> bool:
+    return f.n_words < 50
 
 
-def _odd_lengths(f: Facts) -> bool:
-    return not 2 <= f.word_chars / max(1, len(f.words)) <= 30
+def _repetitive(f: Facts) -> bool:
+    return 100 * f["n_repeat_words"] > 50 * f.n_words
 
 
-#: Beyond the base rule; the limits are wide, so that ordinary prose of any length passes.
+#: The base rules first; beyond them the limits are wide, so that ordinary prose of any length passes.
 RULES = (
-    Rule("base", base_failed),
-    Rule("symbols", lambda f: f.n_symbols > 0.2 * max(1, len(f.words))),
-    Rule("duplicate_lines", lambda f: f.n_dup_lines > 0.3 * (f.text.count("\n") + 1)),
-    Rule("word_length", _odd_lengths),
-    Rule("shouting", _shouting),
+    Rule("short", ("words",), _short),
+    Rule("repetitive", ("words", "n_repeat_words"), _repetitive),
+    Rule("symbols", ("words", "n_symbols"), lambda f: f["n_symbols"] > 0.2 * max(1, f.n_words)),
+    Rule("duplicate_lines", ("n_dup_lines",), lambda f: f["n_dup_lines"] > 0.3 * (f.text.count("\n") + 1)),
+    Rule("word_length", ("words", "word_chars"), lambda f: not 2 <= f["word_chars"] / max(1, f.n_words) <= 30),
+    Rule("shouting", ("words", "n_upper"), lambda f: f["n_upper"] > 0.5 * f.n_words),
+    Rule("few_letters", ("words", "word_chars", "n_letters"), lambda f: f["n_letters"] < 0.5 * f["word_chars"]),
+    Rule("one_phrase", ("words", "commonest_pair"), lambda f: f["commonest_pair"] > 0.2 * f.n_words),
 )
 
 
-def facts(text: str | None) -> Facts:
-    text = text or ""
-    words = words_of(text)
-    return Facts(text, words, sum(map(len, words)), len(text.translate(NOT_SYMBOL)) if text.isascii() else sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words))
-
-
-@dataclass(frozen=True)
-class Measured:
-    name: str
-    seconds: float
-    rejected: float
-
-    @property
-    def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
+def base_failed(f: Facts) -> bool:
+    return _short(f) or _repetitive(f)
 
 
-def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Measured]:
-    """Mean cost and rejected share of each rule on its own over a sample."""
-    sample = [facts(t) for t in texts]
-    out = []
-    for rule in rules:
+def plan_order(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """The rules by rejection per cost over a sample of texts."""
+    facts = [Facts(t) for t in texts]
+    seconds: dict[str, float] = {}
+    for name in dict.fromkeys(n for r in rules for n in r.needs):
         began = time.perf_counter()
-        gone = sum(rule.rejects(f) for f in sample)
-        out.append(Measured(rule.name, (time.perf_counter() - began) / max(1, len(sample)), gone / max(1, len(sample))))
-    return out
+        for f in facts:
+            f[name]
+        seconds[name] = time.perf_counter() - began
+    own: dict[str, float] = {}
+    gone: dict[str, list[bool]] = {}
+    for r in rules:
+        began = time.perf_counter()
+        gone[r.name] = [r.rejects(f) for f in facts]
+        own[r.name] = time.perf_counter() - began
+    left, computed, order = set(range(len(facts))), set(), []
+    while len(order) < len(rules):
+        # Costs are of the whole sample, and so are the same for all up to the share of it that is left.
+        cost = {r.name: own[r.name] + sum(seconds[n] for n in r.needs if n not in computed) for r in rules if r not in order}
+        hits = {k: sum(gone[k][i] for i in left) for k in cost}
+        best = max((r for r in rules if r not in order), key=lambda r: (hits[r.name] / max(cost[r.name], 1e-9), -cost[r.name]))
+        order.append(best)
+        computed.update(best.needs)
+        left = {i for i in left if not gone[best.name][i]}
+    return tuple(order)
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400, text: str = "text") -> tuple[Rule, ...]:
-    """The rules by rejection per cost, as measured on at most ``sample_rows`` whole documents (of up to 200,000
+    """The rules in the order of :func:`plan_order`, as measured on at most ``sample_rows`` whole documents (of up to 20,000
     characters, which bounds what the driver holds)."""
-    sample = [r[0] for r in docs.filter(F.length(text) <= 200_000).select(text).limit(sample_rows).collect()]
-    worth = {m.name: m.worth for m in measure(sample, rules)}
-    return tuple(sorted(rules, key=lambda r: -worth[r.name]))
+    sample = [r[0] for r in docs.filter(F.length(text) <= 20_000).select(text).limit(sample_rows).collect()]
+    return plan_order(sample, rules) if sample else rules
 
 
 def verdict(f: Facts, rules: tuple[Rule, ...]) -> bool:
-    """True if no rule rejects; later rules do not run once one has."""
+    """True if no rule rejects; later rules do not run once one has, nor are their features computed."""
     return not any(rule.rejects(f) for rule in rules)
 
 
-def quality(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """A struct of FIELDS for a text column; ``rules`` in the order in which they shall run."""
-    by_name = {r.name: r for r in RULES}
-    own = tuple(r for r in rules if by_name.get(r.name) is not r)
-    names = [r.name for r in rules]
+def kept(text: Column, names: tuple[str, ...]) -> Column:
+    """The verdict alone, by the rules with these names in this order."""
 
     def judge(texts: list[str | None]) -> pa.Array:
-        known = {r.name: r for r in (*RULES, *own)}
-        order = tuple(known[n] for n in names)
+        known = {r.name: r for r in RULES}
+        return pa.array([verdict(Facts(t), tuple(known[n] for n in names)) for t in texts], pa.bool_())
+
+    return per_text(judge, "boolean")(text)
+
+
+def quality(text: Column, names: tuple[str, ...]) -> Column:
+    """A struct of FIELDS: the verdict by the rules with these names in this order, then what counts are still missing."""
+
+    def judge(texts: list[str | None]) -> pa.Array:
+        known = {r.name: r for r in RULES}
         out = []
         for t in texts:
-            f = facts(t)
-            out.append((len(f.words), f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, base_failed(f), verdict(f, order)))
+            f = Facts(t)
+            keep = verdict(f, tuple(known[n] for n in names))
+            out.append((f.n_words, f["word_chars"], f["n_symbols"], f["n_dup_lines"], f["n_repeat_words"], base_failed(f), keep))
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
         return pa.StructArray.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, KIND, strict=True)], fields=list(KIND))
 
     return per_text(judge, f"struct<{', '.join(x.replace(' ', ': ') for x in FIELDS.split(', '))}>")(text)
 
 
+def _names(docs: DataFrame, sample_rows: int) -> tuple[str, ...]:
+    return tuple(r.name for r in plan_cascade(docs, sample_rows=sample_rows))
+
+
 def score_quality(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
     """doc_id with FIELDS for every row of ``docs``."""
-    rules = plan_cascade(docs, sample_rows=sample_rows)
-    return docs.select("doc_id", quality(F.col("text"), rules).alias("q")).select("doc_id", "q.*")
+    return docs.select("doc_id", quality(F.col("text"), _names(docs, sample_rows)).alias("q")).select("doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
     """``docs`` without the rows that the cascade rejects; all columns stay."""
-    return docs.filter(quality(F.col("text"), plan_cascade(docs, sample_rows=sample_rows))["kept"])
+    return docs.filter(kept(F.col("text"), _names(docs, sample_rows)))

@@ -97,9 +97,13 @@ triples AS (SELECT doc_id, i, w, CASE WHEN count(*) OVER f = 3 THEN string_agg(w
 twice AS (SELECT *, k IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k) > 1 AS t FROM triples),
 inside AS (SELECT doc_id, i, w, bool_or(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r FROM twice),
 per_doc AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (r) AS n_repeat_words, count(*) FILTER (w <> lower(w) AND w = upper(w)) AS n_upper FROM inside GROUP BY 1),
+pairs AS (SELECT doc_id, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM words),
+often AS (SELECT doc_id, max(n) AS commonest FROM (SELECT doc_id, pair, count(*) AS n FROM pairs WHERE pair IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_upper, 0) AS n_upper, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS breaks FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id)
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_upper, 0) AS n_upper, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS breaks,
+  length(regexp_replace(coalesce(text, ''), '\\P{{L}}', '', 'g')) AS n_letters, coalesce(commonest, 0) AS commonest FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN often o ON o.doc_id = d.doc_id)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_symbols > 0.2 * greatest(n_words, 1) AND NOT n_dup_lines > 0.3 * (breaks + 1) AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 30 AND NOT n_upper > 0.5 * n_words AS kept FROM counts""",
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_symbols > 0.2 * greatest(n_words, 1) AND NOT n_dup_lines > 0.3 * (breaks + 1) AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 30 AND NOT n_upper > 0.5 * n_words
+  AND NOT n_letters < 0.5 * word_chars AND NOT commonest > 0.2 * n_words AS kept FROM counts""",
 }

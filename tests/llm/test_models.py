@@ -217,15 +217,37 @@ def test_quality_counts_and_cascade(spark):
     assert [r.text for r in kept if r.text == prose] == [prose] and all(r.text for r in kept)
 
 
-def test_cascade_puts_the_most_rejection_per_cost_first(spark):
+def test_cascade_puts_the_most_rejection_per_cost_first(monkeypatch):
     import time
 
-    slow = quality.Rule("slow", lambda f: time.sleep(0.002) or True)
-    never = quality.Rule("never", lambda f: False)
-    quick = quality.Rule("quick", lambda f: len(f.words) < 100)
-    df = spark.createDataFrame([(i, "some words here") for i in range(20)], "doc_id long, text string")
-    assert [r.name for r in quality.plan_cascade(df, (never, slow, quick))] == ["quick", "slow", "never"]
+    monkeypatch.setitem(quality.FEATURES, "costly", lambda f: time.sleep(0.002))
+    slow = quality.Rule("slow", ("costly",), lambda f: f["costly"] is None)
+    never = quality.Rule("never", (), lambda f: False)
+    quick = quality.Rule("quick", ("words",), lambda f: f.n_words < 100)
+    assert [r.name for r in quality.plan_order(["some words here"] * 20, (never, slow, quick))][0] == "quick"
+    rare = quality.Rule("rare", ("words",), lambda f: "rare" in f.text)
+    # Of the survivors, only the costly rule rejects some: it comes before the rule that rejects none of them.
+    texts = ["some words here"] * 10 + ["word " * 120] * 10 + ["rare words"] * 2
+    assert [r.name for r in quality.plan_order(texts, (rare, slow, quick))] == ["quick", "slow", "rare"]
     ran = []
-    rules = tuple(quality.Rule(str(k), lambda f, k=k: ran.append(k) or k == 1) for k in range(3))
-    assert not quality.verdict(quality.facts("x"), rules) and ran == [0, 1]
+    rules = tuple(quality.Rule(str(k), (), lambda f, k=k: ran.append(k) or k == 1) for k in range(3))
+    assert not quality.verdict(quality.Facts("x"), rules) and ran == [0, 1]
     assert quality.repeated_words(["a"]) == 0 and quality.repeated_words([]) == 0
+    assert quality.plan_order([None, ""], quality.RULES)
+
+
+def test_cascade_computes_only_what_it_needs(spark, monkeypatch):
+    computed = []
+    for name, make in list(quality.FEATURES.items()):
+        monkeypatch.setitem(quality.FEATURES, name, lambda f, name=name, make=make: computed.append(name) or make(f))
+    rules = {r.name: r for r in quality.RULES}
+    order = tuple(rules[n] for n in ("short", "symbols", "duplicate_lines", "word_length", "shouting", "few_letters", "one_phrase", "repetitive"))
+    assert not quality.verdict(quality.Facts("too short a text"), order) and computed == ["words"]
+    computed.clear()
+    assert not quality.verdict(quality.Facts("# " * 80), order) and computed == ["words", "n_symbols"]
+    computed.clear()
+    rng = random.Random(1)
+    prose = ". ".join(made_up(rng, ["the", "ing", "er", "on", "sh", "an"], 12) for _ in range(40))
+    assert quality.verdict(quality.Facts(prose), order) and sorted(computed) == sorted(quality.FEATURES)
+    empty = spark.createDataFrame([], "doc_id long, text string, kept boolean")
+    assert quality.score_quality(empty).count() == quality.keep_good(empty).count() == 0
