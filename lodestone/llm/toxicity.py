@@ -1,18 +1,22 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in the markers it holds (words and beginnings of words);
-a sentence without any has score 0. The document's score is the noisy-or of its sentences' scores, and only document
-labels are learned from: the gradient of the noisy-or tells which sentences a toxic label came from. Sentences with a
-score of at least one half are reported as offending.
-
-Null and empty texts score 0. Rows of ``labels`` without a toxic value, or of unknown documents, are not learned from;
-without labels of both kinds every score is 0. Repeated rows count as often as they occur.
+A document is a bag of sentences. A sentence's score is logistic in all its features: its words and the beginnings of its
+words, hashed to ``WIDTH`` places. The document's score is the leaky noisy-or of its sentences' scores: at least one
+offends, or the label came about otherwise (the leak, which also is the score of a text without sentences). Only document
+labels are learned from: the gradient of the noisy-or tells which sentences a toxic label came from. Each weight is
+shrunk by its own penalty, ``penalty`` standard errors of its gradient if labels had nothing to do with it; so few labels
+give few and small weights, and no feature is chosen beforehand. Sentences with a score of at least one half are reported
+as offending.
+
+Null and empty texts have the leak as score. Rows of ``labels`` without a toxic value, or of unknown documents, are not
+learned from; without labels of both kinds every score is 0. Repeated rows count as often as they occur. An empty table
+gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,92 +29,124 @@ from lodestone.llm.langid import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+WIDTH = 1 << 20
 
 
-def markers(word: str) -> list[str]:
-    """The word itself, and its beginnings as stems."""
-    return [word, *(f"{word[:k]}~" for k in STEMS if len(word) > k)]
+def places(word: str) -> tuple[int, ...]:
+    """The places of a lower-case word and of its beginnings."""
+    return tuple(zlib.crc32(x.encode()) % WIDTH for x in (word, *(f"{word[:k]}~" for k in STEMS if len(word) > k)))
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    weights: np.ndarray  # by place
     bias: float
-
-    def of_word(self, word: str) -> tuple[str, ...]:
-        return tuple(m for m in markers(word) if m in self.weights)
-
-
-def choose_markers(texts: list[str], labels: list[int], least: float = 28.0, most: int = 3000) -> list[str]:
-    """Markers whose presence in a document goes with the label: the largest log-likelihood ratios above ``least``."""
-    seen = (Counter(), Counter())
-    n = Counter(labels)
-    for text, label in zip(texts, labels, strict=True):
-        seen[label].update({m for w in set(WORD.findall(text.lower())) for m in markers(w)})
-    out = []
-    for m, a in seen[1].items():
-        b = seen[0][m]
-        if a / n[1] > 3 * (b + 0.5) / n[0]:
-            p = (a + b) / (n[0] + n[1])
-            g = sum(2 * x * np.log(x / e) for x, e in ((a, n[1] * p), (b, n[0] * p), (n[1] - a, n[1] * (1 - p)), (n[0] - b, n[0] * (1 - p))) if x > 0 and e > 0)
-            if g > least:
-                out.append((-g, m))
-    return [m for _, m in sorted(out)[:most]]
-
-
-def fit(texts: list[str], labels: list[int], prior: float | None = None, rounds: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Noisy-or likelihood of document labels by gradient steps (Adam) with weight decay. ``prior`` is the share of
-    label 1 that scores shall reflect, where it differs from that of the sample."""
-    names = choose_markers(texts, labels)
-    number = {m: i for i, m in enumerate(names)}
-    bag_of, sent_of, mark_of = [], [], []
-    n_sent = 0
-    for d, text in enumerate(texts):
-        for s in SENTENCE.findall(text.lower()):
-            own = {number[m] for w in WORD.findall(s) for m in markers(w) if m in number}
-            if own:
-                bag_of.append(d)
-                sent_of += [n_sent] * len(own)
-                mark_of += sorted(own)
-                n_sent += 1
-    if not n_sent:
-        return Model({}, 0.0)
-    bag_of, sent_of, mark_of, y = np.array(bag_of), np.array(sent_of), np.array(mark_of), np.array(labels, float)
-    theta = np.concatenate([np.full(len(names), 0.1), [-1.0]])
+    leak: float
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        """The word's places that have a weight."""
+        return tuple(p for p in places(word) if self.weights[p])
+
+
+NOTHING = Model(np.zeros(WIDTH, np.float32), -30.0, 0.0)
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def bag(text: str, most: int) -> bytes:
+    """A document's sentences, each the sorted distinct places of its words and -1: those with the least hashes up to
+    ``most`` numbers, so that very long texts are learned from all over their length."""
+    sentences, total = [], 0
+    for s in SENTENCE.findall(text.lower()):
+        own = sorted({p for w in WORD.findall(s) for p in places(w)})
+        if own:
+            sentences.append(np.array([*own, -1], np.int32))
+            total += len(own) + 1
+    if total > most:
+        sentences.sort(key=lambda a: zlib.crc32(a.tobytes()))
+        sizes = np.cumsum([len(a) for a in sentences])
+        sentences = sentences[: max(1, int(np.searchsorted(sizes, most, side="right")))]
+    return np.concatenate(sentences)[: 4 * most].tobytes() if sentences else b""
+
+
+def fit(bags: list[bytes], labels: list[int], prior: float | None = None, penalty: float = 4.0, dropped: float = 0.5, rounds: int = 200, rate: float = 0.1, seed: int = 3) -> Model:
+    """Penalised leaky noisy-or likelihood of document labels by gradient steps (Adam). ``prior`` is the share of label 1
+    that scores shall reflect, where it differs from that of the sample. The leak is held at a twentieth of it for the first
+    half of the rounds, so that it explains only what sentences can't."""
+    y = np.array(labels, float)
+    share = float(y.mean()) if len(y) else 0.0
+    if not 0 < share < 1:
+        return NOTHING
+    prior = share if prior is None else prior
+    numbers = [np.frombuffer(b, np.int32) for b in bags]
+    every = np.concatenate(numbers)
+    bag_of = np.repeat(np.arange(len(bags)), [len(x) for x in numbers])
+    mark = every >= 0
+    sentence = (np.cumsum(~mark) - ~mark)[mark]
+    doc = bag_of[~mark]  # of each sentence
+    known, feature = np.unique(every[mark], return_inverse=True)
+    n_sent, n_doc, n = len(doc), len(bags), len(known)
+    # What is seen in one document only tells nothing of others; what no toxic document holds is left to the bias.
+    pairs = np.unique(feature.astype(np.int64) * n_doc + bag_of[mark])
+    held = (np.bincount(pairs // n_doc, minlength=n) > 1) & (np.bincount(pairs // n_doc, y[pairs % n_doc], n) > 0)
+    use = held[feature]
+    number = np.cumsum(held) - 1
+    known, feature, sentence = known[held], number[feature[use]], sentence[use]
+    n = len(known)
+    if not n:
+        return NOTHING
+    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) / n_doc
+    # A feature's sentences side by side, and a sentence's features: sums over either are sums over runs.
+    by_feature = np.argsort(feature, kind="stable")
+    sentences_of, feature_at = sentence[by_feature], np.searchsorted(feature[by_feature], np.arange(n))
+    filled, sentence_at = np.unique(sentence, return_index=True)
+    # Standard errors of the gradient at zero weights, if labels came by chance.
+    per_doc = np.maximum(np.bincount(doc, minlength=n_doc), 1)
+    cells, of = np.unique(feature.astype(np.int64) * n_doc + doc[sentence], return_inverse=True)
+    part = np.bincount(of) / per_doc[cells % n_doc]
+    scale = np.sqrt(np.bincount(cells // n_doc, part**2, n) * np.mean(weight**2 * (y - prior) ** 2))
+    theta = np.concatenate([np.zeros(n), [np.log(prior / per_doc.mean())], [np.log(prior / 20 / (1 - prior / 20))]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    share = y.mean()
-    balance = np.ones(len(y)) if prior is None or not 0 < share < 1 else np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    rng = np.random.default_rng(seed)
     for step in range(1, rounds + 1):
-        z = np.bincount(sent_of, theta[mark_of], n_sent) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of no sentence being toxic
-        doc = -np.expm1(none)
-        # d loss / d log(1 - p_s): for label 0 it is -1, for label 1 it is the odds of no sentence.
-        pull = np.where(y == 1, np.exp(none) / np.maximum(doc, 1e-9), -1.0) * balance / len(y)
-        grad_z = -pull[bag_of] * p
-        grad = np.concatenate([np.bincount(mark_of, grad_z[sent_of], len(names)) + decay * theta[:-1], [grad_z.sum()]])
+        # Each step goes without some of the features, so that those which occur together all have to carry weight.
+        seen = rng.random(n) >= dropped
+        z = np.full(n_sent, theta[n])
+        z[filled] += np.add.reduceat((theta[:n] * seen)[feature], sentence_at)
+        p = sigmoid(z)
+        leak = sigmoid(theta[n + 1])
+        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_doc) + np.log1p(-leak)
+        # Of the loss by log(1 - p_s): for label 0 it is -1, for label 1 the odds of no sentence.
+        pull = np.where(y == 1, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0) * weight
+        of_z = -pull[doc] * p
+        smooth = penalty * scale * theta[:n] / np.sqrt(theta[:n] ** 2 + 1e-4)
+        grad = np.concatenate([(np.add.reduceat(of_z[sentences_of], feature_at) + smooth) * seen, [of_z.sum(), -(pull * leak).sum() * (2 * step > rounds)]])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model({m: float(w) for m, w in zip(names, theta[:-1], strict=True) if abs(w) > 1e-3}, float(theta[-1]))
+        theta -= rate * (1 - step / (rounds + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+    weights = np.zeros(WIDTH, np.float32)
+    weights[known] = np.where(np.abs(theta[:n]) > 0.05, theta[:n], 0)
+    return Model(weights, float(theta[n]), float(sigmoid(theta[n + 1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, longest: int = 200_000) -> Model:
-    """Learns from about ``sample_rows`` labelled rows, chosen by a hash of doc_id, up to three eighths of them toxic.
-    Documents of more than ``longest`` characters are not learned from (they are scored whole)."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most: int = 6000) -> Model:
+    """Learns from about ``sample_rows`` labelled rows, chosen by a hash of doc_id, up to three eighths of them toxic, and of
+    each from at most about ``most`` numbers (see :func:`bag`), which bounds what the driver holds to 4 * sample_rows * most
+    bytes. Texts themselves never reach the driver."""
     known = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not counts.get(1) or not counts.get(0):
-        return Model({}, 0.0)
+        return NOTHING
     toxic = min(counts[1], sample_rows * 3 // 8)
     share = {1: toxic / counts[1], 0: min(1.0, (sample_rows - toxic) / counts[0])}
     limit = F.when(F.col("label") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).limit(2 * sample_rows)  # bounded, so it can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text").between(1, longest)).select("text", "label", "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r[2], r[0]))
-    if len({r[1] for r in rows}) < 2:
-        return Model({}, 0.0)
-    return fit([r[0] for r in rows], [r[1] for r in rows], counts[1] / (counts[0] + counts[1]))
+    in_bags = per_text(lambda texts: pa.array([bag(t or "", most) for t in texts], pa.binary()), "binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(in_bags(F.col("text")).alias("bag"), "label", "doc_id").limit(2 * sample_rows).collect()
+    rows = sorted(((r[2], bytes(r[0]), r[1]) for r in rows if len(r[0])))
+    return fit([r[1] for r in rows], [r[2] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 
 KIND = pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
@@ -122,8 +158,9 @@ def score(text: Column, model: Model, spark) -> Column:
 
     def run(texts: list[str | None]) -> pa.Array:
         model, known = shared.value, {}
+        plain = float(sigmoid(model.bias))
 
-        def found(word: str) -> tuple[str, ...]:
+        def found(word: str) -> tuple[int, ...]:
             if (hit := known.get(word)) is None:
                 if len(known) > 300_000:
                     known.clear()
@@ -134,19 +171,16 @@ def score(text: Column, model: Model, spark) -> Column:
         for t in texts:
             t = t or ""
             hits = {w: f for w in set(WORD.findall(t)) if (f := found(w.lower()))}
+            none, spans = np.log1p(-model.leak), []
             if not hits:
-                out.append({"score": 0.0, "offending": []})
-                continue
-            keep, spans = 1.0, []
-            for s in SENTENCE.finditer(t):
+                none += len(SENTENCE.findall(t)) * np.log1p(-plain)
+            for s in SENTENCE.finditer(t) if hits else ():
                 own = {m for w in WORD.findall(s[0]) if w in hits for m in hits[w]}
-                if own:
-                    z = model.bias + sum(model.weights[m] for m in sorted(own))
-                    p = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-                    keep *= 1 - p
-                    if p >= 0.5:
-                        spans.append({"begin": s.start(), "end": s.end(), "score": round(float(p), 6)})
-            out.append({"score": round(float(1 - keep), 6), "offending": spans})
+                p = float(sigmoid(model.bias + sum(float(model.weights[m]) for m in sorted(own)))) if own else plain
+                none += np.log1p(-min(p, 1 - 1e-9))
+                if p >= 0.5:
+                    spans.append({"begin": s.start(), "end": s.end(), "score": round(p, 6)})
+            out.append({"score": min(1.0, max(0.0, round(float(-np.expm1(none)), 6))), "offending": spans})
         return pa.array(out, KIND)
 
     return per_text(run, "struct<score: double, offending: array<struct<begin: long, end: long, score: double>>>")(text)

@@ -117,12 +117,31 @@ def test_toxic_documents_and_their_sentences(spark):
     got = {r.doc_id: r for r in toxicity.toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     held = [(got[i].predicted, int(i % 5 == 0)) for i in range(800) if got[i].held_out]
     assert np.mean([a == b for a, b in held]) > 0.97
-    assert got[900].score == got[901].score == 0 and got[900].predicted == 0
+    assert 0 <= got[900].score == got[901].score < 0.1 and got[900].predicted == 0
     text = docs[0][1]
     spans = [text[s.begin : s.end] for s in got[0].offending]
     assert len(spans) == 1 and ("vileword" in spans[0] or "grubstem" in spans[0])
     none = toxicity.toxicity(d, spark.createDataFrame([], "doc_id long, toxic int")).agg({"score": "max"}).first()[0]
     assert none == 0
+    assert toxicity.toxicity(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_is_learned_from_few_labels_and_long_texts():
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(90):
+        sentences = [made_up(rng, ["the", "ing", "er", "on", "sh", "an", "re"], 9) for _ in range(rng.choice([5, 30, 400]))]
+        if i % 8 == 0:
+            sentences[rng.randrange(len(sentences))] += " vileword"
+        texts.append(". ".join(sentences))
+        labels.append(int(i % 8 == 0))
+    bags = [toxicity.bag(t, 6000) for t in texts]
+    assert max(len(b) for b in bags) <= 4 * 6100
+    model = toxicity.fit(bags, labels)
+    weight = lambda w: sum(float(model.weights[p]) for p in toxicity.places(w))
+    others = [weight(w) for w in set(" ".join(texts).split()) - {"vileword"} if not w.startswith("vileword")]
+    assert weight("vileword") + model.bias > 0 and max(others) < weight("vileword")
+    assert toxicity.fit(bags, [0] * 90) is toxicity.fit([], []) is toxicity.NOTHING
 
 
 def plain_spans(text):
