@@ -206,7 +206,33 @@ def test_field_is_learned_beside_texts_full_of_numbers(spark):
     missed = "please call (212) 555-0187 soon or 4539.1488.0343.6467 there"
     assert field is not None and pii.added_spans(missed, pii.base_spans(missed), field)
     parts = [k for *_, own in pii.chosen([r[0] for r in rows], 500) for k in {s[0] for s in own} or {""}]
-    assert len(parts) == 500 and min(parts.count(k) for k in ("", *pii.KINDS)) > 50
+    assert len(parts) == 500 and min(parts.count(k) for k in ("", *pii.BASE)) > 50
+
+
+def test_added_spans_of_held_out_texts():
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for _ in range(300):
+        personal = rng.choice([f" +1 ({number(3)}) 555-{number(4)} ", f" bob.{number(2)}@mail.example.com ", " 10.20.30.40 ", " 4539 1488 0343 6467 ", f" {number(4)} and {number(3)}.{number(1)} "])
+        texts.append(made_up(rng, ["the", "ing", "er"], 12) + personal + made_up(rng, ["on", "sh"], 6))
+    found = pii.assess(texts[150:], pii.train(texts[:150]))
+    for kind, (there, right, added) in found.items():
+        assert there > 10 and right >= 0.6 * there and right >= 0.95 * added, (kind, found)
+    assert all(n == 0 for _, n, m in pii.assess(texts[150:], None).values() for n in (n, m))
+
+
+def test_spans_in_long_runs_of_numbers():
+    rng = random.Random(13)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    train = [made_up(rng, ["the", "ing", "er"], 9) + f" +1 ({number(3)}) 555-{number(4)} " + made_up(rng, ["on", "sh"], 6) for _ in range(200)]
+    field = pii.train(train)
+    for pad in range(0, 700, 23):
+        text = " ".join("on 12 sh" for _ in range(pad // 9)) + " call (212) 555-0187 now " + "on 77 sh " * 150
+        at = text.index("(212)")
+        assert ("phone", at, at + 14) in pii.added_spans(text, pii.base_spans(text), field)
+        pieces = pii.regions(text)
+        assert max(b - a for a, b in pieces) <= pii.LONG and any(a < at and at + 14 < b for a, b in pieces)
 
 
 def base_counts(text):
