@@ -7,11 +7,10 @@ of label propagation comes to the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
 from lodestone.functions.text import URL_NAMESPACE, normalize_name, uuid5
 
 # Words of a question that speak of a predicate.
@@ -29,13 +28,6 @@ PREDICATE_TERMS = {
 }
 
 
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def locate_support(rows: DataFrame, text: str, content: str) -> DataFrame:
     """With ``begin`` and ``end`` of the trimmed support in its document; rows whose support is not there are left out."""
     place = F.expr(f"locate(trim({text}), {content})")

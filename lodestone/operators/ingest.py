@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from itertools import accumulate
+from html import unescape
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
 from lodestone.functions.text import chunk_text, collapse_whitespace, injection_labels, redact
-from lodestone.functions.urls import host_of, matches_domain
+from lodestone.functions.urls import host_of, normalize_url
 
 
-def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
-    """(source, page, position, text) to chunks with a source-wide ``chunk_index`` and a per-page ``page_chunk``."""
-    parts = pages.select("source", "page", "position", F.posexplode(chunk_text(collapse_whitespace("text"), size, overlap)).alias("page_chunk", "chunk"))
-    order = Window.partitionBy("source").orderBy("page", "position", "page_chunk")
-    return parts.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).withColumn("page_chunk", F.col("page_chunk").cast("long"))
+def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, block: int = 1000) -> DataFrame:
+    """(source, page, position, text) to chunks with a source-wide ``chunk_index`` and a per-page ``page_chunk``.
+
+    Rows are numbered in blocks of ``block`` pages; the blocks' totals, one row each, are added up by source. So the texts of
+    a large source are dealt by block, not all to one task."""
+    rows = pages.select("source", "page", "position", chunk_text(collapse_whitespace("text"), size, overlap).alias("chunks"), F.floor(F.col("page") / block).alias("block"))
+    # Counted apart from the texts, so that only the second join carries them.
+    totals = rows.groupBy("source", "block").agg(F.sum(F.size("chunks")).alias("n"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("source", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("source", "block").orderBy("page", "position").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("ahead", F.coalesce(F.sum(F.size("chunks")).over(within), F.lit(0))).join(offsets, ["source", "block"])
+    found = own.select("source", "page", "position", F.posexplode("chunks").alias("at", "chunk"), (F.col("offset") + F.col("ahead")).alias("first"))
+    return found.select("source", "page", "position", F.col("at").cast("long").alias("page_chunk"), "chunk", (F.col("first") + F.col("at")).cast("long").alias("chunk_index"))
 
 
 def chunk_paragraphs(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
@@ -56,53 +67,70 @@ def column_roles(rows: DataFrame, text_columns: list[str], row_id: str | None, m
 HIDDEN = ("script", "style", "nav", "form", "noscript", "svg", "canvas")
 
 
-class Events(HTMLParser):
-    """A page as a flat list of events: (+1, tag, attributes), (-1, tag, {}) and (0, text, {})."""
+TAG = r"""<[/!?]?[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+#: Comments, and elements whose content is no markup.
+RAW, ANY_TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE), re.compile(TAG)
+#: A hidden element without another in it; and one that is never closed, up to the end.
+ONE_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})\b[^>]*>(?:(?!<(?:{'|'.join(HIDDEN)})\b).)*?</\1\s*>", re.IGNORECASE | re.DOTALL)
+OPEN_HIDDEN = re.compile(rf"<(?:{'|'.join(HIDDEN)})\b.*", re.IGNORECASE | re.DOTALL)
+TITLE = re.compile(rf"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.IGNORECASE | re.DOTALL)
+LINKING = re.compile(r"""<(a|link)\b((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
 
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[int, str, dict[str, str | None]]] = []
-        self.handle_starttag = lambda tag, attrs: self.found.append((1, tag, dict(attrs)))
-        self.handle_endtag = lambda tag: self.found.append((-1, tag, {}))
-        self.handle_data = lambda data: self.found.append((0, data, {}))
-        self.feed(html)
-        self.close()
+def plain_text(html: str) -> str | None:
+    return " ".join(unescape(ANY_TAG.sub(" ", html)).split()) or None
 
 
-def page_facts(html: str) -> dict:
-    """Title, visible text, canonical link and links of a page."""
-    events = Events(html).found
-    hidden = accumulate(events, lambda depth, e: max(0, depth + e[0]) if e[1] in HIDDEN and e[0] else depth, initial=0)
-    titled = accumulate(events, lambda inside, e: e[0] > 0 if e[1] == "title" and e[0] else inside, initial=False)
-    texts = [(e[1], depth, inside) for e, depth, inside in zip(events, list(hidden)[1:], list(titled)[1:], strict=True) if not e[0]]
-    one_line = lambda parts: " ".join(" ".join(parts).split()) or None
-    canonical = [attrs["href"] for kind, tag, attrs in events if kind > 0 and tag == "link" and "canonical" in (attrs.get("rel") or "").lower().split() and attrs.get("href")]
+def page_facts(html: str, url: str | None) -> dict:
+    """Title, visible text, the canonical link as an absolute address, and links of a page. Hidden elements are taken out from
+    the inside, until none is left."""
+    html = RAW.sub(" ", html)
+    linked = [(m[1].lower(), {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[2])}) for m in LINKING.finditer(html)]
+    named = [v.get("href") for tag, v in linked if tag == "link" and "canonical" in v.get("rel", "").lower().split()]
+    titles, left = " ".join(TITLE.findall(html)), 1
+    while left:
+        html, left = ONE_HIDDEN.subn(" ", html)
     return {
-        "title": one_line(t for t, _, inside in texts if inside), "text": one_line(t for t, depth, _ in texts if not depth), "canonical": canonical[-1] if canonical else None,
-        "links": [attrs["href"] for kind, tag, attrs in events if kind > 0 and tag == "a" and (attrs.get("href") or "").strip()],
+        "title": plain_text(titles), "text": plain_text(OPEN_HIDDEN.sub(" ", html)), "canonical": joined_url(url, named[-1]) if named and named[-1] else None,
+        "links": [v["href"] for tag, v in linked if tag == "a" and v.get("href", "").strip()],
     }
 
 
-def extract_html(html: Column) -> Column:
-    """struct<title, text, canonical, links> of a page; null text where nothing is visible."""
+def joined_url(url: str | None, link: str) -> str | None:
+    try:
+        return urljoin(url or "", link)
+    except ValueError:
+        return None
+
+
+def extract_html(html: Column, url: Column | None = None) -> Column:
+    """struct<title, text, canonical, links> of a page; null text where nothing is visible. ``canonical`` is the page's own
+    canonical link where it is on the page's host, else the page's address."""
     kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("canonical", pa.string()), ("links", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([None if h is None else page_facts(h) for h in b.to_pylist()], kind)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, urls in batches:
+            yield pa.array([None if h is None else page_facts(h, u) for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True)], kind)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<title: string, text: string, canonical: string, links: array<string>>")(html)
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    url = F.lit(None).cast("string") if url is None else url
+    found = F.arrow_udf(run, "struct<title: string, text: string, canonical: string, links: array<string>>")(html, url)
+    own = F.when(host_of(found["canonical"]) == host_of(url), normalize_url(found["canonical"]))
+    return F.when(found.isNotNull(), found.withField("canonical", F.coalesce(own, url)))
 
 
 def allowed_pages(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pages (url) whose host is on the list; all where the list is empty. ``patterns`` (pattern) is a short list of
-    settings: it is collected to a bounded array, so that the suffix match needs no theta join."""
-    listed = [r[0] for r in patterns.select("pattern").distinct().limit(10_000).collect()]
-    if not listed:
+    """Pages (url) whose host is on the list; all where the list is empty. A host's own name and what is left of it after
+    each dot meet the listed domains (pattern) by equality, however many there are."""
+    if not patterns.limit(1).count():
         return pages
-    domains = F.array(*[F.lit(p) for p in listed])
-    return pages.filter(F.exists(domains, lambda p: matches_domain(host_of(F.col("url")), p)))
+    domains = patterns.select(F.regexp_replace(F.lower(F.trim("pattern")), r"^\*\.", "").alias("domain")).distinct()
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    parts = F.split("host", r"\.")
+    ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("domain"))
+    listed = ends.join(domains, "domain", "left_semi").select("host").distinct()
+    return pages.join(listed, host_of(F.col("url")) == F.col("host"), "left_semi")
 
 
 def robots_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -110,39 +138,36 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     the path decides; without one a page is allowed."""
     path = F.regexp_replace(F.col("url"), r"^[A-Za-z]+://[^/]*", "")
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path.alias("path"))
-    hits = named.join(F.broadcast(rules), "host").filter(F.expr("startswith(path, prefix)"))
+    hits = named.join(rules, "host").filter(F.expr("startswith(path, prefix)"))
     first = hits.groupBy("page_id").agg(F.min_by("allow", "priority").alias("allow"))
     return named.join(first, "page_id", "left").select("page_id", "url", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
 def dedup_pages(pages: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """Every page with a status: the first of each canonical key, then the first of each text, are kept."""
-    by_key = Window.partitionBy(key).orderBy(order)
-    marked = pages.withColumn("_sha", F.sha2(text, 256)).withColumn("_nth", F.row_number().over(by_key))
-    same = Window.partitionBy("_sha", F.col("_nth") == 1).orderBy(order)
-    marked = marked.withColumn("_copy", F.row_number().over(same))
-    status = F.when(F.col("_nth") > 1, "duplicate_url").when(F.col("_copy") > 1, "duplicate_content").otherwise("kept")
-    return marked.withColumn("status", status).drop("_nth", "_copy", "_sha")
-
-
-def crawl_order(links: DataFrame, seeds: DataFrame, page_limit: int = 100, rounds: int = 50) -> DataFrame:
-    """Breadth-first closure over ``links`` (src, dst) on the hosts of ``seeds`` (node): node, depth and place in the crawl,
-    up to ``page_limit`` pages. The loop runs once per depth; only a count comes to the driver."""
-    context = links.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    total = seen.count()
-    for depth in range(1, rounds):
-        edge = seen.filter(F.col("depth") == depth - 1).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = edge.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(new).checkpoint()
-        now = seen.count()
-        if now == total or total >= page_limit:
+    """Every page with a status: the first of each canonical key, then the first of each text, are kept. ``order`` tells
+    pages apart. Firsts are found by grouping hashes; texts are not sent."""
+    slim = pages.select(F.col(order).alias("_order"), F.col(key).alias("_key"), F.sha2(text, 256).alias("_sha"))
+    firsts = slim.groupBy("_key").agg(F.min(F.struct("_order", "_sha")).alias("f")).select("f.*")
+    kept = firsts.groupBy("_sha").agg(F.min("_order").alias("_order")).select("_order", F.lit("kept").alias("_kept"))
+    status = firsts.join(kept, "_order", "left").select("_order", F.coalesce("_kept", F.lit("duplicate_content")).alias("status"))
+    found = pages.join(status, F.col(order) == F.col("_order"), "left").drop("_order")
+    return found.withColumn("status", F.coalesce("status", F.lit("duplicate_url")))
+
+
+def crawl_order(links: DataFrame, seeds: DataFrame, page_limit: int = 100) -> DataFrame:
+    """Breadth-first closure over ``links`` (src, dst) from ``seeds`` (node): node, depth and place in the crawl, up to
+    ``page_limit`` pages. The loop runs once per depth, until nothing is new or the limit is reached; only a count comes to
+    the driver, and each round writes only what is new."""
+    level = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, total, depth = level, level.count(), 0
+    while total < page_limit:
+        depth += 1
+        reached = level.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        level = cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        new = level.count()
+        if not new:
             break
-        total = now
+        seen, total = seen.unionByName(level), total + new
     nearest = seen.orderBy("depth", "node").limit(page_limit)
     # At most page_limit rows, an argument, so that one window may number them.
     return nearest.withColumn("place", F.row_number().over(Window.orderBy("depth", "node")).cast("long"))

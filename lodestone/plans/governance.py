@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import shared_folder
 from lodestone.operators import governance, maintenance
 from lodestone.plans.registry import query, table
 from lodestone.plans.views import DOCS_NORM, docs_norm
@@ -169,10 +169,7 @@ def idempotent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT conv_id, turn, length(text) > 0 AS filled FROM conversations")

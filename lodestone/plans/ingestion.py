@@ -113,13 +113,30 @@ def stable_document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", uuid5(URL_NAMESPACE, F.concat(F.lit("doc:"), F.col("doc_id"))).alias("id"))
 
 
-@query()
+#: Visible text of the test pages, which nest no hidden elements and hold few kinds of references.
+VISIBLE = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _tag in ingest.HIDDEN:
+    VISIBLE = f"regexp_replace({VISIBLE}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
+
+
+def unescaped(x: str) -> str:
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{sign}')"
+    return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+PAGES = f"""extracted AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, {unescaped("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")} AS title,
+{unescaped(f"regexp_replace({VISIBLE}, '<[/!?]?[A-Za-z][^>]*>', ' ', 'g')")} AS text, len(regexp_extract_all(html, '<a\\s[^>]*href=["''][^"'']*[^"''\\s][^"'']*["'']', 0, 'i')) AS n_links FROM pages)"""
+
+
+@query(f"WITH {PAGES} SELECT page_id, url, title, text, url AS canonical, n_links FROM extracted")
 def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", ingest.extract_html(F.col("html")).alias("p"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", ingest.extract_html(F.col("html"), F.col("url")).alias("p"))
     return pages.select("page_id", "url", "p.title", "p.text", "p.canonical", F.size("p.links").cast("long").alias("n_links"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAGES}, flat AS (SELECT host AS key1, page_id AS key2, 0 AS key3, text FROM extracted WHERE text IS NOT NULL), {chunk_sql('c', 'flat')}
+SELECT key1 AS source, key2 AS page, key3 AS position, n AS page_chunk, trim(substr(text, s + 1, e - s)) AS chunk, row_number() OVER (PARTITION BY key1 ORDER BY key2, key3, n) - 1 AS chunk_index FROM c""")
 def chunk_web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("source"), ingest.extract_html(F.col("html")).alias("p"))
     return ingest.chunk_pages(pages.filter("p.text is not null").select("source", F.col("page_id").alias("page"), F.lit(0).alias("position"), F.col("p.text").alias("text")))
@@ -166,11 +183,14 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.robots_verdicts(pages, hosts.select("host", F.explode(fixed).alias("r")).select("host", "r.*"))
 
 
-@query()
+@query("""WITH RECURSIVE links AS (SELECT p.page_id AS src, q.page_id AS dst FROM pages p JOIN pages q ON q.page_id IN (p.page_id * 2 + 1, p.page_id * 2 + 2, p.page_id + 7)),
+reach(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id < 2 UNION SELECT dst, depth + 1 FROM reach JOIN links ON node = src WHERE depth < 12),
+nearest AS (SELECT node, min(depth) AS depth FROM reach GROUP BY 1) SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS place FROM nearest ORDER BY depth, node LIMIT 100""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id")
-    links = pages.select(F.col("page_id").alias("src"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("dst"))
-    return ingest.crawl_order(links.join(pages, links.dst == pages.page_id, "left_semi"), spark.createDataFrame([(0,)], "node long"), 100)
+    p = F.col("page_id")
+    links = pages.select(p.alias("src"), F.explode(F.array(p * 2 + 1, p * 2 + 2, p + 7)).alias("dst"))
+    return ingest.crawl_order(links.join(pages, links.dst == pages.page_id, "left_semi"), pages.filter("page_id < 2").withColumnRenamed("page_id", "node"), 100)
 
 
 @query("""WITH p AS (SELECT doc_id, 'u' || (doc_id % 700) AS url, text FROM documents), a AS (SELECT doc_id, url, sha256(text) AS sha, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS nth FROM p),

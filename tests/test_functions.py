@@ -105,8 +105,29 @@ def test_domains(spark):
     assert hit("a.example.com", "*.example.com") and hit("example.com", "example.com") and not hit("badexample.com", "example.com")
 
 
+@pytest.mark.parametrize(
+    ("link", "want"),
+    [("/c?d=1#e", "https://A.example/c?d=1"), ("HTTPS://a.example/x", "https://a.example/x"), ("https://b.example/x", None), ("", None), ("mailto:a@b", None)],
+)
+def test_canonical_links_stay_on_the_page_s_host(spark, link, want):
+    url = "https://A.example/page"
+    html = f"<link rel='alternate canonical' href='{link}'><p>x</p>"
+    got = one(spark, ingest.extract_html(F.col("h"), F.col("u")), h=html, u=url)
+    assert got.canonical == (want.replace("https://A", "https://a") if want else url)
+
+
+def test_hidden_elements_may_nest_and_stay_open(spark):
+    html = "a<nav>b<nav>c</nav>d<svg><title>t</title></svg></nav>e<!-- f --><form>g</form>h &amp; i<script>if (a < b) {'<nav>'}</script>j<noscript>k"
+    assert one(spark, ingest.extract_html(F.col("h")), h=html).text == "a e h & i j"
+
+
+def test_tokens_are_folded(spark):
+    assert one(spark, T.tokenize(F.col("t")), t="ＦＵＬＬ ﬁne STRASSE Straße Ⅳ x_y-z") == ["full", "fine", "strasse", "strasse", "iv", "x_y-z"]
+    assert one(spark, T.tokenize(F.col("t")), t="Plain ASCII 1_2") == ["plain", "ascii", "1_2"] and one(spark, T.tokenize(F.col("t")), t="") == []
+
+
 def test_pages(spark):
     html = "<html><head><title> A  b </title><link rel='canonical' href='/c'><style>x{}</style></head><body><p>Hi <b>you</b></p><script>no()</script><a href='/d'>go</a></body></html>"
     r = spark.createDataFrame([(html,), (None,), ("<p></p>",)], "h string").select(ingest.extract_html(F.col("h")).alias("p")).collect()
-    assert (r[0].p.title, r[0].p.text, r[0].p.canonical, r[0].p.links) == ("A b", "A b Hi you go", "/c", ["/d"])
+    assert (r[0].p.title, r[0].p.text, r[0].p.canonical, r[0].p.links) == ("A b", "A b Hi you go", None, ["/d"])
     assert r[1].p is None and r[2].p.text is None
