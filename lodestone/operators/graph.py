@@ -7,6 +7,9 @@ of label propagation comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,8 @@ def invalid_extractions(mentions: DataFrame, relations: DataFrame, documents: Da
 
 
 def resolve_entities(mentions: DataFrame, rounds: int = 60) -> DataFrame:
-    """(mention_id, component): mentions of a type that share a normalized name or alias, transitively.
+    """(mention_id, component): mentions of a type that share a normalized name or alias, transitively; one row for each
+    mention_id, however many rows it has.
 
     A name's mentions all point at the least of them, which links them without pairs; labels then spread over these
     links, and each round also takes the label of its label, so that rounds grow with the logarithm of a chain.
@@ -53,7 +57,7 @@ def resolve_entities(mentions: DataFrame, rounds: int = 60) -> DataFrame:
     least = names.groupBy("entity_type", "name").agg(F.min("mention_id").alias("hub"))
     edges = names.join(least, ["entity_type", "name"]).select(F.col("mention_id").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = mentions.select("mention_id", F.col("mention_id").alias("label"))
+    state = mentions.select("mention_id").distinct().withColumn("label", F.col("mention_id"))
     for _ in range(rounds):
         seen = both.join(state, both.b == state.mention_id).groupBy("a").agg(F.min("label").alias("seen"))
         near = state.join(seen, state.mention_id == seen.a, "left").select("mention_id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label"))
@@ -92,14 +96,16 @@ def aggregate_relationships(relations: DataFrame, of: DataFrame, workspace: str)
     return merged.withColumn("relationship_id", uuid5(URL_NAMESPACE, F.concat_ws(":", F.lit(workspace), "subject", "predicate", "object")))
 
 
-def find_anchors(questions: DataFrame, entities: DataFrame, longest: int = 6) -> DataFrame:
+def find_anchors(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity_id, quality): entities of which a name or alias occurs in the question as whole words. The
-    question's word n-grams meet the names by equality."""
+    question's word n-grams meet the names by equality; they are as long as the longest name."""
+    names = entities.select("entity_id", F.explode(F.array_union(F.array("normalized_name"), F.transform("aliases", normalize_name))).alias("name")).filter("name <> ''").distinct()
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(0)).alias("longest"))  # one row
     words = F.split(normalize_name(F.col("question")), " ")
-    q = questions.select("query_id", words.alias("w")).withColumn("n", F.size("w"))
-    spans = q.select("query_id", "w", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("query_id", "w", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("i") + 1))).alias("k"))
+    q = questions.select("query_id", words.alias("w")).withColumn("n", F.size("w")).join(F.broadcast(longest), F.lit(True))
+    starts = q.select("query_id", "w", "n", "longest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).filter("longest > 0")
+    spans = starts.select("query_id", "w", "n", "i", F.explode(F.sequence(F.lit(1), F.least("longest", F.col("n") - F.col("i") + 1))).alias("k"))
     grams = spans.select("query_id", "n", "k", F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("name"))
-    names = entities.select("entity_id", F.explode(F.array_union(F.array("normalized_name"), F.transform("aliases", normalize_name))).alias("name")).filter("name <> ''").distinct()
     return grams.join(names, "name").groupBy("query_id", "entity_id").agg(F.max(F.col("k") / F.col("n")).alias("quality"))
 
 
@@ -164,22 +170,25 @@ def render_paths(paths: DataFrame, relationships: DataFrame, entities: DataFrame
 
 
 def pack_batches(docs: DataFrame, most_docs: int = 8, most_chars: int = 20_000) -> DataFrame:
-    """(document_id, batch): greedy batches in order of document_id by workspace; where one ends depends on all before it
-    in its workspace. Workspaces are packed apart; only ids and lengths are sent."""
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("document_id")
-        batch, n, chars, out = 0, 0, 0, []
-        for size in pdf["chars"]:
-            if n and (n == most_docs or chars + size > most_chars):
-                batch, n, chars = batch + 1, 0, 0
-            n, chars = n + 1, chars + size
-            out.append(batch)
-        return pd.DataFrame({"workspace_id": pdf["workspace_id"], "document_id": pdf["document_id"], "batch": out})
-
-    sizes = docs.select("workspace_id", "document_id", F.length("content").cast("long").alias("chars"))
-    return sizes.groupBy("workspace_id").applyInPandas(pack, "workspace_id string, document_id long, batch long")
+    """(workspace_id, document_id, batch): greedy batches in order of document_id by workspace. Where one ends depends on all
+    before it in its workspace, so a workspace's ids and lengths stream through one task in order, which holds one batch's
+    counts; workspaces are packed apart."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, n, chars = object(), 0, 0, 0
+        for rows in batches:
+            out = []
+            for workspace, size in zip(rows.column("workspace_id").to_pylist(), rows.column("chars").to_pylist(), strict=True):
+                if workspace != last:
+                    last, batch, n, chars = workspace, 0, 0, 0
+                elif n == most_docs or chars + size > most_chars:
+                    batch, n, chars = batch + 1, 0, 0
+                n, chars = n + 1, chars + size
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column("workspace_id"), rows.column("document_id"), pa.array(out, pa.int64())], ["workspace_id", "document_id", "batch"])
+
+    sizes = docs.select("workspace_id", "document_id", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("chars"))
+    return sizes.repartition("workspace_id").sortWithinPartitions("workspace_id", "document_id").mapInArrow(pack, "workspace_id string, document_id long, batch long")
 
 
 def graph_violations(entities: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -281,3 +281,27 @@ def test_files_reports_and_graph_snapshots(spark, tmp_path):
     files.write_graph(ent, rel, graph.graph_manifest(ent, rel), str(tmp_path / "graph"))
     e, r, m = files.read_graph(spark, str(tmp_path / "graph"))
     assert graph.graph_manifest(e, r).first() == m.first()
+
+
+def test_long_names_are_anchors_and_repeated_mentions_stay_single(spark):
+    name = "the very long and winding name of one great old house"
+    entities = spark.createDataFrame([("e1", name, ["short"]), ("e2", "house", [])], "entity_id string, normalized_name string, aliases array<string>")
+    asked = spark.createDataFrame([(1, f"Who owns {name}?"), (2, "nothing here")], "query_id long, question string")
+    assert sorted((r.query_id, r.entity_id) for r in graph.find_anchors(asked, entities).collect()) == [(1, "e1"), (1, "e2")]
+    rows = [(1, "A", "x", ["y"]), (1, "A", "x", ["y"]), (2, "A", "y", []), (3, "A", "z", [])]
+    m = spark.createDataFrame(rows, "mention_id long, entity_type string, name string, aliases array<string>")
+    assert sorted((r.mention_id, r.component) for r in graph.resolve_entities(m).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_crawls_go_as_deep_as_the_links(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(51)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert sorted((r.node, r.depth, r.place) for r in ingest.crawl_order(links, seeds, 1000).collect()) == [(i, i, i + 1) for i in range(52)]
+
+
+def test_allow_lists_of_any_length(spark):
+    pages = spark.createDataFrame([("https://a.b.example/x",), ("https://h12345.test/",), ("https://no.where/",)], "url string")
+    listed = spark.range(12_000).selectExpr("concat('*.h', id, '.test') AS pattern").union(spark.createDataFrame([(" *.B.example ",)], "pattern string"))
+    assert sorted(r.url for r in ingest.allowed_pages(pages, listed).collect()) == ["https://a.b.example/x"]
+    assert [r.url for r in ingest.allowed_pages(pages, listed.union(spark.createDataFrame([("h12345.test",)], "pattern string"))).orderBy("url").collect()] == ["https://a.b.example/x", "https://h12345.test/"]
+    assert ingest.allowed_pages(pages, listed.limit(0)).count() == 3
