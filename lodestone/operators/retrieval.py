@@ -6,24 +6,40 @@ so that the order of summation cannot decide ties; ties go to the smaller docume
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_sentences, tokenize
 
 DIGITS = 9
+#: A sentence's id is its document's, times this, plus its place.
+PLACES = 1 << 22
+
+
+def tokens(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(document_id, length, term, in_body) for each token of documents (document_id, title, content); only terms of ``asked``
+    (term), where it is given, get as far as the first exchange. ``length`` counts body tokens, 1 at least."""
+    body, title = tokenize(F.col("content")), tokenize(F.coalesce("title", F.lit("")))
+    mark = lambda flag: lambda t: F.struct(t.alias("term"), F.lit(flag).alias("in_body"))
+    both = F.concat(F.transform(F.coalesce("body", F.array().cast("array<string>")), mark(True)), F.transform(title, mark(False)))
+    rows = docs.select("document_id", "title", body.alias("body")).select("document_id", F.greatest(F.size("body"), F.lit(1)).cast("long").alias("length"), F.explode(both).alias("t")).select("document_id", "length", "t.*")
+    return rows if asked is None else rows.join(asked, "term", "left_semi")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(document_id, term, length, tf, title_tf) of :func:`tokens`, by one grouping."""
+    return rows.groupBy("document_id", "term").agg(F.max("length").alias("length"), F.count_if("in_body").alias("tf"), F.count_if(~F.col("in_body")).alias("title_tf"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(document_id, term, tf, title_tf) of documents (document_id, title, content)."""
-    body = docs.select("document_id", F.explode(tokenize(F.col("content"))).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("tf"))
-    title = docs.select("document_id", F.explode(tokenize(F.col("title"))).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("title_tf"))
-    both = body.join(title, ["document_id", "term"], "full_outer")
-    return both.select("document_id", "term", F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("title_tf", F.lit(0)).alias("title_tf"))
+    return counted(tokens(docs)).drop("length")
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -35,18 +51,36 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(questions: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, boost: float = 0.5) -> DataFrame:
-    """(query_id, document_id, raw_score) for every pair that shares a term; question terms count as often as they occur.
-    Statistics come from all of ``posts`` and ``stats``. Only postings of question terms are scored."""
-    terms = questions.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    corpus = stats.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    asked = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, times)."""
+    return questions.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25(questions: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, boost: float = 0.5) -> DataFrame:
+    """(query_id, document_id, raw_score, terms) for every pair that shares a term, and how many different ones; question terms
+    count as often as they occur. Lengths are averaged over all documents; of their tokens, only those that are asked for
+    leave the scan."""
+    terms = question_terms(questions)
+    corpus = doc_stats(docs).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    asked = counted(tokens(docs, terms.select("term").distinct()))
+    df = document_frequency(asked)
     w = F.col("tf") + boost * F.col("title_tf")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.col("times") * idf * w * (k1 + 1) / (w + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    pairs = asked.join(df, "term").join(terms, "term").join(stats, "document_id").join(F.broadcast(corpus), F.lit(True))
-    return pairs.groupBy("query_id", "document_id").agg(F.round(F.sum(score), DIGITS).alias("raw_score"))
+    pairs = asked.join(df.join(terms, "term"), "term").join(F.broadcast(corpus), F.lit(True))
+    return pairs.groupBy("query_id", "document_id").agg(F.round(F.sum(score), DIGITS).alias("raw_score"), F.count("*").alias("terms"))
+
+
+def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, document_id) for every document whose content holds the question as it is. All tokens but the first and
+    the last stand in such a document as they are; documents with all of them are compared. Questions need three tokens."""
+    all_ = tokenize(F.col("question"))
+    inner = questions.select("query_id", F.array_distinct(F.slice(all_, 2, F.greatest(F.size(all_) - 2, F.lit(0)))).alias("inner")).filter(F.size("inner") > 0)
+    terms = inner.select("query_id", F.size("inner").alias("wanted"), F.explode("inner").alias("term"))
+    held = counted(tokens(docs, terms.select("term").distinct())).filter("tf > 0")
+    found = held.join(terms, "term").groupBy("query_id", "document_id", "wanted").count().filter("count = wanted").select("query_id", "document_id")
+    both = found.join(docs.select("document_id", "content"), "document_id").join(questions.select("query_id", "question"), "query_id")
+    return both.filter(F.contains("content", F.col("question"))).select("query_id", "document_id")
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -63,18 +97,23 @@ def retrieve_lexical(scored: DataFrame, k: int = 5, allowed: DataFrame | None =
     return best.withColumn("normalized_score", F.col("raw_score") / F.max("raw_score").over(Window.partitionBy("query_id")))
 
 
-def hashed_terms(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, dim, weight): token counts by hash bucket, of unit length. The default model of :func:`embed`."""
-    bucket = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long") % size
-    counts = texts.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, bucket.alias("dim")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counts.select(key, "dim", (F.col("n") / norm).alias("weight"))
+def hashed_vector(text: Column, size: int = 64) -> Column:
+    """array<double>: a text's token counts by hash bucket, of unit length (all 0 without a token). The default model of
+    :func:`embed`; within a batch each different token is hashed once, and counts are one pass over the tokens."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            lists = lists.fill_null([])
+            coded = lists.flatten().dictionary_encode()
+            of = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % size for t in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            cells = row * size + of[coded.indices.to_numpy()] if len(row) else row
+            counts = np.bincount(cells, minlength=len(lists) * size).reshape(-1, size).astype(float)
+            unit = counts / np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1e-300)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * size, pa.int32()), pa.array(unit.ravel()))
 
-def as_vectors(weights: DataFrame, key: str, size: int = 64) -> DataFrame:
-    """(key, embedding) of :func:`hashed_terms`."""
-    one = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
-    return one.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0))).alias("embedding"))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<double>")(tokenize(text))
 
 
 def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], prefix: str = "", batch: int = 256) -> DataFrame:
@@ -93,14 +132,13 @@ def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], np
 
 def embed_incremental(texts: DataFrame, done: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], name: str) -> DataFrame:
     """(key, content_sha, model, embedding) of the texts that ``done`` has not, by key and content; ``done`` of another
-    model fails the query."""
-    other = done.filter(F.col("model") != name).limit(1).count()
-    if other:
+    model fails the query. A key may have several contents."""
+    if done.filter(F.col("model") != name).limit(1).count():
         raise ValueError("checkpoint belongs to another model")
-    keyed = texts.withColumn("content_sha", F.sha2(text, 256))
-    left = keyed.join(done.select(key, "content_sha"), [key, "content_sha"], "left_anti")
-    found = embed(left, key, text, model)
-    return left.select(key, "content_sha").join(found, key).withColumn("model", F.lit(name))
+    keyed = texts.select(F.struct(F.col(key), F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_sha")).alias("own"), F.col(text).alias("text"))
+    known = done.select(F.struct(F.col(key), "content_sha").alias("own"))
+    found = embed(keyed.join(known, "own", "left_anti"), "own", "text", model)
+    return found.select("own.*", F.lit(name).alias("model"), "embedding")
 
 
 def invalid_vectors(vectors: DataFrame, size: int) -> DataFrame:
@@ -117,43 +155,56 @@ def l2_normalize(embedding: Column) -> Column:
     return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 4096, digits: int = 6) -> DataFrame:
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = 64 << 20, digits: int = 6) -> DataFrame:
     """(query_id, document_id, raw_score, rank): the inner product of unit vectors over all of ``vectors``.
 
-    Queries (query_id, embedding) are taken in blocks of at most ``query_block`` rows, which bounds what is broadcast;
-    each task multiplies its vectors (document_id, embedding) with a block and keeps its own best k, and a window
-    keeps the best of all tasks.
-    """
+    Queries (query_id, embedding) reach the tasks in sets of at most about ``query_bytes``, which bounds what is broadcast;
+    each scan of the vectors (document_id, embedding) serves a whole set, block by block. A task keeps its best k for each
+    query until its end, and a window keeps the best of all tasks. All vectors have one size."""
     spark = queries.sparkSession
     unit = queries.select("query_id", l2_normalize(F.col("embedding")).alias("embedding")).filter("embedding is not null")
-    count = unit.count()
-    blocks = max(1, -(-count // query_block))
     corpus = vectors.select("document_id", l2_normalize(F.col("embedding")).alias("embedding")).filter("embedding is not null")
     schema = "query_id long, document_id long, raw_score double"
+    total = unit.agg(F.coalesce(F.sum(F.size("embedding") + 1), F.lit(0)) * 8).first()[0]
+    sets = max(1, -(-total // query_bytes))
     found = None
-    for i in range(blocks):
-        own = unit if blocks == 1 else unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = own.collect()  # about query_block rows
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                docs = b.column("document_id").to_numpy(zero_copy_only=False)
-                d = np.array(b.column("embedding").to_pylist(), float)
-                for a in range(0, len(docs), 2048):
-                    part, own_docs = np.round(q @ d[a : a + 2048].T, digits), docs[a : a + 2048]
-                    by_id = np.argsort(own_docs, kind="stable")
-                    best = by_id[np.argsort(-part[:, by_id], axis=1, kind="stable")[:, :k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own_docs[best].ravel()), pa.array(np.take_along_axis(part, best, axis=1).ravel())], ["query_id", "document_id", "raw_score"])
-
-        part = top_k(corpus.mapInArrow(nearest, schema), k)
+    for i in range(sets):
+        own = (unit if sets == 1 else unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i)).toArrow()
+        ids, q = own.column("query_id").to_numpy(), flat_matrix(own.column("embedding").combine_chunks())
+        part = top_k(corpus.mapInArrow(nearest_in_task(spark.sparkContext.broadcast((ids, q)), k, digits), schema), k)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def flat_matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one size as the rows of a matrix."""
+    sizes = np.unique(np.diff(lists.offsets.to_numpy()))
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in size")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), int(sizes[0]) if len(sizes) else 0)
+
+
+def nearest_in_task(shared: Broadcast, k: int, digits: int, block: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = np.full((len(ids), k), -np.inf)  # scores and documents of the best so far, the smaller document first
+        docs = np.full((len(ids), k), 2**63 - 1, np.int64)
+        for b in batches:
+            own_docs, d = b.column("document_id").to_numpy(zero_copy_only=False), flat_matrix(b.column("embedding"))
+            for at in range(0, len(own_docs) if len(ids) else 0, block):
+                for low in range(0, len(ids), block):
+                    rows = slice(low, low + block)
+                    new = np.round(q[rows] @ d[at : at + block].T, digits)
+                    scores = np.concatenate([best[rows], new], axis=1)
+                    names = np.concatenate([docs[rows], np.broadcast_to(own_docs[at : at + block], new.shape)], axis=1)
+                    order = np.lexsort((names, -scores), axis=1)[:, :k]
+                    best[rows], docs[rows] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(docs[real]), pa.array(best[real])], ["query_id", "document_id", "raw_score"])
+
+    return nearest
+
+
 def retrieve_vector(neighbours: DataFrame, least: float = -1.0) -> DataFrame:
     """Scores clamped to [-1, 1], those below ``least`` left out, normalized to [0, 1]."""
     clamped = neighbours.withColumn("raw_score", F.least(F.greatest("raw_score", F.lit(-1.0)), F.lit(1.0)))
@@ -166,19 +217,28 @@ def windows(sentences: DataFrame, radius: int = 2) -> DataFrame:
     return sentences.withColumn("window", F.array_join(F.collect_list("text").over(frame), " ")).withColumn("first", F.min("position").over(frame)).withColumn("last", F.max("position").over(frame))
 
 
+def sentences(docs: DataFrame) -> DataFrame:
+    """(sentence_id, document_id, position, text, begin, end) of documents (document_id, content)."""
+    found = docs.select("document_id", F.posexplode(split_sentences(F.col("content"))).alias("position", "s"))
+    return found.select((F.col("document_id") * PLACES + F.col("position")).alias("sentence_id"), "document_id", F.col("position").cast("long").alias("position"), F.col("s.text").alias("text"), F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
+
+
 def sentence_windows(docs: DataFrame, radius: int = 2) -> DataFrame:
     """Sentence windows of documents (document_id, content)."""
-    found = docs.select("document_id", F.posexplode(split_sentences(F.col("content"))).alias("position", "s"))
-    return windows(found.select("document_id", "position", F.col("s.text").alias("text"), F.col("s.begin").alias("begin"), F.col("s.end").alias("end")), radius)
+    return windows(sentences(docs).drop("sentence_id"), radius)
 
 
-def retrieve_sentence_window(queries: DataFrame, vectors: DataFrame, sentences: DataFrame, k: int = 5, least: float = -1.0) -> DataFrame:
+def retrieve_sentence_window(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 5, least: float = -1.0, radius: int = 2) -> DataFrame:
     """The best k windows of each query: 5k nearest sentences, those below ``least`` left out, each replaced by its
-    window, one of each (document, window), in order of similarity. ``vectors`` and ``sentences`` share sentence_id."""
-    near = knn_exact(queries, vectors.select(F.col("sentence_id").alias("document_id"), "embedding"), 5 * k)
-    hits = near.filter(F.col("raw_score") >= least).withColumnRenamed("document_id", "sentence_id").withColumnRenamed("rank", "sentence_rank").join(sentences, "sentence_id")
+    window, one of each (document, window), in order of similarity. ``vectors`` (sentence_id, embedding) are those of
+    :func:`sentences` of ``docs`` (document_id, content); windows are made for the hits only."""
+    near = knn_exact(queries, vectors.select(F.col("sentence_id").alias("document_id"), "embedding"), 5 * k).filter(F.col("raw_score") >= least)
+    hits = near.select("query_id", "raw_score", F.col("document_id").alias("sentence_id"), F.col("rank").alias("sentence_rank"), F.floor(F.col("document_id") / PLACES).alias("document_id"), (F.col("document_id") % PLACES).alias("position"))
+    held = docs.join(hits.select("document_id").distinct(), "document_id", "left_semi").select("document_id", F.transform(split_sentences(F.col("content")), lambda s: s["text"]).alias("texts"))
+    placed = hits.join(held, "document_id").withColumn("first", F.greatest(F.col("position") - radius, F.lit(0))).withColumn("last", F.least(F.col("position") + radius, F.size("texts") - 1).cast("long"))
+    window = F.array_join(F.slice("texts", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + 1).cast("int")), " ")
     same = Window.partitionBy("query_id", "document_id", "first", "last").orderBy("sentence_rank")
-    one = hits.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    one = placed.withColumn("window", window).drop("texts").withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     order = Window.partitionBy("query_id").orderBy("sentence_rank")
     best = one.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return best.select("query_id", "document_id", "sentence_id", "raw_score", ((F.col("raw_score") + 1) / 2).alias("normalized_score"), "rank", "first", "last", "window")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
 from lodestone.functions.text import excerpt
 from lodestone.operators import citations, evaluation, retrieval, routing
 from lodestone.plans.registry import query, table
@@ -85,14 +86,14 @@ def validate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.validate_citations(rows).select("answer_id", "status")
 
 
-#: Relevant documents are candidates that hold the question's words as they are. Every fifth question is held to have none.
-CASES = f"""{RRF.replace("{k}", "5")}, expected AS (SELECT DISTINCT l.query_id, l.document_id, CASE WHEN l.document_id % 2 = 0 THEN 3 ELSE 2 END AS relevance FROM lex l JOIN docs_norm d ON l.document_id = d.document_id JOIN questions q ON q.query_id = l.query_id
-WHERE contains(d.content, q.question) AND l.query_id % 5 <> 0), has AS (SELECT query_id, count(*) AS n FROM expected GROUP BY 1)"""
+#: Relevant documents are all that hold the question's words as they are. Every fifth question is held to have none.
+CASES = f"""{RRF.replace("{k}", "5")}, expected AS (SELECT query_id, document_id, CASE WHEN document_id % 2 = 0 THEN 3 ELSE 2 END AS relevance FROM docs_norm JOIN questions ON contains(content, question) WHERE query_id % 5 <> 0), has AS (SELECT query_id, count(*) AS n FROM expected GROUP BY 1)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = docs_norm(spark, sf_dir), questions(spark, sf_dir)
-    found = retrieval.retrieve_lexical(lexical(spark, sf_dir), 15).select("query_id", "document_id").join(docs, "document_id").join(asked, "query_id").filter(F.contains("content", F.col("question")) & (F.col("query_id") % 5 != 0))
+    held = retrieval.containing(asked.filter("query_id % 5 <> 0"), docs)
+    found = held.join(docs.select("document_id", "source_type"), "document_id").join(asked, "query_id")
     item = F.struct(F.concat(F.lit("d"), "document_id").alias("label"), "source_type", F.when(F.col("document_id") % 2 == 0, 3).otherwise(2).alias("relevance"), F.array("question").alias("facts"))
     one = found.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("expected"))
     none = F.array().cast("array<struct<label: string, source_type: string, relevance: int, facts: array<string>>>")
@@ -103,9 +104,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str, slow: float = 1.0) -> DataFrame:
-    top = fused(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("d"), "document_id").alias("label")))).alias("r"))
-    rows = cases(spark, sf_dir).select("case_id", "question", "expected").join(top, F.col("case_id") == F.col("query_id"), "left")
+def observations(cases: DataFrame, found: DataFrame, slow: float = 1.0) -> DataFrame:
+    """What a run answered to ``cases``: from fused evidence ``found``."""
+    top = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("d"), "document_id").alias("label")))).alias("r"))
+    rows = cases.select("case_id", "question", "expected").join(top, F.col("case_id") == F.col("query_id"), "left")
     labels = F.coalesce(F.transform("r", lambda x: x["label"]), F.array().cast("array<string>"))
     first = F.slice(F.transform("expected", lambda e: e["label"]), 1, 1)
     segment = F.array(F.struct(F.concat("question", F.lit(".")).alias("text"), first.alias("labels")))
@@ -136,24 +138,26 @@ WHOLE = f"SELECT 'all' AS slice, count(*) AS cases, {MEANS}, round(median(latenc
 
 @query(f"WITH {SCORES} SELECT case_id, " + ", ".join(f'round("{m}", 6) AS "{m}"' for m in ROUNDED) + " FROM metrics")
 def score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluation.score_cases(cases(spark, sf_dir), observations(spark, sf_dir))
+    c = cut(cases(spark, sf_dir))
+    found = evaluation.score_cases(c, observations(c, fused(spark, sf_dir)))
     return found.select("case_id", *[F.round(m, 6).alias(m) for m in ROUNDED])
 
 
 @query(f"""WITH {SCORES}, keyed AS (SELECT *, unnest(['intent:' || CASE WHEN case_id % 2 = 0 THEN 'lexical' ELSE 'default' END, 'answerability:' || CASE WHEN none THEN 'insufficient' ELSE 'answerable' END, 'route:' || CASE WHEN case_id % 2 = 0 THEN 'specialized' ELSE 'default' END]) AS slice FROM metrics)
 {WHOLE.replace("'all' AS slice", "slice")} FROM keyed GROUP BY slice UNION ALL {WHOLE} FROM metrics""")
 def score_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = cases(spark, sf_dir), observations(spark, sf_dir)
+    c = cut(cases(spark, sf_dir))
+    o = cut(observations(c, fused(spark, sf_dir)))
     both = evaluation.score_slices(c, o).filter("slice NOT LIKE 'source:%'").unionByName(evaluation.summarize(evaluation.score_cases(c, o).withColumn("slice", F.lit("all")), "slice"))
     return both.select("slice", "cases", *[F.round(m, 6).alias(m) for m in (*ROUNDED, "median_latency", "p95_latency", "mean_cost")])
 
 
 @query()
 def deployment_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cases(spark, sf_dir)
+    c, found = cut(cases(spark, sf_dir)), cut(fused(spark, sf_dir))
 
     def report(slow: float) -> DataFrame:
-        o = observations(spark, sf_dir, slow)
+        o = cut(observations(c, found, slow))
         whole = evaluation.summarize(evaluation.score_cases(c, o).withColumn("slice", F.lit("all")), "slice")
         return evaluation.score_slices(c, o).unionByName(whole)
 

@@ -51,16 +51,15 @@ reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id O
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_norm(spark, sf_dir)
-    return retrieval.bm25(questions(spark, sf_dir), retrieval.postings(docs), retrieval.doc_stats(docs))
+    return retrieval.bm25(questions(spark, sf_dir), docs_norm(spark, sf_dir)).drop("terms")
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.as_vectors(retrieval.hashed_terms(docs_norm(spark, sf_dir), "document_id", "content"), "document_id")
+    return docs_norm(spark, sf_dir).select("document_id", retrieval.hashed_vector(F.col("content")).alias("embedding"))
 
 
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.as_vectors(retrieval.hashed_terms(questions(spark, sf_dir), "query_id", "question"), "query_id")
+    return questions(spark, sf_dir).select("query_id", retrieval.hashed_vector(F.col("question")).alias("embedding"))
 
 
 def vector(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
@@ -167,8 +166,8 @@ def retrieve_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS_NORM}, {DOC_VECTORS} SELECT key AS document_id, dim, round(weight, 6) AS weight FROM dv")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.hashed_terms(docs_norm(spark, sf_dir), "document_id", "content")
-    return found.withColumn("weight", F.round("weight", 6))
+    found = doc_vectors(spark, sf_dir).select("document_id", F.posexplode("embedding").alias("dim", "weight"))
+    return found.select("document_id", F.col("dim").cast("long").alias("dim"), F.round("weight", 6).alias("weight")).filter("weight > 0")
 
 
 @query("""WITH l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)
@@ -181,9 +180,9 @@ def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieve_sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = retrieval.sentence_windows(docs_norm(spark, sf_dir)).withColumn("sentence_id", F.col("document_id") * 1_000_000 + F.col("position"))
-    vectors = retrieval.as_vectors(retrieval.hashed_terms(sentences, "sentence_id", "text"), "sentence_id")
-    return retrieval.retrieve_sentence_window(asked_vectors(spark, sf_dir), vectors, sentences)
+    docs = docs_norm(spark, sf_dir).select("document_id", "content")
+    vectors = retrieval.sentences(docs).select("sentence_id", retrieval.hashed_vector(F.col("text")).alias("embedding"))
+    return retrieval.retrieve_sentence_window(asked_vectors(spark, sf_dir), vectors, docs)
 
 
 @query(f"WITH {CANDIDATES} SELECT query_id, document_id, mode, rank, raw_score, 'ws:document:' || document_id AS key FROM candidates")

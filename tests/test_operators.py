@@ -1,5 +1,6 @@
 """Retrieval, fusion, graph, citation, evaluation, governance and maintenance operators on small tables."""
 
+import hashlib
 import math
 import random
 
@@ -17,7 +18,7 @@ from lodestone.sources.csv import contract_violations, infer_types, read_csv_str
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "alpha", "cat cat dog"), (2, "beta", "dog"), (3, "cat", "bird")], "document_id long, title string, content string")
     asked = spark.createDataFrame([(1, "Cat cat?"), (2, "unknown")], "query_id long, question string")
-    got = {(r.query_id, r.document_id): r.raw_score for r in retrieval.bm25(asked, retrieval.postings(docs), retrieval.doc_stats(docs)).collect()}
+    got = {(r.query_id, r.document_id): r.raw_score for r in retrieval.bm25(asked, docs).collect()}
     idf, mean = math.log(1 + (3 - 2 + 0.5) / 2.5), 5 / 3
     want = {(1, d): round(2 * idf * w * 2.5 / (w + 1.5 * (0.25 + 0.75 * n / mean)), 9) for d, w, n in ((1, 2, 3), (3, 0.5, 1))}
     assert got == pytest.approx(want)
@@ -30,7 +31,7 @@ def test_nearest_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(999, [0.0] * 8)], "document_id long, embedding array<double>").repartition(5)
     asked = df.filter("document_id % 50 = 9").withColumnRenamed("document_id", "query_id")
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    for block in (4096, 2):
+    for block in (64 << 20, 150):  # a single set, and sets of about two questions
         got = {}
         for r in retrieval.knn_exact(asked, df, 4, block).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.document_id))
@@ -246,10 +247,9 @@ def test_crawl_is_breadth_first(spark):
 
 def test_sentence_window_retrieval(spark):
     docs = spark.createDataFrame([(1, "Apples are red. Pears are green. Plums are blue. Figs are brown."), (2, "Nothing here at all.")], "document_id long, content string")
-    sentences = retrieval.sentence_windows(docs, 1).withColumn("sentence_id", F.col("document_id") * 100 + F.col("position"))
-    vectors = retrieval.as_vectors(retrieval.hashed_terms(sentences, "sentence_id", "text"), "sentence_id")
+    vectors = retrieval.sentences(docs).select("sentence_id", retrieval.hashed_vector(F.col("text")).alias("embedding"))
     asked = spark.createDataFrame([(1, "pears are green")], "query_id long, question string")
-    found = retrieval.retrieve_sentence_window(retrieval.as_vectors(retrieval.hashed_terms(asked, "query_id", "question"), "query_id"), vectors, sentences, 2)
+    found = retrieval.retrieve_sentence_window(asked.select("query_id", retrieval.hashed_vector(F.col("question")).alias("embedding")), vectors, docs, 2, radius=1)
     best = found.filter("rank = 1").first()
     assert best.window == "Apples are red. Pears are green. Plums are blue." and (best["first"], best["last"]) == (0, 2)
 
@@ -305,3 +305,23 @@ def test_allow_lists_of_any_length(spark):
     assert sorted(r.url for r in ingest.allowed_pages(pages, listed).collect()) == ["https://a.b.example/x"]
     assert [r.url for r in ingest.allowed_pages(pages, listed.union(spark.createDataFrame([("h12345.test",)], "pattern string"))).orderBy("url").collect()] == ["https://a.b.example/x", "https://h12345.test/"]
     assert ingest.allowed_pages(pages, listed.limit(0)).count() == 3
+
+
+def test_documents_that_hold_a_question(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, None, " ".join(rng.choices(words, k=30)) + ("x" if i % 2 else "")) for i in range(200)] + [(900, "t", None), (901, None, "")]
+    asked = [(i, docs[i][2][rng.randrange(20) : 60]) for i in range(20)]
+    got = sorted(map(tuple, retrieval.containing(spark.createDataFrame(asked, "query_id long, question string"), spark.createDataFrame(docs, "document_id long, title string, content string")).collect()))
+    assert got == sorted((q, d) for q, t in asked for d, _, c in docs if c and t in c)
+
+
+def test_hashed_vectors(spark):
+    texts = ["b a A a", "", None, "only"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(2).select("k", retrieval.hashed_vector(F.col("t"), 16).alias("v")).collect()
+    got = {r.k: r.v for r in rows}
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16
+    want = np.zeros(16)
+    for t in ("b", "a", "a", "a"):
+        want[bucket(t)] += 1
+    assert got[0] == pytest.approx((want / np.linalg.norm(want)).tolist()) and got[1] == got[2] == [0.0] * 16 and sum(got[3]) == 1
