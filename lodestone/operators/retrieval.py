@@ -152,7 +152,8 @@ def l2_normalize(embedding: Column) -> Column:
     """The unit vector; null for a vector of norm zero."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
+    # Within a lambda the norm would be computed for each element: bound as an element itself, it is computed once.
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(wide, lambda x: x / n))), F.lit(0))
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = 64 << 20, digits: int = 6) -> DataFrame:
@@ -160,28 +161,31 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int =
 
     Queries (query_id, embedding) reach the tasks in sets of at most about ``query_bytes``, which bounds what is broadcast;
     each scan of the vectors (document_id, embedding) serves a whole set, block by block. A task keeps its best k for each
-    query until its end, and a window keeps the best of all tasks. All vectors have one size."""
+    query until its end, and a window keeps the best of all tasks. All vectors have one size; those without a length, or with
+    a null, are left out."""
     spark = queries.sparkSession
-    unit = queries.select("query_id", l2_normalize(F.col("embedding")).alias("embedding")).filter("embedding is not null")
-    corpus = vectors.select("document_id", l2_normalize(F.col("embedding")).alias("embedding")).filter("embedding is not null")
+    asked, corpus = queries.select("query_id", "embedding").filter("embedding is not null"), vectors.select("document_id", "embedding").filter("embedding is not null")
     schema = "query_id long, document_id long, raw_score double"
-    total = unit.agg(F.coalesce(F.sum(F.size("embedding") + 1), F.lit(0)) * 8).first()[0]
+    total = asked.agg(F.coalesce(F.sum(F.size("embedding") + 1), F.lit(0)) * 8).first()[0]
     sets = max(1, -(-total // query_bytes))
     found = None
     for i in range(sets):
-        own = (unit if sets == 1 else unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i)).toArrow()
-        ids, q = own.column("query_id").to_numpy(), flat_matrix(own.column("embedding").combine_chunks())
+        own = (asked if sets == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i)).toArrow()
+        ids, q = unit_rows(own.column("query_id").to_numpy(), own.column("embedding").combine_chunks())
         part = top_k(corpus.mapInArrow(nearest_in_task(spark.sparkContext.broadcast((ids, q)), k, digits), schema), k)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def flat_matrix(lists: pa.ListArray) -> np.ndarray:
-    """Lists of one size as the rows of a matrix."""
+def unit_rows(ids: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of one size as the rows of a matrix, of unit length, and their ids; those without a length are left out."""
     sizes = np.unique(np.diff(lists.offsets.to_numpy()))
     if len(sizes) > 1:
         raise ValueError("vectors differ in size")
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), int(sizes[0]) if len(sizes) else 0)
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), int(sizes[0]) if len(sizes) else 0)
+    norms = np.sqrt((rows**2).sum(axis=1))
+    real = np.isfinite(norms) & (norms > 0)
+    return ids[real], rows[real] / norms[real, None]
 
 
 def nearest_in_task(shared: Broadcast, k: int, digits: int, block: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -190,7 +194,7 @@ def nearest_in_task(shared: Broadcast, k: int, digits: int, block: int = 2048) -
         best = np.full((len(ids), k), -np.inf)  # scores and documents of the best so far, the smaller document first
         docs = np.full((len(ids), k), 2**63 - 1, np.int64)
         for b in batches:
-            own_docs, d = b.column("document_id").to_numpy(zero_copy_only=False), flat_matrix(b.column("embedding"))
+            own_docs, d = unit_rows(b.column("document_id").to_numpy(zero_copy_only=False), b.column("embedding"))
             for at in range(0, len(own_docs) if len(ids) else 0, block):
                 for low in range(0, len(ids), block):
                     rows = slice(low, low + block)

@@ -121,7 +121,7 @@ for _tag in ingest.HIDDEN:
 
 def unescaped(x: str) -> str:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{sign}')"
+        x = f"regexp_replace({x}, '{name}?', '{sign}', 'g')"
     return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
 
 

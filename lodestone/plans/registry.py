@@ -24,5 +24,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Tables of whole texts, over which queries compute much for each row.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts`` dealt to all cores if the files give work to half of them at most, as a small table in one file does. A table
+    with more splits is read as it is."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() <= cores // 2 else texts
