@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,28 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from lodestone.checkpoints import cut, shared_folder  # noqa: F401 - cut is part of what operators share
+from lodestone.plans.registry import spread
+
 #: Larger than every doc_id: stands for a null doc_id where documents are put in order.
 LAST_DOC = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as files in the shared checkpoint folder, so that a lost executor loses nothing of it.
-
-    The folder is spark.checkpoint.dir where it is set; a temporary folder serves only where it is not (tests).
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
+    """A table as it is stored; documents in few splits are dealt to all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def stored(df: DataFrame) -> DataFrame:
