@@ -19,7 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: five-word shingle sets with a similarity of at least 0.8."""
+    """One document of each group of near-duplicates, five-word shingle sets with a similarity of at least 0.8: links of operator
+    7's fingerprints and further candidates are verified on the texts."""
     return shingles.keep_first(docs)
 
 
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of what the stages keep. Each stage's documents are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
