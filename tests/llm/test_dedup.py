@@ -258,8 +258,8 @@ def test_texts_beyond_two_slices(spark, monkeypatch):
 
 
 def test_suffix_sizes_are_checked_and_names_may_clash(spark):
-    df = spark.createDataFrame([(1, "a" * 80, 7), (2, "b" + "a" * 80, 8)], "doc_id long, text string, _text_hash int")
+    df = spark.createDataFrame([(1, "a" * 80, 7), (2, "b" + "a" * 80, 8)], "doc_id long, text string, _hash int")
     for size in (19, 274):
         with pytest.raises(ValueError, match="size"):
             suffixes.remove_repeated(df, size)
-    assert sorted((r.doc_id, r.text, r._text_hash) for r in suffixes.clean(df).collect()) == [(1, "a" * 80, 7), (2, "b", 8)]
+    assert sorted((r.doc_id, r.text, r._hash) for r in suffixes.clean(df).collect()) == [(1, "a" * 80, 7), (2, "b", 8)]
