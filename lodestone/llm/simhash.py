@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, per_text
 
 BITS = 64
+#: A key's rows are dealt to so many tasks where they are joined with one row for each key.
+SALTS = 64
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
@@ -157,7 +159,7 @@ def choose_groups(sample: np.ndarray, threshold: int, rows: int, most: int = 4)
     return min(tried, key=lambda x: x[:2])[2]
 
 
-def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sample_rows: int = 20_000, most: int = 1000) -> DataFrame:
+def links(classes: DataFrame, threshold: int = 2, groups: int | None = None, sample_rows: int = 20_000, most: int = 200) -> DataFrame:
     """Pairs (a < b) of different fingerprints in column ``fp`` that differ in at most ``threshold`` bits: all of them, but
     among the fingerprints of a very full bucket (more than ``most``) only as many as keep connected what is connected.
 
@@ -255,8 +257,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def dealt(rows: DataFrame, key: str, named: DataFrame, by: str) -> DataFrame:
     """``rows`` joined with ``named`` (one row a key), where a key may hold a large share of the rows: they are dealt by the key
     and a salt from column ``by``, and ``named`` is repeated only for the salts that a key has."""
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     present = salted.select(key, "_salt").distinct().join(named, key)
     return salted.join(present, [key, "_salt"]).drop("_salt")
 
