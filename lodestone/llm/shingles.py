@@ -1,7 +1,7 @@
 """Near-duplicates by exact similarity of shingle sets: documents link at a Jaccard similarity of 0.8 of their 5-word shingles.
 
 The candidates of operator 7 (fingerprints of the same shingles at two or fewer differing bits, by the generalised
-pigeonhole principle) are verified first, each against the least of its component. SimHash alone can't give right results here: two sets with a similarity of 0.8
+pigeonhole principle) are verified first, each class against one of those that it is linked with. SimHash alone can't give right results here: two sets with a similarity of 0.8
 differ in ten of 64 bits on average, too many for any pigeonhole allocation to be selective. So further candidates come
 from ``BANDS`` bands of ``ROWS`` minima each: a pair at exactly 0.8 shares no band with a probability of 7e-6, a more
 similar one with less.
@@ -88,12 +88,13 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked_prints(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of classes (fp, print): those in one component of operator 7 (fingerprints linked at two or
-    fewer bits) against the least of it, one pair for each class."""
-    labels = components(links(classes.select(F.col("print").alias("fp")).distinct())).select(F.col("fp").alias("print"), "label")
-    grouped = cut(dealt(classes.select("fp", "print"), "print", classes.select("print").distinct().join(labels, "print", "left").select("print", F.coalesce("label", "print").alias("label")), "fp"))
-    least = grouped.groupBy("label").agg(F.min("fp").alias("least"))
-    return dealt(grouped.select("fp", "label"), "label", least, "fp").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    """Candidate pairs (a, b) of classes (fp, print): those with one fingerprint against the least of them, and the least of
+    each fingerprint against that of the smallest one that operator 7 links it with. So each class gives two pairs at most."""
+    least = cut(classes.groupBy("print").agg(F.min("fp").alias("least")))
+    same = dealt(classes.select("fp", "print"), "print", least, "fp").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = links(least.select(F.col("print").alias("fp"))).groupBy("b").agg(F.min("a").alias("a"))
+    ends = near.join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

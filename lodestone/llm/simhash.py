@@ -243,10 +243,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
     state = cut(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("label")).select("fp", F.least("fp", "label").alias("label")))
     for _ in range(rounds):
-        told = dealt(both, "b", state.select(F.col("fp").alias("b"), "label"), "a").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
+        told = both.join(state.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
         near = state.join(told, "fp").select("fp", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         jump = near.select(F.col("fp").alias("label"), F.col("label").alias("further"))
-        new = cut(dealt(near, "label", jump, "fp").select("fp", "old", F.least("label", "further").alias("label")))
+        new = cut(near.join(jump, "label").select("fp", "old", F.least("label", "further").alias("label")))
         changed = new.filter("label <> old").limit(1).count()
         state = new.drop("old")
         if not changed:
