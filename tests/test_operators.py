@@ -325,3 +325,13 @@ def test_hashed_vectors(spark):
     for t in ("b", "a", "a", "a"):
         want[bucket(t)] += 1
     assert got[0] == pytest.approx((want / np.linalg.norm(want)).tolist()) and got[1] == got[2] == [0.0] * 16 and sum(got[3]) == 1
+
+
+def test_audit_chains_of_any_text_verify(spark):
+    schema = "org_id string, event_id long, actor string, action string, metadata string, created_at string"
+    rows = [("o", 1, "é", 'say "hi" \\ \n', '{"k": 1, "a": "ü"}', "2024-01-01"), ("o", 2, None, "x", None, "2024-01-02"), ("p", 1, "中", "y", '{"b":2,"a":1}', "2024-01-03")]
+    chain = governance.append_audit_chain(spark.createDataFrame(rows, schema)).cache()
+    assert [r.ok for r in governance.verify_audit_chain(chain).collect()] == [True, True]
+    for bad in ("no json", '{"k": 2, "a": "ü"}'):
+        broken = chain.withColumn("metadata", F.when((F.col("org_id") == "o") & (F.col("sequence") == 1), bad).otherwise(F.col("metadata")))
+        assert {r.org_id: r.first_broken for r in governance.verify_audit_chain(broken).collect()} == {"o": 1, "p": None}
