@@ -83,17 +83,21 @@ def fit(bags: list[bytes], labels: list[int], prior: float | None = None, penalt
     prior = share if prior is None else prior
     numbers = [np.frombuffer(b, np.int32) for b in bags]
     every = np.concatenate(numbers)
-    bag_of = np.repeat(np.arange(len(bags)), [len(x) for x in numbers])
+    bag_of = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x in numbers])
+    del numbers
     mark = every >= 0
-    sentence = (np.cumsum(~mark) - ~mark)[mark]
+    sentence = (np.cumsum(~mark, dtype=np.int32) - ~mark)[mark]
     doc = bag_of[~mark]  # of each sentence
     known, feature = np.unique(every[mark], return_inverse=True)
+    feature = feature.astype(np.int32)
+    del every
     n_sent, n_doc, n = len(doc), len(bags), len(known)
     # What is seen in one document only tells nothing of others; what no toxic document holds is left to the bias.
     pairs = np.unique(feature.astype(np.int64) * n_doc + bag_of[mark])
     held = (np.bincount(pairs // n_doc, minlength=n) > 1) & (np.bincount(pairs // n_doc, y[pairs % n_doc], n) > 0)
     use = held[feature]
-    number = np.cumsum(held) - 1
+    number = np.cumsum(held, dtype=np.int32) - 1
+    del pairs
     known, feature, sentence = known[held], number[feature[use]], sentence[use]
     n = len(known)
     if not n:
@@ -107,6 +111,7 @@ def fit(bags: list[bytes], labels: list[int], prior: float | None = None, penalt
     per_doc = np.maximum(np.bincount(doc, minlength=n_doc), 1)
     cells, of = np.unique(feature.astype(np.int64) * n_doc + doc[sentence], return_inverse=True)
     part = np.bincount(of) / per_doc[cells % n_doc]
+    del of
     scale = np.sqrt(np.bincount(cells // n_doc, part**2, n) * np.mean(weight**2 * (y - prior) ** 2))
     theta = np.concatenate([np.zeros(n), [np.log(prior / per_doc.mean())], [np.log(prior / 20 / (1 - prior / 20))]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -131,7 +136,7 @@ def fit(bags: list[bytes], labels: list[int], prior: float | None = None, penalt
     return Model(weights, float(theta[n]), float(sigmoid(theta[n + 1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, most: int = 2500) -> Model:
     """Learns from about ``sample_rows`` labelled rows, chosen by a hash of doc_id, up to three eighths of them toxic, and of
     each from at most about ``most`` numbers (see :func:`bag`), which bounds what the driver holds to 4 * sample_rows * most
     bytes. Texts themselves never reach the driver."""
@@ -186,7 +191,7 @@ def score(text: Column, model: Model, spark) -> Column:
     return per_text(run, "struct<score: double, offending: array<struct<begin: long, end: long, score: double>>>")(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted, offending; labels of held-out rows are not learned from."""
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))), sample_rows)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model, docs.sparkSession).alias("r"))
