@@ -6,10 +6,13 @@ differ in ten of 64 bits on average, too many for any pigeonhole allocation to b
 from ``BANDS`` bands of ``ROWS`` minima each: a pair at exactly 0.8 shares no band with a probability of 7e-6, a more
 similar one with less.
 
-Every candidate pair that can still change a group is verified on the texts. First each class of a band (or of linked
-fingerprints) is compared with the least of it; what then lies in one group needs no further comparison, and in bands that
-hold several groups all members outside the most frequent group are compared with all members of the band. So a large
-group of copies costs rows in proportion to its size.
+Every candidate pair that can still change a group is verified on the texts, unless its parity sketches prove that it is
+less similar: bit i of a sketch is the parity of the shingles whose hash ends in i, so that two sketches never differ in more
+bits than the sets in elements, and sets with a similarity of 0.8 differ in at most a ninth of the sum of their sizes.
+First each class of a band (or of linked fingerprints) is compared with the least of it; what then lies in one group needs no
+further comparison, and in bands that hold several groups all members outside the most frequent group are compared with all
+members of the band. A band's members meet in blocks, and only pairs that pass the sketches become rows: a large group of
+copies costs rows in proportion to its size, and so does a large group of copies with too many edits.
 
 Documents with equal shingle sets are one class. A text of at most five words is one shingle; null text is as empty. An
 empty table gives an empty table.
@@ -31,6 +34,8 @@ from lodestone.llm.simhash import components, dealt, fingerprint_value, links, s
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 _random = np.random.default_rng(11)
+#: Bits of a parity sketch, and how many members of a band outside its most frequent group meet the band in one block.
+SKETCH, BLOCK = 1024, 1000
 FLIP = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
 FACTOR = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -51,26 +56,49 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """The parity sketch of a set as (signed) longs."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def may_be_similar(size: Column, bits: Column, other_size: Column, other_bits: Column) -> Column:
+    """False only where sizes and sketches prove a similarity below ``SIMILARITY``."""
+    apart = sum((F.bit_count(bits[i].bitwiseXOR(other_bits[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return apart * (1 + SIMILARITY) <= (size + other_size) * (1 - SIMILARITY) + 1e-6
+
+
 def classed(text: Column) -> Column:
-    """struct<fp, print, bands>: the hash of the shingle set, its SimHash fingerprint, and its band keys."""
+    """struct<fp, print, size, bits, bands>: the hash of the shingle set, its SimHash fingerprint, its size, its parity sketch and
+    its band keys."""
 
     def run(texts: list[str | None]) -> pa.Array:
-        fps, prints, bands = [], [], []
+        fps, prints, sizes, bits, bands = [], [], [], [], []
         for t in texts:
             hashes = shingle_set(t)
             fps.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42))
             prints.append(fingerprint_value(hashes))
+            sizes.append(len(hashes))
+            bits.append(sketch(hashes))
             bands.append(band_keys(hashes))
         both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, prints)]
-        return pa.StructArray.from_arrays([*both, pa.array(bands, pa.list_(pa.int64()))], ["fp", "print", "bands"])
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([*both, pa.array(sizes, pa.int64()), pa.array(bits, longs), pa.array(bands, longs)], ["fp", "print", "size", "bits", "bands"])
+
+    return per_text(run, "struct<fp: long, print: long, size: long, bits: array<long>, bands: array<long>>")(text)
+
 
-    return per_text(run, "struct<fp: long, print: long, bands: array<long>>")(text)
+def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes (fp, size, bits) that their sketches do not rule out."""
+    found = pairs.join(texts.select(F.col("fp").alias("b"), F.col("size").alias("n"), F.col("bits").alias("other")), "b")
+    found = dealt(found, "a", texts.select(F.col("fp").alias("a"), "size", "bits"), "b")
+    return found.filter(may_be_similar(F.col("size"), F.col("bits"), F.col("n"), F.col("other"))).select("a", "b")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose texts (fp, text) are similar."""
     found = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
-    found = found.join(texts.select(F.col("fp").alias("a"), "text"), "a").select("a", "b", "text", "other")
+    found = dealt(found, "a", texts.select(F.col("fp").alias("a"), "text"), "b").select("a", "b", "text", "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -108,17 +136,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(shared.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).union(linked_prints(classes)).distinct())
 
     some = shared.select("fp").union(tried.select("a")).union(tried.select("b")).distinct()
-    needed = classes.join(some, "fp", "left_semi").select("fp", "h")
-    texts = stored(known.join(needed, "h").groupBy("fp").agg(F.first("text").alias("text")))
-    edges = similar(tried, texts)
+    needed = rows.join(some, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    texts = stored(known.select("h", "text").join(needed, "h").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("text", "size", "bits"))))
+    edges = similar(cut(possible(tried, texts)), texts)
 
     grouped = shared.select("band", "fp").join(components(edges), "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
     sizes = grouped.groupBy("band", "label").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = cut(grouped.join(most.drop("groups"), "band"))
-    few, all_ = mixed.filter("label <> most").select("band", "fp", "label"), mixed.select("band", F.col("fp").alias("other"), F.col("label").alias("their"))
-    pairs = few.join(all_, "band").filter("label <> their").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    edges = edges.union(similar(pairs.join(tried, ["a", "b"], "left_anti"), texts))
+    most = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("blocks"), F.count("*").alias("groups"))
+    mixed = cut(grouped.join(most.filter("groups > 1").drop("groups"), "band").join(texts.select("fp", "size", "bits"), "fp"))
+    few = mixed.filter("label <> most").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    all_ = mixed.select("band", F.col("fp").alias("other"), F.col("label").alias("their"), F.col("size").alias("n"), F.col("bits").alias("marks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = (few["band"] == all_["band"]) & (few["block"] == all_["block"]) & (F.col("label") != F.col("their"))
+    pairs = few.join(all_, met & may_be_similar(F.col("size"), F.col("bits"), F.col("n"), F.col("marks")))
+    pairs = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    edges = edges.union(similar(cut(pairs.join(tried, ["a", "b"], "left_anti")), texts))
 
     labels = classes.select("fp").join(components(edges), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     return dealt(rows.select("doc_id", "h", "fp"), "fp", labels, "doc_id").select("doc_id", "h", "label")

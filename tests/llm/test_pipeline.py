@@ -3,6 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
+from lodestone.llm import shingles
+from pyspark.sql import functions as F
 
 
 def test_stages(spark, tmp_path):
@@ -33,7 +37,25 @@ def test_stages(spark, tmp_path):
     assert sorted(map(key, again)) == sorted(map(key, seen["best_fit_packing"]))
 
 
-def test_edited_copies_leave(spark):
+def test_sketches_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (1, 5, 9, 60, 400, 3000):
+        for wanted in (0.5, 0.7, 0.79, 0.8, 0.81, 0.9, 1.0):
+            both = max(1, round(wanted * size))
+            pool = rng.integers(0, 2**64, 2 * size, np.uint64)
+            x, y = np.unique(pool[:size]), np.unique(np.concatenate((pool[:both], pool[size : size + (size - both) // 2])))
+            likeness = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            rows.append((size, likeness, len(x), shingles.sketch(x), len(y), shingles.sketch(y)))
+    df = spark.createDataFrame(rows, "size int, likeness double, n long, a array<long>, m long, b array<long>")
+    got = df.select("size", "likeness", shingles.may_be_similar(F.col("n"), F.col("a"), F.col("m"), F.col("b")).alias("may")).collect()
+    assert all(r.may for r in got if r.likeness >= 0.8) and sum(r.likeness >= 0.8 for r in got) > 12
+    assert not any(r.may for r in got if r.likeness < 0.71 and 60 <= r["size"] <= 400)
+
+
+@pytest.mark.parametrize("block", [1000, 2])
+def test_edited_copies_leave(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
     texts = [rng.choices(words, k=rng.randrange(150, 400)) for _ in range(40)]
