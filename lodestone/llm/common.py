@@ -48,13 +48,15 @@ STATE: dict[object, object] = {}
 def worker_state(key: object, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept in this worker until another operator needs room."""
     if key not in STATE:
-        STATE.clear()
+        release_worker_state()
         STATE[key] = make()
     return STATE[key]
 
 
 def release_worker_state() -> None:
+    """Also hands back what Arrow keeps of earlier batches."""
     STATE.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

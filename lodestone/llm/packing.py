@@ -38,7 +38,8 @@ class WordEncoder:
     vocabulary's special strings are encoded whole.
     """
 
-    CACHE = 1_000_000
+    #: Words a worker remembers; beyond that it starts anew, which costs time only.
+    CACHE = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
