@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -69,3 +72,32 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], few: int = 256) -> np.ndarray:
+    """The sum over all tasks of what ``part`` makes of a task's Arrow batches: an array of doubles of one size. Arrays are
+    added up in groups until at most ``few`` are left for the driver, in order of the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "sums": pa.array([part(batches).astype(np.float64).tobytes()], pa.binary())})
+
+    def add(found: list[tuple[int, bytes]]) -> bytes:
+        return np.sum([np.frombuffer(x, np.float64) for _, x in sorted(found)], axis=0).tobytes()
+
+    def group(t: pa.Table) -> pa.Table:
+        found = list(zip(t["at"].to_pylist(), t["sums"].to_pylist(), strict=True))
+        return pa.table({"at": pa.array([min(found)[0]], pa.int64()), "sums": pa.array([add(found)], pa.binary())})
+
+    out, left = rows.mapInArrow(run, "at long, sums binary"), rows.rdd.getNumPartitions()
+    while left > few:
+        left = math.isqrt(left) + 1
+        out = out.groupBy(F.pmod("at", F.lit(left))).applyInArrow(group, "at long, sums binary")
+    found = [(r[0], bytes(r[1])) for r in out.collect()]
+    return np.frombuffer(add(found), np.float64)
+
+
+def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
+    """A column of arrays of one length as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(kind, copy=False) if len(flat) else np.zeros((0, 0), kind)

@@ -85,7 +85,8 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = 256, ridge: float =
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    """Rows without an id are held out: they can't be told from others, so nothing is learned from them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
 def bits_of(text: Column) -> Column:
@@ -139,6 +140,6 @@ def predict(text: Column, model: Model | None, spark) -> Column:
 
 def identify(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows of ``docs`` that are not held out."""
-    model = train(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), sample_rows)
+    model = train(docs.filter(~held_out(F.col("doc_id"))), sample_rows)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), model, docs.sparkSession).alias("r"))
     return found.select("doc_id", "held_out", "r.*")

@@ -74,7 +74,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_matroska, op4_language_id, op5_toxicity, op6_substring_dedup, op7_simhash, op8_suffix_dedup, op9_personal_data, op10_quality_rules)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.discriminant import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_byte_bpe,
+        op3_matroska,
+        op4_language_id,
+        op5_toxicity,
+        op6_substring_dedup,
+        op7_simhash,
+        op8_suffix_dedup,
+        op9_personal_data,
+        op10_quality_rules,
+        op11_embedding_whitening,
+        op12_quality_classifier,
+        op13_source_divergence,
+    )
+}
 #: Words as the contracts define them, one row each.
 WORDS = """words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents))"""
 ORACLES: dict[str, str] = {
@@ -106,4 +141,18 @@ counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_symbols > 0.2 * greatest(n_words, 1) AND NOT n_dup_lines > 0.3 * (breaks + 1) AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 30 AND NOT n_upper > 0.5 * n_words
   AND NOT n_letters < 0.5 * word_chars AND NOT commonest > 0.2 * n_words AS kept FROM counts""",
+    "op13_source_divergence": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+held AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM held GROUP BY ALL HAVING count(*) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, sum(c) AS c FROM held GROUP BY ALL),
+counts AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0)::BIGINT AS c FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER w + count(*) OVER w) AS p FROM counts WINDOW w AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER w + count(*) OVER w) AS q FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
