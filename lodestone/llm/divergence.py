@@ -1,11 +1,13 @@
 """Divergence of a language's sources by the terms they use.
 
-Which terms a language keeps (those in ``least`` of its documents) is found by refining prefixes, as an iceberg query: a pass
-over the documents counts, for each prefix of a few bytes, the distinct documents that hold it; prefixes in too few are
-discarded, since no term can be in more documents than its prefix; the next pass extends only what is left. A term that ends
-within a level's length is counted there as a whole. Survivors go to the next pass as a bitmap of fixed size with a bit for the
-hash of each, so nothing sent to tasks grows with the vocabulary: a prefix that shares a survivor's bit costs rows in the next
-count, never a result, since the last pass counts the documents of whole terms exactly. Tasks add up before rows are sent.
+Texts are split once: each task writes, for a language and a few thousand documents at a time, its distinct terms and for each
+term the documents that hold it (postings, as arrays of numbers). Which terms a language keeps (those in ``least`` of its
+documents) is then found by refining prefixes, as an iceberg query: a pass counts, for each prefix of a few bytes, the distinct
+documents that hold it; prefixes in too few are discarded, since no term can be in more documents than its prefix; the next
+pass extends only what is left. A term that ends within a level's length is counted there as a whole. Survivors go to the next
+pass as a bitmap of fixed size with a bit for the hash of each, so nothing sent to tasks grows with the vocabulary: a prefix
+that shares a survivor's bit costs rows in the next count, never a result, since the last pass counts the documents of whole
+terms exactly. Tasks add up before rows are sent.
 
 Then each group of a language and a source gets its counts of the kept terms, in blocks of terms: a block holds all sources'
 counts of some terms, and gives each ordered pair of sources its part of the sum, and each source its best terms.
@@ -17,9 +19,9 @@ an empty table; other columns are not looked at. Texts of any length are split w
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,8 @@ from lodestone.llm.common import stored
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Ends a whole term among prefixes: no term holds it.
 END = b" "
-#: Entries, and bytes of keys, that a task holds before it sends them.
-HELD, HELD_BYTES = 400_000, 48 << 20
+#: Postings, terms and bytes of terms that a task holds before it writes them, and documents of a language in one row.
+POSTINGS, TERMS, TERM_BYTES, DOCS = 2_000_000, 400_000, 24 << 20, 65_535
 SCALE = 10**9
 
 
@@ -69,69 +71,113 @@ class Sieve:
         return bool(self.bitmaps[level][at >> 3] >> (at & 7) & 1)
 
 
-class Held:
-    """Verdicts on terms, kept for each language up to a bound."""
+class Numbers(dict):
+    """Terms by number, in order of appearance."""
 
-    def __init__(self, judge):
-        self.judge, self.known, self.size = judge, defaultdict(dict), 0
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
 
-    def of(self, lang: str, terms: set[bytes]) -> dict[bytes, bytes | None]:
-        known = self.known[lang]
-        for t in terms:
-            if t not in known:
-                known[t] = self.judge(lang, t)
-                self.size += len(t) + 100
-        return known
 
-    def trim(self) -> None:
-        if self.size > HELD_BYTES:
-            self.known.clear()
-            self.size = 0
+class Shelf:
+    """A language's postings in a task, until they are written."""
 
+    def __init__(self):
+        self.numbers, self.sources, self.bytes, self.held = Numbers(), {}, 0, 0
+        self.of_doc: list[int] = []  # source of each document
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, source: str, words: list[bytes]) -> None:
+        known = len(self.numbers)
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        if len(self.numbers) > known:
+            self.bytes += sum(map(len, islice(reversed(self.numbers), len(self.numbers) - known)))
+        ids.sort()
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        self.of_doc.append(self.sources.setdefault(source, len(self.sources)))
+        self.ids.append(ids[first])
+        self.counts.append(np.diff(first, append=len(ids)).astype(np.uint32))
+        self.held += len(first)
+
+    def row(self, lang: str) -> dict[str, object]:
+        ids, doc = np.concatenate(self.ids), np.repeat(np.arange(len(self.ids), dtype=np.uint16), [len(x) for x in self.ids])
+        order = np.argsort(ids, kind="stable")
+        return {
+            "lang": lang,
+            "sources": list(self.sources),
+            "of_doc": np.array(self.of_doc, np.int32).tobytes(),
+            "terms": END.join(self.numbers),
+            "docs_of": np.bincount(ids, minlength=len(self.numbers)).astype(np.int32).tobytes(),
+            "docs": doc[order].tobytes(),
+            "counts": np.concatenate(self.counts)[order].tobytes(),
+        }
+
+
+SHELF = pa.schema([("lang", pa.string()), ("sources", pa.list_(pa.string())), *((c, pa.binary()) for c in ("of_doc", "terms", "docs_of", "docs", "counts"))])
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str | None]]:
-    for b in batches:
-        yield from zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True)
 
+def postings(docs: DataFrame) -> DataFrame:
+    """lang; sources: names; of_doc: place of each document's source; terms, joined by a space; docs_of: of each term, how many
+    documents hold it; docs: these, term by term; counts: how often each holds it. As a table in the shared folder."""
 
-def prefix_counts(docs: DataFrame, sieve: Sieve, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelves: dict[str, Shelf] = {}
+        held = terms = size = 0
+        for b in batches:
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = shelves.setdefault(lang, Shelf())
+                before = own.held, len(own.numbers), own.bytes
+                own.add(source, words_of(text))
+                held, terms, size = held + own.held - before[0], terms + len(own.numbers) - before[1], size + own.bytes - before[2]
+                if held > POSTINGS or terms > TERMS or size > TERM_BYTES or len(own.of_doc) >= DOCS:
+                    for k, x in shelves.items():
+                        yield pa.RecordBatch.from_pylist([x.row(k)], SHELF)
+                    shelves.clear()
+                    held = terms = size = 0
+        for k, x in shelves.items():
+            yield pa.RecordBatch.from_pylist([x.row(k)], SHELF)
+
+    return stored(docs.mapInArrow(run, "lang string, sources array<string>, of_doc binary, terms binary, docs_of binary, docs binary, counts binary"))
+
+
+def shelf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+            get = lambda c, kind: np.frombuffer(r[c], kind)  # noqa: E731, B023
+            yield r["lang"], r["sources"], get("of_doc", np.int32), r["terms"].split(), get("docs_of", np.int32), get("docs", np.uint16), get("counts", np.uint32)
+
+
+def distinct_docs(key_of: np.ndarray, n_keys: int, docs_of: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """How many documents hold terms of each key; terms with key -1 have none."""
+    terms_of = np.bincount(key_of[key_of >= 0], minlength=n_keys)
+    alone = key_of >= 0
+    alone[alone] = terms_of[key_of[alone]] == 1
+    out = np.zeros(n_keys, np.int64)
+    out[key_of[alone]] = docs_of[alone]
+    shared = np.repeat(np.where(alone, -1, key_of), docs_of)
+    pairs = np.sort((shared[shared >= 0].astype(np.int64) << 16) | docs[shared >= 0])
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    return out + np.bincount(pairs[new] >> 16, minlength=n_keys)
+
+
+def prefix_counts(shelves: DataFrame, sieve: Sieve, length: int) -> DataFrame:
     """lang, key, docs: of prefixes of ``length`` bytes of terms that ``sieve`` passes and that go on beyond its last length, how
-    many documents hold them; several rows for a key, each of one task."""
-    shared, before = docs.sparkSession.sparkContext.broadcast(sieve), sieve.lengths[-1] if sieve.lengths else 0
+    many documents hold them; several rows for a key, each of some documents."""
+    shared, before = shelves.sparkSession.sparkContext.broadcast(sieve), sieve.lengths[-1] if sieve.lengths else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
+        for lang, _, _, terms, docs_of, docs, _ in shelf_rows(batches):
+            keys = Numbers()
+            key_of = np.fromiter((keys[t[:length] if len(t) > length else t + END] if len(t) > before and sieve.passes(lang, t) else -1 for t in terms), np.int64, len(terms))
+            if keys:
+                n = distinct_docs(key_of, len(keys), docs_of, docs)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "key": pa.array(list(keys), pa.binary()), "docs": pa.array(n, pa.int64())})
 
-        def key(lang: str, term: bytes) -> bytes | None:
-            if len(term) <= before or not sieve.passes(lang, term):
-                return None
-            return term[:length] if len(term) > length else term + END
-
-        held, counts, entries = Held(key), defaultdict(Counter), 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, k, n) for lang, own in counts.items() for k, n in own.items()]
-            counts.clear()
-            return pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "key": pa.array([r[1] for r in rows], pa.binary()), "docs": pa.array([r[2] for r in rows], pa.int64())})
-
-        size = 0
-        for lang, _, text in rows_of(batches):
-            terms = set(words_of(text))
-            known = held.of(lang, terms)
-            keys = {k for t in terms if (k := known[t]) is not None}
-            own = counts[lang]
-            entries -= len(own)
-            own.update(keys)
-            entries += len(own)
-            size += len(text or "")
-            held.trim()
-            if entries > HELD or size > 8 * HELD_BYTES:
-                yield flush()
-                entries, size = 0, 0
-        if entries:
-            yield flush()
-
-    return docs.mapInArrow(run, "lang string, key binary, docs long")
+    return shelves.mapInArrow(run, "lang string, key binary, docs long")
 
 
 def bitmap(survivors: DataFrame, bits: int) -> bytes:
@@ -144,59 +190,53 @@ def bitmap(survivors: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def refine(docs: DataFrame, least: int, lengths: tuple[int, ...], bits: int) -> Sieve:
-    """One pass over the documents for each length."""
+def refine(shelves: DataFrame, least: int, lengths: tuple[int, ...], bits: int) -> Sieve:
+    """One pass over the postings for each length."""
     sieve = Sieve(bits=bits)
     for n in lengths:
-        counts = prefix_counts(docs, sieve, n).groupBy("lang", "key").agg(F.sum("docs").alias("docs"))
+        counts = prefix_counts(shelves, sieve, n).groupBy("lang", "key").agg(F.sum("docs").alias("docs"))
         sieve = Sieve((*sieve.lengths, n), (*sieve.bitmaps, bitmap(counts.filter(F.col("docs") >= least), bits)), bits)
     return sieve
 
 
-def term_counts(docs: DataFrame, sieve: Sieve) -> DataFrame:
-    """lang, source, term, docs, count: of terms that the sieve passes; several rows for a term, each of one task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+GROUP = pa.list_(pa.struct([("source", pa.string()), ("docs", pa.int64()), ("count", pa.int64())]))
+
+
+def term_counts(shelves: DataFrame, sieve: Sieve) -> DataFrame:
+    """lang, term, groups: array<struct<source, docs, count>>, of terms that the sieve passes; several rows for a term, each of
+    some documents."""
+    shared = shelves.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
-        held = Held(lambda lang, term: term if sieve.passes(lang, term) else None)
-        counts: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
-        entries, size = 0, 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(*g, t, *n) for g, own in counts.items() for t, n in own.items()]
-            counts.clear()
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array([t.decode() for t in cols[2]], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["lang", "source", "term", "docs", "count"])
-
-        for lang, source, text in rows_of(batches):
-            found = Counter(words_of(text))
-            known, own = held.of(lang, found.keys()), counts[lang, source]
-            for t, n in found.items():
-                if known[t] is not None:
-                    if (x := own.get(t)) is None:
-                        own[t] = [1, n]
-                        entries += 1
-                        size += len(t)
-                    else:
-                        x[0] += 1
-                        x[1] += n
-            held.trim()
-            if entries > HELD or size > HELD_BYTES:
-                yield flush()
-                entries, size = 0, 0
-        if entries:
-            yield flush()
-
-    return docs.mapInArrow(run, "lang string, source string, term string, docs long, count long")
+        for lang, sources, of_doc, terms, docs_of, docs, counts in shelf_rows(batches):
+            stays = np.fromiter((sieve.passes(lang, t) for t in terms), bool, len(terms))
+            if not stays.any():
+                continue
+            names = [t.decode() for t, s in zip(terms, stays.tolist(), strict=True) if s]
+            number = np.where(stays, np.cumsum(stays) - 1, -1)
+            term = np.repeat(number, docs_of)
+            held = term >= 0
+            cell = term[held].astype(np.int64) * len(sources) + of_doc[docs[held]]
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            n = np.add.reduceat(counts[held][order].astype(np.int64), first)
+            of, source = np.divmod(cell[first], len(sources))
+            values = pa.StructArray.from_arrays([pa.array(sources, pa.string()).take(pa.array(source)), pa.array(np.diff(first, append=len(cell)), pa.int64()), pa.array(n)], fields=list(GROUP.value_type))
+            ends = np.searchsorted(of, np.arange(len(names) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), values)], ["lang", "term", "groups"])
+
+    return shelves.mapInArrow(run, "lang string, term string, groups array<struct<source: string, docs: long, count: long>>")
 
 
 def kept_terms(docs: DataFrame, least: int = 3, lengths: tuple[int, ...] = (3, 6, 12), bits: int = 26) -> DataFrame:
     """lang, source, term, count, one: of terms in at least ``least`` documents of the language, with the count of occurrences
     in each source that has any; ``one`` is 1 in one row of each term of a language, else 0. As a table in the shared folder."""
-    counts = term_counts(docs, refine(docs, least, lengths, bits))
+    shelves = postings(docs)
     # Tasks have added up already: one exchange by language and term serves the sums and the window.
-    by_source = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    counts = term_counts(shelves, refine(shelves, least, lengths, bits)).repartition("lang", "term").select("lang", "term", F.inline("groups"))
+    by_source = counts.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
     term = Window.partitionBy("lang", "term")
     found = by_source.select("lang", "source", "term", "count", F.sum("docs").over(term).alias("docs"), (F.col("source") == F.min("source").over(term)).cast("int").alias("one"))
     return stored(found.filter(F.col("docs") >= least).drop("docs"))
@@ -252,6 +292,7 @@ def audit(docs: DataFrame, least: int = 3, most_terms: int = 200, block: int = 2
     dealt = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     blocks = kept.join(known, "lang").select("lang", "source", "term", "count", F.pmod(F.xxhash64("term"), last + 1).alias("block"))
     parts = blocks.groupBy("lang", "block").cogroup(dealt.groupBy("lang", "block")).applyInPandas(lambda a, b: block_rows(a, b, most_terms), "lang string, source string, part string, item string, value long")
-    ranked = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    found = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(ranked))
-    return found.filter((F.col("part") == "pair") | (F.col("rank") <= most_terms))
+    sums = stored(parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")))
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
+    # Apart, so that only the best terms of a task are sent.
+    return ranked.filter("part = 'pair'").unionByName(ranked.filter((F.col("part") == "term") & (F.col("rank") <= most_terms)))

@@ -70,10 +70,12 @@ def moments(fit: DataFrame, d: int) -> Moments:
             sums = [a + int(s) for a, s in zip(sums, wide.sum(axis=0), strict=True)]
         if n:
             values = [n, *sums, squares]
-            yield pa.RecordBatch.from_pydict({"place": pa.array(range(d + 2), pa.int32()), "value": pa.array([str(v) for v in values], pa.string())})
+            # In two parts, since a sum of squares may have more digits than a decimal.
+            high, low = zip(*(divmod(v, 10**18) for v in values), strict=True)
+            yield pa.RecordBatch.from_pydict({"place": pa.array(range(d + 2), pa.int32()), "high": pa.array(map(str, high), pa.string()), "low": pa.array(map(str, low), pa.string())})
 
-    parts = fit.mapInArrow(run, "place int, value string")
-    found = {r[0]: int(r[1]) for r in parts.groupBy("place").agg(F.sum(F.col("value").cast("decimal(38,0)"))).collect()}
+    parts = fit.mapInArrow(run, "place int, high string, low string").groupBy("place")
+    found = {r[0]: int(r[1]) * 10**18 + int(r[2]) for r in parts.agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("high", "low")]).collect()}
     return Moments(found.get(0, 0), tuple(found.get(i + 1, 0) for i in range(d)), found.get(d + 1, 0))
 
 
