@@ -73,18 +73,19 @@ class Words:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.halves = np.zeros((0, 2), np.uint64)
+        self.halves = np.zeros((1024, 2), np.uint64)  # with room for more; it doubles, so that a text costs what is new in it
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The number of each word of a text."""
         number, parts = self.number, []
         for piece in slices(text):
-            words = piece.split()
+            words, known = piece.split(), len(number)
             parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-        if len(self.halves) < len(number):
-            new = islice(number, len(self.halves), None)
-            fresh = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in new), np.uint64).reshape(-1, 2)
-            self.halves = np.concatenate([self.halves, fresh])
+            if fresh := len(number) - known:
+                if len(number) > len(self.halves):
+                    self.halves = np.concatenate([self.halves, np.zeros((max(len(self.halves), fresh), 2), np.uint64)])
+                latest = b"".join(xxhash.xxh3_128_digest(w) for w in islice(reversed(number), fresh))
+                self.halves[known : len(number)] = np.frombuffer(latest, np.uint64).reshape(-1, 2)[::-1]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def windows(self, ids: np.ndarray, size: int, half: int) -> np.ndarray:

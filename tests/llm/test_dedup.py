@@ -263,3 +263,18 @@ def test_suffix_sizes_are_checked_and_names_may_clash(spark):
         with pytest.raises(ValueError, match="size"):
             suffixes.remove_repeated(df, size)
     assert sorted((r.doc_id, r.text, r._hash) for r in suffixes.clean(df).collect()) == [(1, "a" * 80, 7), (2, "b", 8)]
+
+
+def test_words_cost_what_is_new():
+    def seconds(n):
+        texts = [" ".join(f"w{i}x{k}" for k in range(8)).encode() for i in range(n)]
+        words, began = substrings.Words(), time.process_time()
+        numbers = [words(t).tolist() for t in texts]
+        took = time.process_time() - began
+        assert numbers == [list(range(8 * i, 8 * i + 8)) for i in range(n)] and len(words.number) == 8 * n
+        for i in (0, 1, n // 2, n - 1):
+            assert words.halves[8 * i].tobytes() == xxhash.xxh3_128_digest(f"w{i}x0".encode())
+        return took / n
+
+    few = min(seconds(2_000) for _ in range(3))
+    assert seconds(20_000) < 4 * few
