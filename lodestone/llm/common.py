@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,9 +58,11 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
 
 
 def release_worker_state() -> None:
-    """Also hands back what Arrow keeps of earlier batches."""
+    """Also hands back what Arrow, and where it can be asked the C library, keep of earlier batches."""
     STATE.clear()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

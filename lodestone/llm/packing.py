@@ -28,9 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, worker_state
+from lodestone.llm.common import cut, slices, worker_state
 from lodestone.llm.pretokens import Words, pretokens
 
+#: Characters of texts that are encoded at a time; a longer text stands alone.
+SLICE = 1 << 20
+
+
 class WordEncoder:
     """Ids by a byte-level vocabulary of the ``tokenizers`` library, looked up once per distinct pre-token.
 
@@ -38,8 +42,9 @@ class WordEncoder:
     vocabulary's special strings are encoded whole.
     """
 
-    #: Words a worker remembers; beyond that it starts anew, which costs time only.
-    CACHE = 400_000
+    #: Bytes of words and ids, with what Python adds to each, that a worker remembers; beyond that it starts anew, which costs
+    #: time only.
+    CACHE_BYTES = 64 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,6 +60,7 @@ class WordEncoder:
         self.words = Words()
         self.sizes, self.starts = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int64)
         self.flat, self.used = np.zeros(1 << 19, np.uint32), 0
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words. Those of a space and letters are encoded many at a time: the space tells them apart."""
@@ -78,12 +84,13 @@ class WordEncoder:
         self.sizes[numbers], self.starts[numbers] = sizes, starts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.held += sum(map(len, words)) + 120 * len(words) + 4 * len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         for _, tokens, counts in pretokens(["" if i in odd else t for i, t in enumerate(texts)]):
-            if len(self.words) > self.CACHE:
+            if self.held > self.CACHE_BYTES:
                 self.clear()
             which = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
             if self.words.new:
@@ -109,15 +116,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         task, seen, coder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
         for b in batches:
             texts, docs_of = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for a in range(0, len(texts), 500):
+            for a, e in slices([len(t or "") + 200 for t in texts], SLICE):
                 rows = []
-                for doc, ids in zip(docs_of[a : a + 500], coder.encode([t or "" for t in texts[a : a + 500]]), strict=True):
+                for doc, ids in zip(docs_of[a:e], coder.encode([t or "" for t in texts[a:e]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     head = len(ids) % capacity or capacity
                     cuts = [0, *range(head, len(ids) + 1, capacity)]
-                    for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((doc, k, s, e - s, zlib.crc32(ids[s:e].tobytes()), task, int(seen[e - s])))
-                        seen[e - s] += 1
+                    for k, (s, t) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        rows.append((doc, k, s, t - s, zlib.crc32(ids[s:t].tobytes()), task, int(seen[t - s])))
+                        seen[t - s] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()], strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"

@@ -303,13 +303,13 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.3, most_regions: in
     rng = random.Random(seed)
     examples: list[tuple[Lattice, set[Span]]] = []
     known = [r for r in chosen(texts, most_regions) if not re.search(MIXED, r[0][r[1] : r[2]])]
+    if not any(own for *_, own in known):
+        return None
     times = min(8, -(-2 * most_regions // max(1, len(known))))  # few regions are altered more often
     for text, a, b, own in known:
         examples.append((lattice(text[a:b], 0, b - a), {(k, x - a, y - a) for k, x, y in own}))
         for _ in range(times):
             examples += [(lattice(piece, 0, len(piece)), set(spans)) for piece, spans in variants(rng, text, a, b, own)]
-    if not any(kind in BASE for _, gold in examples for kind, _, _ in gold):
-        return None
     field = Field(sorted({f for lat, _ in examples for *_, fs in lat.segments for f in fs}))
     ready = []
     for lat, spans in examples:

@@ -134,10 +134,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = banded.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(banded.join(least, "band"))
     tried = cut(shared.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).union(linked_prints(classes)).distinct())
+    if tried.isEmpty():  # no two classes share a band or a near fingerprint
+        return rows.select("doc_id", "h", F.col("fp").alias("label"))
 
     some = shared.select("fp").union(tried.select("a")).union(tried.select("b")).distinct()
     needed = rows.join(some, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h"), F.first("size").alias("size"), F.first("bits").alias("bits"))
-    texts = stored(known.select("h", "text").join(needed, "h").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("text", "size", "bits"))))
+    texts = stored(dealt(known, "h", needed, "doc_id").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("text", "size", "bits"))))
     edges = similar(cut(possible(tried, texts)), texts)
 
     grouped = shared.select("band", "fp").join(components(edges), "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))

@@ -384,11 +384,10 @@ def clean(docs: DataFrame, size: int = 50) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text`` and ``n_chars`` to match; all rows and columns stay. Null texts
     become empty. Rows with the same doc_id and text get the same result."""
     found = remove_repeated(docs, size).select(F.col("doc_id").alias("id"), "text_hash", "kept_text").dropDuplicates(["id", "text_hash"])
-    # Texts come back from the chunks; of the documents only the other columns and a hash of the text are sent.
-    own = "_hash"
-    while own in docs.columns:
-        own += "_"
-    d, f = docs.withColumn(own, F.xxhash64("text")).drop("text").alias("d"), found.alias("f")
-    both = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.id")) & (F.col(f"d.{own}") == F.col("f.text_hash")))
-    text = F.col("f.kept_text")
-    return both.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns])
+    # Texts come back from the chunks; of the documents only the other columns and a hash of the text are sent. These travel in
+    # a struct, so that no name can meet another, in any case.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    d = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"))
+    both = d.join(found, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
+    text = F.col("kept_text")
+    return both.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -278,3 +279,22 @@ def test_words_cost_what_is_new():
 
     few = min(seconds(2_000) for _ in range(3))
     assert seconds(20_000) < 4 * few
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    passage = "this passage is longer than fifty bytes and stands in two documents"
+    rows = [(1, passage, 7, "k", 1), (2, "before " + passage, 8, "l", 2), (None, passage, 9, "m", 3), (2, "before " + passage, 10, "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _HASH int, Kept_Text string, Row int").repartition(2)
+    got = suffixes.clean(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["_HASH"], r["Kept_Text"], r["Row"], r.doc_id, r.text) for r in got.collect()) == [(7, "k", 1, 1, passage), (8, "l", 2, 2, "before "), (9, "m", 3, None, ""), (10, "n", 4, 2, "before ")]
+    assert suffixes.clean(docs.limit(0)).collect() == [] and shingles.keep_first(docs.limit(0)).collect() == []
+
+
+def test_a_third_of_equal_texts(spark):
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(60))
+    same = prose()
+    rows = [(i, same if i % 3 == 0 else prose(), i) for i in range(300)] + [(1000, same + " more", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)
+    assert sorted(r.doc_id for r in shingles.keep_first(docs).collect()) == sorted({0, *(i for i in range(300) if i % 3)})

@@ -296,3 +296,21 @@ def test_cascade_computes_only_what_it_needs(spark, monkeypatch):
     assert quality.verdict(quality.Facts(prose), order) and sorted(computed) == sorted(quality.FEATURES)
     empty = spark.createDataFrame([], "doc_id long, text string, kept boolean")
     assert quality.score_quality(empty).count() == quality.keep_good(empty).count() == 0
+
+
+def test_rows_without_an_id_are_held_out(spark):
+    docs = spark.createDataFrame([(None, "the thing", "en"), (5, "the thing", "en"), (6, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(None, 1, 1), (5, 0, 0), (6, 1, 0)], "doc_id long, toxic int, quality int")
+    for found in (langid.identify(docs), toxicity.toxicity(docs, labels)):
+        assert {r.doc_id: r.held_out for r in found.collect()} == {None: True, **{d: zlib.crc32(str(d).encode()) % 5 == 0 for d in (5, 6)}}
+
+
+def test_training_stops_before_it_builds_what_it_cannot_use(monkeypatch):
+    monkeypatch.setattr(pii, "lattice", lambda *a: pytest.fail("built"))
+    assert pii.train(["0123abcd " * 40] * 50) is None and pii.train([]) is None
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, Text2 string")
+    for found in (langid.identify(none), media.digests(none), pii.digests(none), quality.score_quality(none), toxicity.toxicity(none, spark.createDataFrame([], "doc_id long, toxic int"))):
+        assert found.collect() == []
