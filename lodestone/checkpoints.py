@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as files in the shared folder, so that a lost executor loses nothing of it."""
     shared_folder(df.sparkSession)

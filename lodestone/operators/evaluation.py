@@ -7,9 +7,12 @@ relevance, facts>>), required, contradictions, retrievers. Observations: case_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
 from lodestone.functions.text import collapse_whitespace
 
 METRICS = ("recall", "precision", "hit", "mrr", "ndcg", "citation_accuracy", "faithfulness", "answer_relevance", "route_accuracy")
@@ -65,13 +68,49 @@ def score_cases(cases: DataFrame, observed: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, tuple[float, Callable[[Column], Column]]], accuracy: int = 100_000) -> DataFrame:
+    """``by`` and, for each name in ``places``, the value of a rank in its group, exact. ``places`` gives a share that the rank is
+    near to, and the rank (from 1) by the number of values that are not null.
+
+    A first pass makes a sketch of each group, whose error in rank is at most the group's size over ``accuracy``; so two of its
+    quantiles enclose the value sought. A second pass counts what is below them and each value between them. Only those few
+    different values are put in order, so no task gets a group's values."""
+    shares = {name: share for name, (share, _) in places.items()}
+    ends = [min(1.0, max(0.0, share + sign * 2 / accuracy)) for share in shares.values() for sign in (-1, 1)]
+    seen = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    size = seen.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_ends"))
+    sought = F.array(*[F.struct(F.lit(name).alias("_name"), F.get("_ends", F.lit(2 * i)).alias("_low"), F.get("_ends", F.lit(2 * i + 1)).alias("_high"), rank(F.col("_n")).cast("long").alias("_rank")) for i, (name, (_, rank)) in enumerate(places.items())])
+    wanted = size.select(*by, F.inline(sought))
+    wanted = wanted.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    met = seen.join(wanted if by else F.broadcast(wanted), same or F.lit(True)).filter(F.col("_v") <= F.col("_high"))
+    counts = met.groupBy(*by, "_name", "_rank", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_rank")).groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
+
+
+def latencies(rows: DataFrame, by: list[str], value: str = "latency") -> DataFrame:
+    """``by``, the median (of an even number the mean of the middle two) and the nearest-rank 95th percentile."""
+    nearest = lambda n: F.greatest(F.lit(1), F.ceil(n * 0.95 - 1e-9))
+    found = order_statistics(rows, by, value, {"_low_median": (0.5, lambda n: F.floor((n + 1) / 2)), "_high_median": (0.5, lambda n: F.floor(n / 2) + 1), "p95_latency": (0.95, nearest)})
+    return found.select(*by, ((F.col("_low_median") + F.col("_high_median")) / 2).alias("median_latency"), "p95_latency")
+
+
+def latency_cost_summary(rows: DataFrame, latency: str, cost: str) -> DataFrame:
+    """One row: median and 95th percentile of latencies, mean cost."""
+    return latencies(rows, [], latency).join(F.broadcast(rows.agg(F.avg(cost).alias("mean_cost"))), F.lit(True))
+
+
 def summarize(scores: DataFrame, *by: str) -> DataFrame:
     """Means of all metrics, nearest-rank latencies, mean cost and judge share, by the given columns."""
     means = [F.avg(m).alias(m) for m in METRICS]
-    return scores.groupBy(*by).agg(
-        F.count("*").alias("cases"), *means, F.coalesce(F.avg("sql_safety"), F.lit(1.0)).alias("sql_safety"), F.median("latency").alias("median_latency"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").alias("p95_latency"), F.avg("cost").alias("mean_cost"), F.avg(F.col("judge").cast("double")).alias("judge"),
-    )
+    scores = cut(scores.select(*by, *METRICS, "sql_safety", "latency", "cost", "judge"))  # read three times
+    plain = scores.groupBy(*by).agg(
+        F.count("*").alias("cases"), *means, F.coalesce(F.avg("sql_safety"), F.lit(1.0)).alias("sql_safety"), F.avg("cost").alias("mean_cost"), F.avg(F.col("judge").cast("double")).alias("judge")
+    )
+    named = [c for c in plain.columns if c not in (*by, "mean_cost", "judge")]
+    return plain.join(latencies(scores, list(by)), list(by), "left").select(*by, *named, "median_latency", "p95_latency", "mean_cost", "judge")
 
 
 def score_slices(cases: DataFrame, observed: DataFrame, k: int = 5) -> DataFrame:

@@ -142,11 +142,11 @@ def apply_retention(policies: DataFrame, chain: DataFrame, counts: DataFrame, so
     ago = lambda c: F.make_dt_interval(F.col(c))
     p = policies.withColumn("audit_cut", F.date_format(moment - F.make_dt_interval(F.greatest("audit_days", F.lit(AUDIT_FLOOR_DAYS))), "yyyy-MM-dd'T'HH:mm:ss"))
     p = p.withColumn("day_cut", F.to_date(moment - ago("query_log_days"))).withColumn("source_cut", moment - ago("source_data_days"))
-    aged = chain.join(F.broadcast(p.select("workspace_id", "org_id", "audit_cut")), "org_id").filter("audit_cut is not null")
+    aged = chain.join(p.select("workspace_id", "org_id", "audit_cut"), "org_id").filter("audit_cut is not null")
     first = aged.groupBy("workspace_id").agg(F.min(F.when(F.col("created_at") >= F.col("audit_cut"), F.col("sequence"))).alias("_from"))
     audit = aged.join(first, "workspace_id").filter(F.col("_from").isNull() | (F.col("sequence") < F.col("_from"))).groupBy("workspace_id").agg(F.count("*").alias("audit_events"))
-    old = counts.join(F.broadcast(p.select("workspace_id", "day_cut")), "workspace_id").filter("day < day_cut").groupBy("workspace_id").agg(F.count("*").alias("counters"))
-    gone = sources.join(F.broadcast(p.select("workspace_id", "source_cut")), "workspace_id").filter("updated_at < source_cut").groupBy("workspace_id").agg(F.array_sort(F.collect_list("source_id")).alias("sources"))
+    old = counts.join(p.select("workspace_id", "day_cut"), "workspace_id").filter("day < day_cut").groupBy("workspace_id").agg(F.count("*").alias("counters"))
+    gone = sources.join(p.select("workspace_id", "source_cut"), "workspace_id").filter("updated_at < source_cut").groupBy("workspace_id").agg(F.array_sort(F.collect_list("source_id")).alias("sources"))
     out = policies.filter("audit_days is not null or query_log_days is not null or source_data_days is not null").select("workspace_id").join(audit, "workspace_id", "left").join(old, "workspace_id", "left").join(gone, "workspace_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("workspace_id", zero("audit_events"), zero("counters"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))

@@ -17,11 +17,12 @@ from lodestone.functions.urls import host_of, normalize_url
 
 
 def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, block: int = 1000) -> DataFrame:
-    """(source, page, position, text) to chunks with a source-wide ``chunk_index`` and a per-page ``page_chunk``.
+    """(source, page, position, text) to chunks with a source-wide ``chunk_index`` and a per-page ``page_chunk``. Rows without
+    text, null or blank, give no chunks and take no number.
 
     Rows are numbered in blocks of ``block`` pages; the blocks' totals, one row each, are added up by source. So the texts of
     a large source are dealt by block, not all to one task."""
-    rows = pages.select("source", "page", "position", chunk_text(collapse_whitespace("text"), size, overlap).alias("chunks"), F.floor(F.col("page") / block).alias("block"))
+    rows = pages.select("source", "page", "position", chunk_text(collapse_whitespace(F.coalesce("text", F.lit(""))), size, overlap).alias("chunks"), F.floor(F.col("page") / block).alias("block"))
     # Counted apart from the texts, so that only the second join carries them.
     totals = rows.groupBy("source", "block").agg(F.sum(F.size("chunks")).alias("n"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,34 +68,97 @@ def column_roles(rows: DataFrame, text_columns: list[str], row_id: str | None, m
 HIDDEN = ("script", "style", "nav", "form", "noscript", "svg", "canvas")
 
 
-TAG = r"""<[/!?]?[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
-#: Comments, and elements whose content is no markup.
-RAW, ANY_TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE), re.compile(TAG)
-#: A hidden element without another in it; and one that is never closed, up to the end.
-ONE_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})\b[^>]*>(?:(?!<(?:{'|'.join(HIDDEN)})\b).)*?</\1\s*>", re.IGNORECASE | re.DOTALL)
-OPEN_HIDDEN = re.compile(rf"<(?:{'|'.join(HIDDEN)})\b.*", re.IGNORECASE | re.DOTALL)
-TITLE = re.compile(rf"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.IGNORECASE | re.DOTALL)
-LINKING = re.compile(r"""<(a|link)\b((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.IGNORECASE)
+#: Elements whose content is no markup.
+RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+NAME, SIGN = re.compile(r"([/!?]?)([A-Za-z][^\s/>]*)"), re.compile("""["'>]""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-def plain_text(html: str) -> str | None:
-    return " ".join(unescape(ANY_TAG.sub(" ", html)).split()) or None
+class Markup:
+    """Tags of a page from left to right. What is never closed is looked for once: from then on it is known to be absent, so that
+    a page costs time in proportion to its length, however broken it is."""
+
+    def __init__(self, html: str):
+        self.html, self.absent, self.loose = html, set(), False
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the tag that ``at`` lies in; -1 where it has no end. A sign in quotes ends no tag; where quotes leave a tag open
+        to the end of the page, they count for nothing from there on."""
+        place = at
+        while not self.loose:
+            sign = SIGN.search(self.html, place)
+            if sign and sign[0] == ">":
+                return sign.end()
+            place = self.find(sign[0], sign.end()) + 1 if sign else 0
+            self.loose = place == 0
+        return self.find(">", at) + 1 or -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(begin, end, name, closing, attributes); comments, and scripts and styles with their content, as name ''. A tag that is
+        closed in itself comes twice. Where a script never ends, so does the page."""
+        at = 0
+        while (begin := self.find("<", at)) >= 0:
+            at = begin + 1
+            if self.html.startswith("<!--", begin):
+                if (end := self.find("-->", begin + 4)) >= 0:
+                    at = end + 3
+                    yield begin, at, "", False, ""
+                continue
+            named = NAME.match(self.html, at)
+            if not named or (end := self.end(named.end())) < 0:
+                continue
+            at, name, body = end, named[2].lower(), self.html[named.end() : end - 1]
+            if name in RAW and not named[1]:
+                close = RAW[name].search(self.html, end)
+                at = close.end() if close else len(self.html)
+                yield begin, at, "", False, ""
+                continue
+            yield begin, end, name, named[1] == "/", body
+            if body.endswith("/") and not named[1]:
+                yield end, end, name, True, ""
+
+
+def plain_text(parts: list[str]) -> str | None:
+    return " ".join(unescape(" ".join(parts)).split()) or None
 
 
 def page_facts(html: str, url: str | None) -> dict:
-    """Title, visible text, the canonical link as an absolute address, and links of a page. Hidden elements are taken out from
-    the inside, until none is left."""
-    html = RAW.sub(" ", html)
-    linked = [(m[1].lower(), {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[2])}) for m in LINKING.finditer(html)]
-    named = [v.get("href") for tag, v in linked if tag == "link" and "canonical" in v.get("rel", "").lower().split()]
-    titles, left = " ".join(TITLE.findall(html)), 1
-    while left:
-        html, left = ONE_HIDDEN.subn(" ", html)
-    return {
-        "title": plain_text(titles), "text": plain_text(OPEN_HIDDEN.sub(" ", html)), "canonical": joined_url(url, named[-1]) if named and named[-1] else None,
-        "links": [v["href"] for tag, v in linked if tag == "a" and v.get("href", "").strip()],
-    }
+    """Title, visible text, the canonical link as an absolute address, and links of a page. A hidden element reaches to its own
+    end, and to the end of the page where it has none; others may lie in it."""
+    seen, titles, links, named = [], [], [], None
+    hidden: list[str] = []
+    at, title = 0, None
+    for begin, end, name, closing, body in Markup(html).tags():
+        if not hidden:
+            seen.append(html[at:begin])
+        if title is not None:
+            titles.append(html[at:begin])
+        at = end
+        if name == "title":
+            title = None if closing else begin
+        if name in HIDDEN and not closing:
+            hidden.append(name)
+        elif hidden and closing and name == hidden[-1]:
+            hidden.pop()
+        if name in ("a", "link") and not closing:
+            values = {k.lower(): unescape(x or y or z) for k, x, y, z in ATTRIBUTE.findall(body)}
+            if name == "a" and values.get("href", "").strip():
+                links.append(values["href"])
+            if name == "link" and "canonical" in values.get("rel", "").lower().split():
+                named = values.get("href")
+    if not hidden:
+        seen.append(html[at:])
+    if title is not None:
+        titles.append(html[at:])
+    return {"title": plain_text(titles), "text": plain_text(seen), "canonical": joined_url(url, named) if named else None, "links": links}
 
 
 def joined_url(url: str | None, link: str) -> str | None:

@@ -1,8 +1,8 @@
-"""Maintenance: lifecycles, publishing gates, inventories, reconciliation, checkpoints, and immutable generations."""
+"""Maintenance: lifecycles, publishing gates, inventories, reconciliation and checkpoints. Generations are in ``sources.generations``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Where a source may go from each status.
@@ -50,40 +50,3 @@ def resume(items: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, Data
 def idempotent_steps(deliveries: DataFrame) -> DataFrame:
     """One row of each (job, step), the first delivered."""
     return deliveries.groupBy("job", "step").agg(F.min_by(F.struct(*[c for c in deliveries.columns if c not in ("job", "step")]), "delivery").alias("r")).select("job", "step", "r.*")
-
-
-def publish_generation(representations: dict[str, DataFrame], root: str, workspace: str, generation: str, model: str) -> None:
-    """Writes every representation under the generation, then a manifest, and last the pointer to it: readers see the
-    old generation or the whole new one."""
-    spark = next(iter(representations.values())).sparkSession
-    rows = []
-    for kind, df in representations.items():
-        path = f"{root}/{kind}/generation_id={generation}"
-        df.write.mode("errorifexists").parquet(path)
-        facts = checksum(spark.read.parquet(path)).first()
-        rows.append((workspace, generation, kind, facts[0], facts[1], model))
-    spark.createDataFrame(rows, "workspace_id string, generation_id string, kind string, row_count long, checksum string, model string").coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest/generation_id={generation}")
-    spark.createDataFrame([(workspace, generation)], "workspace_id string, generation_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
-
-
-def checksum(df: DataFrame) -> DataFrame:
-    """One row: count, and an order-free hash of all rows."""
-    return df.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")).cast("string"), F.lit("0")).alias("checksum"))
-
-
-def read_active_generation(spark: SparkSession, root: str, kind: str, workspace: str) -> DataFrame:
-    """The representation that the pointer names; an error without one."""
-    pointer = spark.read.parquet(f"{root}/pointer").filter(F.col("workspace_id") == workspace).select("generation_id").first()
-    if pointer is None:
-        raise LookupError(f"no active generation of {workspace}")
-    return spark.read.parquet(f"{root}/{kind}/generation_id={pointer[0]}")
-
-
-def verify_generation(spark: SparkSession, root: str, generation: str, model: str) -> DataFrame:
-    """(kind, ok) of a generation's representations against its manifest."""
-    out = None
-    for kind, rows, known, by in spark.read.parquet(f"{root}/manifest/generation_id={generation}").select("kind", "row_count", "checksum", "model").collect():
-        now = checksum(spark.read.parquet(f"{root}/{kind}/generation_id={generation}"))
-        part = now.select(F.lit(kind).alias("kind"), ((F.col("row_count") == rows) & (F.col("checksum") == known) & F.lit(by == model)).alias("ok"))
-        out = part if out is None else out.unionByName(part)
-    return out

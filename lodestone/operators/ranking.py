@@ -15,14 +15,16 @@ WEIGHTS = {"vector": 0.40, "sentence_window": 0.25, "graph": 0.25, "lexical": 0.
 
 
 def fusion_candidates(by_mode: dict[str, DataFrame], k: int = 5, multiplier: int = 3, most: int = 20) -> DataFrame:
-    """Evidence of at least two modes, each to its own depth, with a literal mode."""
+    """Evidence of at least two modes, each to its own depth, with a literal mode. Evidence names a document, or a path of the
+    graph."""
     if len(by_mode) < 2:
         raise ValueError("fusion needs two modes")
     depth = min(most, k * multiplier)
     out = None
     for mode, found in by_mode.items():
-        part = found.filter(F.col("rank") <= depth).select("query_id", "document_id", "raw_score", "normalized_score", "rank", F.lit(mode).alias("mode"))
-        out = part if out is None else out.unionByName(part)
+        named = ["query_id", *[c for c in ("document_id", "path") if c in found.columns], "raw_score", "normalized_score", "rank"]
+        part = found.filter(F.col("rank") <= depth).select(*named, F.lit(mode).alias("mode"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -7,7 +7,10 @@ so that the order of summation cannot decide ties; ties go to the smaller docume
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +18,12 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import split_sentences, tokenize
+from lodestone.checkpoints import cut
+from lodestone.functions.text import folded, split_sentences, tokenize
 
 DIGITS = 9
+#: Tokens of folded text, as ``tokenize`` finds them.
+WORDS = re.compile(r"[^\W_]+(?:[-_][^\W_]+)*")
 #: A sentence's id is its document's, times this, plus its place.
 PLACES = 1 << 22
 
@@ -56,13 +62,57 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+#: What one reading of a document gives to all that retrieve.
+ANALYSED = pa.struct([("length", pa.int64()), ("posts", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("title_tf", pa.int64())]))), ("embedding", pa.list_(pa.float64()))])
+BUCKETS = 64
+
+
+@cache
+def bucket(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % BUCKETS
+
+
+def analysed(docs: DataFrame, asked: DataFrame | None = None, most_terms: int = 1_000_000) -> DataFrame:
+    """(document_id, length, posts, embedding) of documents (document_id, title, content): each text is folded and cut into tokens
+    once, for its length, its counted terms and its hashed vector. Of the terms only those of ``asked`` (term) leave the scan, if
+    they are at most ``most_terms``: a set of that size is sent to the tasks; otherwise all leave it."""
+    wanted = None
+    if asked is not None:
+        found = [r[0] for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
+        wanted = frozenset(found) if len(found) <= most_terms else None
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def one(title: str | None, content: str | None) -> dict[str, object]:
+        body, head = Counter(WORDS.findall(folded(content or ""))), Counter(WORDS.findall(folded(title or "")))
+        if bucket.cache_info().currsize > 500_000:
+            bucket.cache_clear()
+        vector = np.zeros(BUCKETS)
+        for t, n in body.items():
+            vector[bucket(t)] += n
+        terms = {**body, **head}.keys() if shared.value is None else shared.value & ({**body, **head}.keys() if head else body.keys())
+        posts = [{"term": t, "tf": body[t], "title_tf": head[t]} for t in terms]
+        return {"length": max(1, body.total()), "posts": posts, "embedding": vector / max(np.sqrt((vector**2).sum()), 1e-300)}
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for titles, contents in batches:
+            yield pa.array([one(t, c) for t, c in zip(titles.to_pylist(), contents.to_pylist(), strict=True)], ANALYSED)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    facts = F.arrow_udf(run, "struct<length: long, posts: array<struct<term: string, tf: long, title_tf: long>>, embedding: array<double>>")(F.col("title"), F.col("content"))
+    return docs.select("document_id", facts.alias("a")).select("document_id", "a.*")
+
+
 def bm25(questions: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, boost: float = 0.5) -> DataFrame:
+    """:func:`bm25_of` documents (document_id, title, content) that nothing else has analysed."""
+    return bm25_of(questions, cut(analysed(docs, question_terms(questions)).drop("embedding")), k1, b, boost)
+
+
+def bm25_of(questions: DataFrame, facts: DataFrame, k1: float = 1.5, b: float = 0.75, boost: float = 0.5) -> DataFrame:
     """(query_id, document_id, raw_score, terms) for every pair that shares a term, and how many different ones; question terms
-    count as often as they occur. Lengths are averaged over all documents; of their tokens, only those that are asked for
-    leave the scan."""
+    count as often as they occur. ``facts`` come from :func:`analysed`; lengths are averaged over all of them."""
     terms = question_terms(questions)
-    corpus = doc_stats(docs).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    asked = counted(tokens(docs, terms.select("term").distinct()))
+    corpus = facts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    asked = facts.select("document_id", "length", F.inline("posts")).join(terms.select("term").distinct(), "term", "left_semi")
     df = document_frequency(asked)
     w = F.col("tf") + boost * F.col("title_tf")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -71,6 +121,13 @@ def bm25(questions: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75
     return pairs.groupBy("query_id", "document_id").agg(F.round(F.sum(score), DIGITS).alias("raw_score"), F.count("*").alias("terms"))
 
 
+def held(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The documents of ``ids`` (document_id), as files of their own. Up to ``most`` ids are sent to the scan, so that only their
+    documents leave it; more are joined."""
+    few = cut(ids.select("document_id").distinct())
+    return cut(docs.join(F.broadcast(few) if few.count() <= most else few, "document_id", "left_semi"))
+
+
 def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, document_id) for every document whose content holds the question as it is. All tokens but the first and
     the last stand in such a document as they are; documents with all of them are compared. Questions need three tokens."""
@@ -116,6 +173,15 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
     return F.arrow_udf(run, "array<double>")(tokenize(text))
 
 
+def hashed_model(texts: list[str]) -> np.ndarray:
+    """The vectors of :func:`hashed_vector` as a model for :func:`embed`: tokens of folded text, counted by hash bucket."""
+    out = np.zeros((len(texts), 64))
+    for row, text in zip(out, texts, strict=True):
+        for token, n in Counter(WORDS.findall(folded(text))).items():
+            row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 64] += n
+    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], prefix: str = "", batch: int = 256) -> DataFrame:
     """(key, embedding) by a model that maps a list of texts to a matrix; texts reach it in batches."""
     kind = dict(texts.dtypes)[key]
@@ -221,6 +287,11 @@ def windows(sentences: DataFrame, radius: int = 2) -> DataFrame:
     return sentences.withColumn("window", F.array_join(F.collect_list("text").over(frame), " ")).withColumn("first", F.min("position").over(frame)).withColumn("last", F.max("position").over(frame))
 
 
+def lines(text: Column) -> Column:
+    """array<struct<text>>: the lines of a text, where these stand for sentences."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("text")))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(sentence_id, document_id, position, text, begin, end) of documents (document_id, content)."""
     found = docs.select("document_id", F.posexplode(split_sentences(F.col("content"))).alias("position", "s"))
@@ -232,13 +303,14 @@ def sentence_windows(docs: DataFrame, radius: int = 2) -> DataFrame:
     return windows(sentences(docs).drop("sentence_id"), radius)
 
 
-def retrieve_sentence_window(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 5, least: float = -1.0, radius: int = 2) -> DataFrame:
+def retrieve_sentence_window(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 5, least: float = -1.0, radius: int = 2, split: Callable[[Column], Column] = split_sentences) -> DataFrame:
     """The best k windows of each query: 5k nearest sentences, those below ``least`` left out, each replaced by its
     window, one of each (document, window), in order of similarity. ``vectors`` (sentence_id, embedding) are those of
-    :func:`sentences` of ``docs`` (document_id, content); windows are made for the hits only."""
+    :func:`sentences` of ``docs`` (document_id, content), or of the parts that ``split`` gives; windows are made for the hits
+    only."""
     near = knn_exact(queries, vectors.select(F.col("sentence_id").alias("document_id"), "embedding"), 5 * k).filter(F.col("raw_score") >= least)
     hits = near.select("query_id", "raw_score", F.col("document_id").alias("sentence_id"), F.col("rank").alias("sentence_rank"), F.floor(F.col("document_id") / PLACES).alias("document_id"), (F.col("document_id") % PLACES).alias("position"))
-    held = docs.join(hits.select("document_id").distinct(), "document_id", "left_semi").select("document_id", F.transform(split_sentences(F.col("content")), lambda s: s["text"]).alias("texts"))
+    held = docs.join(hits.select("document_id").distinct(), "document_id", "left_semi").select("document_id", F.transform(split(F.col("content")), lambda s: s["text"]).alias("texts"))
     placed = hits.join(held, "document_id").withColumn("first", F.greatest(F.col("position") - radius, F.lit(0))).withColumn("last", F.least(F.col("position") + radius, F.size("texts") - 1).cast("long"))
     window = F.array_join(F.slice("texts", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + 1).cast("int")), " ")
     same = Window.partitionBy("query_id", "document_id", "first", "last").orderBy("sentence_rank")

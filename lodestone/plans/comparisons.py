@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import citations, evaluation, graph, routing
-from lodestone.plans.answers import cases, cited, placed
+from lodestone.checkpoints import cut, fresh_folder
+from lodestone.operators import citations, evaluation, graph, ranking, retrieval, routing
+from lodestone.plans.answers import cases, cited, observations, placed
+from lodestone.plans.graph import EDGES, graph_of, top_paths
 from lodestone.plans.graph import questions as graph_questions
-from lodestone.plans.graph import top_paths
-from lodestone.plans.registry import query
-from lodestone.plans.retrieval import fused, reranked
+from lodestone.plans.registry import query, table
+from lodestone.plans.retrieval import RERANKED, fused, reranked
 from lodestone.plans.routing import ROUTED, route_questions
-from lodestone.plans.views import docs_norm
+from lodestone.plans.views import docs_norm, questions
+from lodestone.sources import files
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +70,57 @@ def graph_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, edges, entities = top_paths(spark, sf_dir)
     return graph.graph_manifest(entities, edges)
 
+
+
+def overlap(pairs: list[tuple[str, str]]) -> list[float]:
+    """A model of pairs of question and passage: the share of the question's distinct tokens that the passage has."""
+    tokens = lambda text: set(retrieval.WORDS.findall(retrieval.folded(text)))
+    return [len(a & tokens(p)) / len(a) if (a := tokens(q)) else 0.0 for q, p in pairs]
+
+
+@query(f"WITH {RERANKED} SELECT query_id, document_id, score FROM pairs")
+def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of all questions, each pair scored by a model that is plugged in."""
+    found = fused(spark, sf_dir, k=15).select("query_id", "document_id")
+    pairs = found.join(questions(spark, sf_dir), "query_id").join(docs_norm(spark, sf_dir).select("document_id", F.col("content").alias("passage")), "document_id")
+    return ranking.score_pairs(pairs, overlap).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT sha256(string_agg(to_json({'case_id': item_id, 'intent': CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'default' END, 'question': text}), chr(10) ORDER BY item_id)) AS hash FROM benchmark""")
+def benchmark_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intent = F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("default")
+    return evaluation.benchmark_hash(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("question"), intent.alias("intent")))
+
+
+def run_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases, and what a run answered to them."""
+    c = cut(cases(spark, sf_dir))
+    return c, cut(observations(c, fused(spark, sf_dir)))
+
+
+@query("""WITH q AS (SELECT count(*) AS n FROM benchmark) SELECT stamp AS report, n AS rows, 0 AS broken, true AS hidden FROM q, (VALUES ('20240101-base'), ('20240102-next')) t(stamp) UNION ALL SELECT '20240103-torn', 1, 1, false""")
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports written, a third with a torn line; all listed, and whether a sound report holds no answer's text."""
+    root = fresh_folder(spark)
+    _, seen = run_of(spark, sf_dir)
+    for stamp, config in (("20240101", "base"), ("20240102", "next")):
+        files.write_report(seen, {"benchmark": "b"}, root, stamp, config)
+    spark.createDataFrame([('{"case_id": 1, "segm',)], "value string").coalesce(1).write.text(f"{root}/20240103-torn-000000000000")
+    schema = "case_id long, benchmark string, segments array<struct<text: string, labels: array<string>>>"
+    found = files.read_reports(spark, root, schema).withColumn("report", F.regexp_replace("report", "-[0-9a-f]{12}$", ""))
+    texts = spark.read.schema(schema).option("recursiveFileLookup", "true").json(root).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "-[0-9a-f]{12}$", "").alias("report"), F.forall("segments", lambda s: s["text"] == "[redacted]").alias("hidden"))
+    hidden = texts.groupBy("report").agg(F.coalesce(F.bool_and("hidden"), F.lit(False)).alias("hidden"))
+    return found.join(hidden, "report", "left").select("report", "rows", "broken", "hidden")
+
+
+@query(f"""WITH RECURSIVE {EDGES} SELECT 'entity' AS part, entity_id AS id, canonical_name AS name, n_mentions AS n FROM entities UNION ALL SELECT 'relationship', relationship_id, predicate, n_supports FROM relationships""")
+def graph_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as a snapshot and read again; an error if what is read is not what its manifest says."""
+    root = f"{fresh_folder(spark)}/graph"
+    entities, edges = graph_of(spark, sf_dir)
+    files.write_graph(entities, edges, graph.graph_manifest(entities, edges), root)
+    e, r, manifest = files.read_graph(spark, root)
+    if graph.graph_manifest(e, r).first() != manifest.first():
+        raise ValueError("the snapshot is not what its manifest says")
+    nodes = e.select(F.lit("entity").alias("part"), F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"), F.size("mentions").cast("long").alias("n"))
+    return nodes.unionByName(r.select(F.lit("relationship").alias("part"), F.col("relationship_id").alias("id"), F.col("predicate").alias("name"), F.size("supports").cast("long").alias("n")))

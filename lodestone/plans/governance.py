@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.checkpoints import shared_folder
+from lodestone.functions.text import BEARER, EMAIL, INJECTION, SECRET
 from lodestone.operators import governance, maintenance
+from lodestone.operators.retrieval import hashed_model
+from lodestone.plans.ingestion import FLAT, chunk_sql
 from lodestone.plans.registry import query, table
+from lodestone.plans.retrieval import TOKENS
 from lodestone.plans.views import DOCS_NORM, docs_norm
+from lodestone.sources import generations
 from lodestone.streaming import jobs
 
 LABELLED = """labelled AS (SELECT source, CASE CAST(substr(source, 4) AS INT) % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS classification, doc_id FROM documents)"""
@@ -93,14 +98,18 @@ def purge_query_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {NUMBERED}, {COUNTS}, p AS (SELECT i AS k, 'w' || i AS workspace_id, 'org' || i AS org_id, CASE WHEN i % 2 = 0 THEN 10 ELSE 45 END AS audit_days, CASE WHEN i % 3 = 0 THEN 35 END AS query_log_days FROM range(8) t(i)),
 cut AS (SELECT *, strftime(TIMESTAMP '2024-02-15 00:00:00' - to_days(greatest(audit_days, 30)::INT), '%Y-%m-%dT%H:%M:%S') AS c FROM p), f AS (SELECT org_id, min(sequence) FILTER (strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') >= c) AS s FROM numbered JOIN cut USING (org_id) GROUP BY 1),
-a AS (SELECT workspace_id, count(*) AS n FROM numbered JOIN f USING (org_id) JOIN p USING (org_id) WHERE s IS NULL OR sequence < s GROUP BY 1), q AS (SELECT workspace_id, count(*) AS n FROM counts JOIN p USING (workspace_id) WHERE day < CAST(TIMESTAMP '2024-02-15 00:00:00' - to_days(query_log_days::INT) AS DATE) GROUP BY 1)
-SELECT p.workspace_id, coalesce(a.n, 0) AS audit_events, coalesce(q.n, 0) AS counters FROM p LEFT JOIN a USING (workspace_id) LEFT JOIN q USING (workspace_id)""")
+a AS (SELECT workspace_id, count(*) AS n FROM numbered JOIN f USING (org_id) JOIN p USING (org_id) WHERE s IS NULL OR sequence < s GROUP BY 1), q AS (SELECT workspace_id, count(*) AS n FROM counts JOIN p USING (workspace_id) WHERE day < CAST(TIMESTAMP '2024-02-15 00:00:00' - to_days(query_log_days::INT) AS DATE) GROUP BY 1),
+s AS (SELECT 'w' || (doc_id % 8) AS workspace_id, source, max(TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 40)::INT)) AS updated FROM documents GROUP BY 1, 2),
+g AS (SELECT workspace_id, string_agg(source, ',' ORDER BY source) AS sources FROM s JOIN p USING (workspace_id) WHERE k % 4 = 0 AND updated < TIMESTAMP '2024-02-15 00:00:00' - to_days(9) GROUP BY 1)
+SELECT p.workspace_id, coalesce(a.n, 0) AS audit_events, coalesce(q.n, 0) AS counters, coalesce(sources, '') AS sources FROM p LEFT JOIN a USING (workspace_id) LEFT JOIN q USING (workspace_id) LEFT JOIN g USING (workspace_id)""")
 def apply_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
-    policies = spark.range(8).select(F.concat(F.lit("w"), i).alias("workspace_id"), F.concat(F.lit("org"), i).alias("org_id"), F.when(i % 2 == 0, 10).otherwise(45).alias("audit_days"), F.when(i % 3 == 0, 35).alias("query_log_days"), F.lit(None).cast("int").alias("source_data_days"))
-    sources = docs_norm(spark, sf_dir).select("workspace_id", "source_id", F.lit("2024-01-01").cast("timestamp").alias("updated_at")).distinct()
+    policies = spark.range(8).select(F.concat(F.lit("w"), i).alias("workspace_id"), F.concat(F.lit("org"), i).alias("org_id"), F.when(i % 2 == 0, 10).otherwise(45).alias("audit_days"), F.when(i % 3 == 0, 35).alias("query_log_days"), F.when(i % 4 == 0, 9).alias("source_data_days"))
+    updated = F.timestamp_add("DAY", (F.col("doc_id") % 40).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("w"), F.col("doc_id") % 8).alias("workspace_id"), F.col("source").alias("source_id"), updated.alias("updated_at"))
+    sources = docs.groupBy("workspace_id", "source_id").agg(F.max("updated_at").alias("updated_at"))
     counts = governance.count_queries(by_workspace(table(spark, sf_dir, "events")))
-    return governance.apply_retention(policies, chain(spark, sf_dir), counts, sources, "2024-02-15 00:00:00").drop("sources")
+    return governance.apply_retention(policies, chain(spark, sf_dir), counts, sources, "2024-02-15 00:00:00").withColumn("sources", F.array_join("sources", ","))
 
 
 BURST = "burst AS (SELECT event_id, user_id % 20 AS key, epoch(date_trunc('hour', ts))::BIGINT + event_id % 50 AS s FROM events)"
@@ -134,9 +143,9 @@ def check_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.invalid_transitions(log)
 
 
-@query("""WITH o AS (SELECT user_id AS operation, list(DISTINCT event_type) AS s FROM events WHERE event_id % 40 < 3 GROUP BY 1) SELECT operation, array_to_string([x for x in ['click', 'error', 'view'] if NOT list_contains(s, x)], ',') AS missing, list_has_all(s, ['click', 'error', 'view']) AS ready FROM o""")
+@query("""WITH o AS (SELECT user_id AS operation, list(DISTINCT event_type) AS s FROM events GROUP BY 1) SELECT operation, array_to_string([x for x in ['click', 'error', 'view'] if NOT list_contains(s, x)], ',') AS missing, list_has_all(s, ['click', 'error', 'view']) AS ready FROM o""")
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = table(spark, sf_dir, "events").filter("event_id % 40 < 3").select(F.col("user_id").alias("operation"), F.col("event_type").alias("store"))
+    prepared = table(spark, sf_dir, "events").select(F.col("user_id").alias("operation"), F.col("event_type").alias("store"))
     return maintenance.publishable(prepared, ["view", "click", "error"]).withColumn("missing", F.array_join("missing", ","))
 
 
@@ -172,10 +181,19 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("SELECT conv_id, turn, length(text) > 0 AS filled FROM conversations")
+MASKED = f"regexp_replace(regexp_replace(regexp_replace(text, '{BEARER}', 'bearer [redacted]', 'g'), '{EMAIL}', '[redacted]', 'g'), '{SECRET}', '\\1\\2[redacted]', 'g')"
+#: Long opaque strings one after another, but for those that look like ids or hashes.
+SAFE = f"""masked AS (SELECT doc_id, source, {MASKED} AS t FROM documents), opaque AS (SELECT *, list_filter(list_distinct(regexp_extract_all(t, '[A-Za-z0-9_-]{{32,}}')),
+  lambda x: NOT regexp_full_match(x, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}|[0-9a-fA-F]{{32,64}}')) AS xs FROM masked),
+safe AS (SELECT doc_id, source, list_reduce(list_prepend(t, xs), lambda a, x: replace(a, x, '[redacted]')) AS text FROM opaque)"""
+LABELS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{label}' END" for label, p in sorted(INJECTION.items())) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""WITH documents AS (SELECT conv_id * 1000 + turn AS doc_id, CAST(NULL AS VARCHAR) AS source, text FROM conversations), {SAFE}, labelled AS (SELECT doc_id, {LABELS} AS labels FROM documents)
+SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, s.text, labels FROM safe s JOIN labelled l USING (doc_id)""")
 def stream_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jobs.safety(jobs.read_stream(spark, sf_dir, "conversations")).select("conv_id", "turn", "text", F.array_join("labels", ",").alias("labels"))
-    return jobs.drain(found, folder(spark)).select("conv_id", "turn", (F.length("text") > 0).alias("filled"))
+    return jobs.drain(found, folder(spark))
 
 
 @query(f"WITH {COUNTS} SELECT workspace_id, day, n FROM counts")
@@ -199,10 +217,46 @@ def stream_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.verify_audit_chain(jobs.drain(jobs.audit_chain(audit_events(jobs.read_stream(spark, sf_dir, "events"))), folder(spark)))
 
 
-@query("SELECT count(*) AS documents, true AS verified FROM documents")
+def in_three(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` as three files by doc_id, and these as a stream of three batches."""
+    for i in range(3):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"""WITH RECURSIVE {SAFE}, flat AS (SELECT doc_id AS key1, 0 AS key2, 0 AS key3, {FLAT.format('text')} AS text FROM safe), {chunk_sql('c', 'flat')},
+chunks AS (SELECT key1 AS doc_id, n AS part, trim(substr(text, s + 1, e - s)) AS chunk FROM c WHERE trim(substr(text, s + 1, e - s)) <> '')
+SELECT s.doc_id, s.source, s.text, count(part) AS chunks, md5(coalesce(string_agg(chunk, chr(10) ORDER BY part), '')) AS chunk_md5, true AS verified, 3 AS commits FROM safe s LEFT JOIN chunks k ON k.doc_id = s.doc_id GROUP BY ALL""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches; then all three again, as by a job that has lost its checkpoint, which changes nothing."""
     root = folder(spark)
-    jobs.ingest(jobs.read_stream(spark, sf_dir, "documents"), root, "w", f"{root}/checkpoint")
-    checked = maintenance.verify_generation(spark, root, "g0", "none").agg(F.bool_and("ok").alias("verified"))
-    active = maintenance.read_active_generation(spark, root, "documents", "w").agg(F.count("*").alias("documents"))
-    return active.join(F.broadcast(checked), F.lit(True))
+    docs = in_three(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), f"{root}/in")
+    for attempt in ("first", "again"):
+        jobs.ingest(docs, root, "w", f"{root}/checkpoint-{attempt}")
+    sound = generations.verify(spark, root, "w", "none").agg(F.bool_and("ok").alias("verified"), F.max("number").cast("int").alias("commits"))
+    chunks = generations.active(spark, root, "chunks", "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "chunk"))).alias("c"))
+    texts = generations.active(spark, root, "documents", "w").select("doc_id", "source", "text").join(chunks, "doc_id", "left")
+    joined = F.array_join(F.transform("c", lambda x: x["chunk"]), "\n")
+    facts = texts.select("doc_id", "source", "text", F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("chunks"), F.md5(F.coalesce(joined, F.lit(""))).alias("chunk_md5"))
+    return facts.join(F.broadcast(sound), F.lit(True))  # one row
+
+
+@query(f"""WITH now AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'second' ELSE 'first' END AS run FROM documents),
+counts AS (SELECT doc_id, run, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n FROM (SELECT doc_id, run, unnest({TOKENS.format('text')}) AS term FROM now) GROUP BY ALL)
+SELECT doc_id, run, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM counts""")
+def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all texts as they were (those of every seventh document had other words), then of all as they are: the second
+    run computes what has changed. Given is each current text's vector and the run that computed it."""
+    root, docs = folder(spark), table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.withColumn("text", F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text")))
+    for run, texts in (("first", before), ("second", docs)):
+        texts.write.parquet(f"{root}/{run}")
+        arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/{run}")
+        jobs.embed_arriving(arriving, root, "w", f"{root}/checkpoint-{run}", "doc_id", hashed_model, "hashed-64", run)
+    of_run = None
+    for c in generations.commits(spark, root, "w"):
+        part = spark.read.parquet(*[p.path for p in c.parts]).select("doc_id", "content_sha", "embedding", F.lit(c.key.split(":")[0]).alias("run"))
+        of_run = part if of_run is None else of_run.unionByName(part)
+    now = docs.select("doc_id", F.sha2("text", 256).alias("content_sha"))
+    found = of_run.join(now, ["doc_id", "content_sha"]).select("doc_id", "run", F.posexplode("embedding").alias("dim", "weight"))
+    return found.filter("weight > 0").select("doc_id", "run", F.col("dim").cast("long").alias("dim"), F.round("weight", 6).alias("weight"))

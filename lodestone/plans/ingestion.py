@@ -10,6 +10,9 @@ from lodestone.functions.urls import host_of, normalize_url
 from lodestone.operators import ingest
 from lodestone.plans.registry import query, table
 from lodestone.plans.views import DOCS_NORM, DOCS_TAGGED, docs_norm, docs_tagged
+from lodestone.checkpoints import fresh_folder
+from lodestone.sources import csv as csv_sources
+from lodestone.sources import files
 from lodestone.sources.csv import infer_types
 
 CHUNKS = """{name}(key1, key2, key3, n, text, s, e) AS (
@@ -38,6 +41,79 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_norm(spark, sf_dir)
 
 
+@query("SELECT doc_id AS document_id, lang AS workspace_id, source AS source_id, text AS content FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')")
+def write_and_read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written by workspace and source; two sources of one workspace read again, from their folders only."""
+    path = f"{fresh_folder(spark)}/documents"
+    files.write_documents(docs_norm(spark, sf_dir).select("document_id", "workspace_id", "source_id", "content"), path)
+    parts = [files.read_documents(spark, path, "en", s) for s in ("src1", "src2")]
+    return parts[0].unionByName(parts[1]).select("document_id", "workspace_id", "source_id", "content")
+
+
+def written_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Files of ``part`` and ``nation`` as CSV, with quotes, line ends and empty fields in them."""
+    folder = f"{fresh_folder(spark)}/csv"
+    part = table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('say "'), "p_name", F.lit('",\nthen'))).otherwise(F.col("p_name")))
+    part = part.withColumn("p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")))
+    part.repartition(4, "p_partkey").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/part")
+    return folder
+
+
+TEXT_PART = "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'say \"' || p_name || '\",' || chr(10) || 'then' ELSE p_name END AS p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part"
+
+
+@query(TEXT_PART)
+def read_csv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = csv_sources.read_csv_strict(spark, f"{written_csv(spark, sf_dir)}/part")
+    return rows.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+@query(f"""WITH t AS ({TEXT_PART}) SELECT "column", CASE "column" WHEN 'p_partkey' THEN 'integer' WHEN 'p_size' THEN 'integer' ELSE 'text' END AS type, (SELECT count(*) FROM t) AS row_count, sample FROM
+(SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size']) AS "column", unnest([list(p_partkey), list(p_name), list(p_brand), list(p_type), list(p_size)]) AS sample FROM (SELECT * FROM t ORDER BY CAST(p_partkey AS BIGINT) LIMIT 3))""")
+def csv_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = csv_sources.read_csv_strict(spark, f"{written_csv(spark, sf_dir)}/part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return csv_sources.preview(rows.withColumn("_at", F.col("p_partkey").cast("long")), ["_at"], 3)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS r FROM orders)
+SELECT CAST(k AS INTEGER) AS file, r AS "row", CASE WHEN o_orderkey % 110 = k THEN 'field_count' WHEN length(o_orderkey::VARCHAR) > 4 THEN 'long_field' END AS rule, CASE WHEN o_orderkey % 110 = k THEN '1 of 2' WHEN length(o_orderkey::VARCHAR) > 4 THEN 'key' END AS detail FROM o WHERE o_orderkey % 110 = k OR length(o_orderkey::VARCHAR) > 4
+UNION ALL SELECT CAST(k AS INTEGER), -1, 'too_many_rows', 'more than 1000' FROM o GROUP BY k HAVING count(*) > 1000""")
+def csv_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files of orders, in which some records lack a field and some fields are longer than the contract allows; all faults."""
+    folder = f"{fresh_folder(spark)}/csv"
+    k = (F.col("o_orderkey") % 10).cast("int")
+    line = F.when(F.col("o_orderkey") % 110 == k, F.col("o_orderkey").cast("string")).otherwise(F.concat("o_orderkey", F.lit(","), "o_orderstatus"))
+    lines = table(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_orderkey").alias("at"), line.alias("value"))
+    heads = spark.range(10).select(F.col("id").cast("int").alias("k"), F.lit(-1).cast("long").alias("at"), F.lit(" key ,kind").alias("value"))
+    # One file for each k: its lines are dealt by k and sorted.
+    lines.unionByName(heads).repartition(10, "k").sortWithinPartitions("k", "at").select("k", "value").write.partitionBy("k").option("compression", "none").text(folder)
+    found = csv_sources.csv_records(spark, renamed(spark, folder, ".txt", ".csv"), csv_sources.Contract(most_rows=1000, longest=4))
+    return csv_sources.csv_faults(found).select(F.regexp_extract("file", r"/k=(\d+)/", 1).cast("int").alias("file"), "row", "rule", "detail")
+
+
+def renamed(spark: SparkSession, folder: str, old: str, new: str, where: str = "") -> str:
+    """Gives the files below a folder (whose paths match ``where``) another ending: Spark names what it writes by format."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").filter(F.col("path").endswith(old) & F.col("path").rlike(where)).collect():
+        fs.rename(path(row[0]), path(row[0].removesuffix(old) + new))
+    return folder
+
+
+@query("""WITH f AS (SELECT source, CAST(doc_id % 3 AS INTEGER) AS kind, 9 + sum(length(doc_id::VARCHAR) + 1)::BIGINT AS length FROM documents GROUP BY ALL)
+SELECT source, kind, length, CASE WHEN kind = 2 THEN 'extension' WHEN length > 75 THEN 'too_large' WHEN kind = 1 THEN 'magic' ELSE 'kept' END AS status FROM f""")
+def file_inventory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files for each source, with the ids of its documents: one that begins as PDF does, one that does not, one of another kind."""
+    folder = f"{fresh_folder(spark)}/files"
+    ids = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 3).cast("int").alias("kind"), "doc_id")
+    heads = ids.select("source", "kind").distinct().select("source", "kind", F.lit(-1).cast("long").alias("doc_id"))
+    line = F.when(F.col("doc_id") >= 0, F.col("doc_id").cast("string")).when(F.col("kind") == 1, "%PDX-1.7").otherwise("%PDF-1.7")
+    rows = ids.unionByName(heads).repartition("source", "kind").sortWithinPartitions("source", "kind", "doc_id")
+    rows.select("source", "kind", line.alias("value")).write.partitionBy("source", "kind").option("compression", "none").text(folder)
+    found = files.file_inventory(spark, renamed(spark, folder, ".txt", ".pdf", "/kind=[01]/"), "pdf", 75)
+    return found.select(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "/kind=(\\d)/", 1).cast("int").alias("kind"), "length", "status")
+
+
 @query("""WITH s AS (SELECT lang AS workspace_id, source AS source_id, min(doc_id) AS created, count(*) AS documents FROM documents GROUP BY 1, 2)
 SELECT workspace_id, source_id, created, documents, row_number() OVER (PARTITION BY workspace_id ORDER BY created, source_id) AS place FROM s""")
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +126,14 @@ def list_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", "source", "n_chars").orderBy("doc_id").offset(10).limit(20)
 
 
-@query("""SELECT 'p_partkey' AS "column", 'integer' AS type UNION ALL SELECT 'p_name', 'text' UNION ALL SELECT 'p_brand', 'text'
-UNION ALL SELECT 'p_type', 'text' UNION ALL SELECT 'p_size', 'integer' UNION ALL SELECT 'p_retailprice', 'decimal'
-UNION ALL SELECT 'is_large', CASE WHEN (SELECT bool_and(CAST(p_size > 25 AS VARCHAR) IN ('true', 'false')) FROM part) THEN 'boolean' ELSE 'text' END
-UNION ALL SELECT 'nothing', 'text'""")
+#: A column's type by its values, as the reading of text has it.
+TYPED = """SELECT "column", CASE WHEN count(v) = 0 THEN 'text' WHEN bool_and(regexp_matches(v, '(?i)^(true|false|yes|no)$')) THEN 'boolean' WHEN bool_and(regexp_matches(v, '^[+-]?\\d+$')) THEN 'integer'
+WHEN bool_and(regexp_matches(v, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$')) THEN 'decimal' WHEN bool_and(regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL) THEN 'datetime'
+WHEN bool_and(regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') AND TRY_CAST(v AS DATE) IS NOT NULL) THEN 'date' ELSE 'text' END AS type"""
+
+
+@query(f"""{TYPED} FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice', 'is_large', 'nothing']) AS "column",
+unnest([p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR, (p_size > 25)::VARCHAR, NULL]) AS v FROM part) GROUP BY 1""")
 def infer_csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     text = part.select(*[F.col(c).cast("string").alias(c) for c in part.columns], (F.col("p_size") > 25).cast("string").alias("is_large"), F.lit(None).cast("string").alias("nothing"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
 from lodestone.functions.text import tokenize
 from lodestone.operators import ranking, retrieval
 from lodestone.plans.registry import query, table
@@ -50,8 +51,13 @@ within AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY s
 reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, score_rank) AS final_rank FROM within) WHERE final_rank <= 5)"""
 
 
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(questions(spark, sf_dir), docs_norm(spark, sf_dir)).drop("terms")
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one reading of all documents gives to lexical and vector retrieval for the questions."""
+    return cut(retrieval.analysed(docs_norm(spark, sf_dir), retrieval.question_terms(questions(spark, sf_dir))))
+
+
+def lexical(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25_of(questions(spark, sf_dir), known or facts(spark, sf_dir)).drop("terms")
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,21 +68,29 @@ def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", retrieval.hashed_vector(F.col("question")).alias("embedding"))
 
 
-def vector(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    return retrieval.retrieve_vector(retrieval.knn_exact(asked_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), k))
+def vector(spark: SparkSession, sf_dir: str, k: int = 15, known: DataFrame | None = None) -> DataFrame:
+    own = doc_vectors(spark, sf_dir) if known is None else known.select("document_id", "embedding")
+    return retrieval.retrieve_vector(retrieval.knn_exact(asked_vectors(spark, sf_dir), own, k))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.fusion_candidates({"lexical": retrieval.retrieve_lexical(lexical(spark, sf_dir), 15), "vector": vector(spark, sf_dir)})
+    known = facts(spark, sf_dir)
+    return ranking.fusion_candidates({"lexical": retrieval.retrieve_lexical(lexical(spark, sf_dir, known), 15), "vector": vector(spark, sf_dir, 15, known)})
 
 
 def fused(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None, k: int = 5) -> DataFrame:
     return ranking.fuse(ranking.canonical_key(candidates(spark, sf_dir), "ws"), weights, k=k)
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = fused(spark, sf_dir, k=15).select("query_id", "document_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score"))
-    pairs = top.join(questions(spark, sf_dir), "query_id").join(docs_norm(spark, sf_dir).select("document_id", F.col("source_id").alias("source"), F.col("content").alias("passage")), "document_id")
+def pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates of all questions for re-ranking, and their documents."""
+    top = cut(fused(spark, sf_dir, k=15).select("query_id", "document_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score")))
+    return top, retrieval.held(docs_norm(spark, sf_dir), top)
+
+
+def reranked(spark: SparkSession, sf_dir: str, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    top, docs = of or pool(spark, sf_dir)
+    pairs = top.join(questions(spark, sf_dir), "query_id").join(docs.select("document_id", F.col("source_id").alias("source"), F.col("content").alias("passage")), "document_id")
     return ranking.rerank(ranking.overlap_score(pairs).drop("passage", "question"))
 
 

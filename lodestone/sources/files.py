@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +12,41 @@ from pyspark.sql import functions as F
 MAGIC = {"pdf": b"%PDF-", "docx": b"PK\x03\x04"}
 
 
+def begins_with(spark: SparkSession, files: DataFrame, magic: bytes) -> DataFrame:
+    """(path, begins) of files (path): only as many bytes are read as ``magic`` has. Paths of a local or mounted disk are opened
+    where the tasks run; those of other stores are read by Spark, whose file sources read a file whole."""
+    local = F.col("path").startswith("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column("path").to_pylist():
+                with open(path.removeprefix("file:"), "rb", buffering=0) as f:
+                    found.append(f.read(len(magic)) == magic)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.bool_())], ["path", "begins"])
+
+    near, far = files.select("path").filter(local), files.select("path").filter(~local)
+    opened = near.mapInArrow(run, "path string, begins boolean")
+    rest = [r[0] for r in far.limit(1).collect()]
+    if not rest:
+        return opened
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(rest[0].rsplit("/", 1)[0]).select("path", (F.substring("content", 1, len(magic)) == F.lit(bytearray(magic))).alias("begins"))
+    return opened.unionByName(content.join(far, "path", "left_semi"))
+
+
 def file_inventory(spark: SparkSession, folder: str, extension: str, most_bytes: int = 50_000_000) -> DataFrame:
-    """(path, length, status) of all files below a folder: kept, or why not. Only the first bytes of a file are
-    looked at. Spark leaves empty files out of its listing, so that they are never kept."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(path, length, status) of all files below a folder: kept, or why not. Lengths come from the listing; files of the right
+    extension and length are opened for their first bytes. Spark leaves empty files out of its listing, so that they are
+    never kept."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    early = F.when(~F.lower("path").endswith(f".{extension}"), "extension").when(F.col("length") > most_bytes, "too_large")
+    rows = listed.withColumn("early", early)
     magic = MAGIC.get(extension)
-    begins = F.lit(True) if magic is None else F.substring("content", 1, len(magic)) == F.lit(bytearray(magic))
-    status = (
-        F.when(~F.lower("path").endswith(f".{extension}"), "extension").when(F.col("length") > most_bytes, "too_large").when(~begins, "magic").otherwise("kept")
-    )
-    return files.select("path", "length", status.alias("status"))
+    if magic is None:
+        return rows.select("path", "length", F.coalesce("early", F.lit("kept")).alias("status"))
+    looked_at = begins_with(spark, rows.filter("early is null").select("path"), magic)
+    status = F.coalesce("early", F.when(F.col("begins"), "kept").otherwise("magic"))
+    return rows.join(looked_at, "path", "left").select("path", "length", status.alias("status"))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
@@ -43,13 +71,12 @@ def write_report(observations: DataFrame, facts: dict[str, str], root: str, stam
     return path
 
 
-def read_reports(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(report, rows) of readable reports newest first, and the names of those with a broken line."""
-    wide = f"{schema}, _corrupt_record string"
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(root)
-    named = rows.withColumn("report", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).cache()
-    one = named.groupBy("report").agg(F.count("*").alias("rows"), F.count("_corrupt_record").alias("broken"))
-    return one.filter("broken = 0").select("report", "rows").orderBy(F.desc("report")), one.filter("broken > 0").select("report")
+def read_reports(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """(report, rows, broken) of all reports, newest first; those with a broken line are not to be read."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    named = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("report"), parsed["_broken"].alias("broken"))
+    return named.groupBy("report").agg(F.count("*").alias("rows"), F.count("broken").alias("broken")).orderBy(F.desc("report"))
 
 
 def write_graph(entities: DataFrame, relationships: DataFrame, manifest: DataFrame, root: str) -> None:

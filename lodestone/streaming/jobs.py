@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.text import chunk_text, collapse_whitespace, injection_labels, redact
 from lodestone.operators.governance import CHAIN, GENESIS, link
-from lodestone.operators.maintenance import publish_generation
+from lodestone.operators.retrieval import embed_incremental
+from lodestone.sources.generations import active, commits, publish
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +87,28 @@ def drain_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
 
 
-def ingest(documents: DataFrame, root: str, workspace: str, checkpoint: str) -> None:
-    """Parses, flags and chunks arriving documents (doc_id, source, text); each batch is published as a generation."""
-    def publish(batch: DataFrame, number: int) -> None:
-        safe = safety(batch.select("doc_id", "source", "text"))
+def ingest(documents: DataFrame, root: str, workspace: str, checkpoint: str, name: str = "ingest") -> None:
+    """Parses, flags and chunks arriving documents (doc_id, source, text). Each batch adds its documents and chunks to what is
+    active in the workspace, under the stream's ``name`` and its number: a batch that is run again adds nothing."""
+    def put(batch: DataFrame, number: int) -> None:
+        safe = safety(batch.select("doc_id", "source", "text")).withColumn("labels", F.array_join("labels", ","))
         chunks = safe.select("doc_id", "source", F.posexplode(chunk_text(collapse_whitespace("text"))).alias("part", "chunk"))
-        publish_generation({"documents": safe.withColumn("labels", F.array_join("labels", ",")), "chunks": chunks}, root, workspace, f"g{number}", "none")
+        publish({"documents": safe, "chunks": chunks}, root, workspace, f"{name}:{number}", "none", mode="append")
+
+    documents.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    documents.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def embed_arriving(texts: DataFrame, root: str, workspace: str, checkpoint: str, key: str, model: Callable[[list[str]], np.ndarray], name: str, stream: str = "embed") -> None:
+    """Vectors of arriving texts (``key``, text), as table ``vectors`` (``key``, content_sha, model, embedding) of the workspace.
+    Texts that the table has by key and content are not computed again, be it by a restarted job or another stream; a table of
+    another model is an error before anything is computed."""
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = commits(spark, root, workspace)
+        done = active(spark, root, "vectors", workspace) if known else spark.createDataFrame([], f"`{key}` {dict(batch.dtypes)[key]}, content_sha string, model string")
+        if known and known[-1].model != name:
+            raise ValueError(f"vectors of {workspace} are of model {known[-1].model}")
+        found = embed_incremental(batch.dropDuplicates([key, "text"]), done, key, "text", model, name)
+        publish({"vectors": found}, root, workspace, f"{stream}:{number}", name, mode="append")
+
+    texts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
