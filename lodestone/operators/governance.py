@@ -8,9 +8,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.checkpoints import cut
+from lodestone.sources import generations
+
 # Labels in order of clearance, the first link of a chain, the least days that audit events stay.
 LABELS = ("public", "internal", "confidential", "restricted")
 GENESIS, AUDIT_FLOOR_DAYS = "genesis", 30
@@ -137,7 +140,7 @@ def purge_query_counts(counts: DataFrame, cutoff: str) -> DataFrame:
 
 def apply_retention(policies: DataFrame, chain: DataFrame, counts: DataFrame, sources: DataFrame, now: str) -> DataFrame:
     """By policy (workspace_id, org_id, audit_days, query_log_days, source_data_days): how many audit events of the oldest
-    unbroken run, counters and sources are past their time. Nothing is deleted: this is the report that a purge starts from."""
+    unbroken run, counters and sources are past their time. Nothing is deleted: this is the report of :func:`purge_aged`."""
     moment = F.lit(now).cast("timestamp")
     ago = lambda c: F.make_dt_interval(F.col(c))
     p = policies.withColumn("audit_cut", F.date_format(moment - F.make_dt_interval(F.greatest("audit_days", F.lit(AUDIT_FLOOR_DAYS))), "yyyy-MM-dd'T'HH:mm:ss"))
@@ -152,6 +155,22 @@ def apply_retention(policies: DataFrame, chain: DataFrame, counts: DataFrame, so
     return out.select("workspace_id", zero("audit_events"), zero("counters"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 
 
+def purge_aged(spark: SparkSession, root: str, workspace: str, policies: DataFrame, now: str, key: str) -> tuple[int, int]:
+    """Purges what :func:`apply_retention` reports of audit chains (``audit`` in the workspace's generations) and counters
+    (``counters``): only the parts that hold aged rows are written anew. How many rows of either are gone. What is left of a
+    chain still verifies: its first row has the hash of the last one that went."""
+    p = policies.select("workspace_id", "org_id", "audit_days", "query_log_days")
+    chain = generations.active(spark, root, "audit", workspace)
+    cut_off = F.date_format(F.lit(now).cast("timestamp") - F.make_dt_interval(F.greatest("audit_days", F.lit(AUDIT_FLOOR_DAYS))), "yyyy-MM-dd'T'HH:mm:ss")
+    due = p.filter("audit_days is not null").select("org_id", cut_off.alias("cut"))
+    # Of each org the first row that stays, of its oldest unbroken run; none where all go.
+    firsts = cut(chain.join(due, "org_id").groupBy("org_id").agg(F.coalesce(F.min(F.when(F.col("created_at") >= F.col("cut"), F.col("sequence"))), F.lit(2**63 - 1)).alias("first")))
+    _, audit = generations.rewrite(spark, root, workspace, "audit", lambda part: part.join(firsts, "org_id", "left").filter("first is null or sequence >= first").select(*part.columns), f"{key}:audit")
+    days = cut(p.filter("query_log_days is not null").select("workspace_id", F.to_date(F.lit(now).cast("timestamp") - F.make_dt_interval(F.col("query_log_days"))).alias("first")))
+    _, counters = generations.rewrite(spark, root, workspace, "counters", lambda part: part.join(days, "workspace_id", "left").filter("first is null or day >= first").select(*part.columns), f"{key}:counters")
+    return audit, counters
+
+
 def rate_verdicts(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """events (key, ts, event_id, ...) with the count in the key's fixed window so far, whether it is rejected, and after
     how many seconds to retry."""

@@ -237,6 +237,43 @@ def crawl_order(links: DataFrame, seeds: DataFrame, page_limit: int = 100) -> Da
     return nearest.withColumn("place", F.row_number().over(Window.orderBy("depth", "node")).cast("long"))
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): the normalized addresses of pages (url, html), and of the links in them that can be crawled and stay on the
+    page's host; each pair once."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for urls, links in batches:
+            whole = [None if u is None or own is None else [x for link in own if (x := joined_url(u, link.strip())) is not None] for u, own in zip(urls.to_pylist(), links.to_pylist(), strict=True)]
+            yield pa.array(whole, pa.list_(pa.string()))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    absolute = F.arrow_udf(run, "array<string>")
+    found = pages.select("url", extract_html(F.col("html"), F.col("url"))["links"].alias("links")).select(normalize_url(F.col("url")).alias("src"), F.explode(absolute(F.col("url"), F.col("links"))).alias("link"))
+    both = found.select("src", normalize_url(F.col("link")).alias("dst")).filter("src is not null and dst is not null")
+    return both.filter((host_of(F.col("src")) == host_of(F.col("dst"))) & (F.col("src") != F.col("dst"))).distinct()
+
+
+def crawl_hosts(links: DataFrame, seeds: DataFrame, page_limit: int = 100, queue: int = 10) -> DataFrame:
+    """(host, url, depth, place): a breadth-first crawl of each host over ``links`` (src, dst) from ``seeds`` (url), all hosts side by
+    side. Of a host ``page_limit`` pages are fetched, by depth, then address; links are followed from these only, and a queue
+    holds at most ``queue`` times as many addresses. A round is a join; what it sends to the driver is whether anything is new."""
+    most = page_limit * queue
+    by_host = Window.partitionBy("host").orderBy("url")
+    first = seeds.select(host_of(F.col("url")).alias("host"), "url").filter("url is not null").distinct()
+    level = cut(first.withColumn("place", F.row_number().over(by_host).cast("long")).filter(F.col("place") <= most).withColumn("depth", F.lit(0)))
+    seen, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        fetched = level.filter(F.col("place") <= page_limit).select("host", F.col("url").alias("src"))
+        new = fetched.join(links, "src").select("host", F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
+        nth = new.withColumn("nth", F.row_number().over(by_host)).filter(F.col("nth") <= most)  # no more are taken of a host
+        ahead = seen.groupBy("host").agg(F.max("place").alias("ahead"))
+        placed = nth.join(ahead, "host").select("host", "url", (F.col("ahead") + F.col("nth")).alias("place"), F.lit(depth).alias("depth"))
+        level = cut(placed.filter(F.col("place") <= most))
+        seen = seen.unionByName(level)
+    return seen.filter(F.col("place") <= page_limit).select("host", "url", "depth", "place")
+
+
 def flag_sources(docs: DataFrame) -> DataFrame:
     """source and its sorted distinct injection labels; sources without any have an empty list."""
     found = docs.select("source", F.explode_outer(injection_labels(F.col("text"))).alias("label"))

@@ -207,7 +207,9 @@ def compare_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_retrieval(ranked, truth).withColumn("hit", F.round("hit", 6)).withColumn("mrr", F.round("mrr", 6))
 
 
-@query()
+@query(f"""WITH {CASES}, seen AS (SELECT DISTINCT source_type FROM expected JOIN docs_norm USING (document_id)), asked AS (SELECT DISTINCT CASE WHEN query_id % 2 = 0 THEN 'lexical' ELSE 'default' END AS intent FROM questions)
+SELECT 'missing_source_type' AS rule, t AS detail FROM (VALUES ('pdf'), ('docx'), ('website'), ('csv'), ('database')) v(t) WHERE t NOT IN (SELECT source_type FROM seen)
+UNION ALL SELECT 'missing_intent', t FROM (VALUES ('lexical'), ('default'), ('graph')) v(t) WHERE t NOT IN (SELECT intent FROM asked) UNION ALL SELECT 'case_count', count(*)::VARCHAR FROM questions HAVING count(*) NOT BETWEEN 30 AND 50""")
 def benchmark_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.benchmark_violations(cases(spark, sf_dir), ["pdf", "docx", "website", "csv", "database"], ["lexical", "default", "graph"])
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.checkpoints import cut, fresh_folder
 from lodestone.operators import citations, evaluation, graph, ranking, retrieval, routing
-from lodestone.plans.answers import cases, cited, observations, placed
-from lodestone.plans.graph import EDGES, graph_of, top_paths
+from lodestone.plans.answers import CITED, PLACES, cases, cited, observations, placed
+from lodestone.plans.graph import EDGES, SCORED, graph_of, top_paths
 from lodestone.plans.graph import questions as graph_questions
 from lodestone.plans.registry import query, table
 from lodestone.plans.retrieval import RERANKED, fused, reranked
@@ -22,7 +22,12 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.substring("e.label", 2, 20).cast("long").alias("document_id"), F.col("e.relevance").alias("grade"))
 
 
-@query()
+EXPECTED = "expected AS (SELECT query_id, document_id, CASE WHEN document_id % 2 = 0 THEN 3 ELSE 2 END AS grade FROM docs_norm JOIN questions ON contains(content, question) WHERE query_id % 5 <> 0)"
+
+
+@query(f"""WITH {CITED}, {EXPECTED}, places AS (SELECT document_id, source_type, {PLACES} AS display FROM docs_norm), wanted AS (SELECT query_id, 'd' || document_id AS label, source_type, display FROM expected JOIN places USING (document_id)),
+used AS (SELECT query_id, position, p.source_type, c.display FROM cited c JOIN places p USING (document_id)), hits AS (SELECT query_id, label, min(position) AS p FROM used JOIN wanted USING (query_id, source_type, display) GROUP BY 1, 2)
+SELECT w.query_id AS case_id, coalesce(string_agg(label, ',' ORDER BY p, label), '') AS labels FROM (SELECT DISTINCT query_id FROM wanted) w LEFT JOIN hits h ON h.query_id = w.query_id GROUP BY 1""")
 def label_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = placed(docs_norm(spark, sf_dir)).select(F.col("document_id"), "source_type", "display")
     wanted = truth(spark, sf_dir).join(places, "document_id").groupBy(F.col("query_id").alias("case_id")).agg(F.collect_list(F.struct(F.concat(F.lit("d"), "document_id").alias("label"), "source_type", "display")).alias("expected"))
@@ -30,7 +35,12 @@ def label_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.label_observations(used, wanted).select("case_id", F.array_join("labels", ",").alias("labels"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, st AS (SELECT DISTINCT query_id, path_id, unnest(path) AS relationship_id FROM top WHERE rank = 1),
+places AS (SELECT DISTINCT s.entity_id AS subject, predicate, o.entity_id AS object, document_id, source_id FROM relations r JOIN of_m s ON r.subject = s.mention_id JOIN of_m o ON r.object = o.mention_id),
+merged AS (SELECT subject, predicate, object, document_id, max(source_id) AS source_id FROM places GROUP BY 1, 2, 3, 4),
+sup AS (SELECT st.query_id, relationship_id, document_id, row_number() OVER (PARTITION BY st.query_id, st.path_id ORDER BY confidence DESC, relationship_id, source_id, document_id) AS place FROM st JOIN relationships USING (relationship_id) JOIN merged USING (subject, predicate, object)),
+firsts AS (SELECT *, min(place) OVER (PARTITION BY query_id, document_id) AS f FROM sup), cited AS (SELECT *, 'S' || dense_rank() OVER (PARTITION BY query_id ORDER BY f) AS id FROM firsts)
+SELECT query_id, relationship_id, string_agg(id, ',' ORDER BY p) AS citation_ids FROM (SELECT query_id, relationship_id, id, min(place) AS p FROM cited GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def edge_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, _, edges, _ = top_paths(spark, sf_dir)
     supports = graph.path_supports(best.filter("rank = 1"), edges)
@@ -46,12 +56,17 @@ def compare_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_graph(best, wanted, graph.path_supports(best, edges))
 
 
-@query()
+@query(f"""WITH {RERANKED}, {EXPECTED}, runs AS (SELECT 'fused' AS strategy, t.query_id, t.document_id, d.source_id AS source, rank FROM top t JOIN docs_norm d USING (document_id) WHERE rank <= 5 UNION ALL SELECT 'reranked', query_id, document_id, source, final_rank FROM reranked),
+graded AS (SELECT r.*, coalesce(grade, 0) AS g FROM runs r LEFT JOIN expected e ON e.query_id = r.query_id AND e.document_id = r.document_id),
+best AS (SELECT query_id, sum((2 ** grade - 1) / log2(i + 1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, document_id) AS i FROM expected) WHERE i <= 5 GROUP BY 1),
+one AS (SELECT strategy, query_id, sum((2 ** g - 1) / log2(rank + 1)) AS dcg, min(rank) FILTER (g > 0) AS first, count(DISTINCT source) FILTER (g > 0) AS sources FROM graded GROUP BY 1, 2)
+SELECT strategy, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / ideal, 0)), 6) AS ndcg, round(avg(sources), 6) AS sources FROM one LEFT JOIN best USING (query_id) GROUP BY 1""")
 def compare_reranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = docs_norm(spark, sf_dir).select("document_id", F.col("source_id").alias("source"))
     plain = fused(spark, sf_dir).join(sources, "document_id").select(F.lit("fused").alias("strategy"), "query_id", "document_id", "source", "rank")
     again = reranked(spark, sf_dir).select(F.lit("reranked").alias("strategy"), "query_id", "document_id", "source", F.col("final_rank").alias("rank"))
-    return evaluation.compare_reranking(plain.unionByName(again), truth(spark, sf_dir))
+    found = evaluation.compare_reranking(plain.unionByName(again), truth(spark, sf_dir))
+    return found.select("strategy", *[F.round(c, 6).alias(c) for c in ("mrr", "ndcg", "sources")])
 
 
 @query(f"""WITH {ROUTED}, w AS (SELECT query_id, intent, CASE WHEN query_id < 0 THEN intent ELSE 'default' END AS wanted, (abs(query_id) % 7 + 1) / 10.0::DOUBLE AS latency, (abs(query_id) % 11 + 3) / 10.0::DOUBLE AS default_latency FROM routed)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.checkpoints import shared_folder
+from lodestone.checkpoints import cut, shared_folder
 from lodestone.functions.text import BEARER, EMAIL, INJECTION, SECRET
 from lodestone.operators import governance, maintenance
 from lodestone.operators.retrieval import hashed_model
@@ -96,6 +96,11 @@ def purge_query_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.purge_query_counts(governance.count_queries(by_workspace(table(spark, sf_dir, "events"))), "2024-01-15")
 
 
+def policies_of(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    return spark.range(8).select(F.concat(F.lit("w"), i).alias("workspace_id"), F.concat(F.lit("org"), i).alias("org_id"), F.when(i % 2 == 0, 10).otherwise(45).alias("audit_days"), F.when(i % 3 == 0, 35).alias("query_log_days"), F.when(i % 4 == 0, 9).alias("source_data_days"))
+
+
 @query(f"""WITH {NUMBERED}, {COUNTS}, p AS (SELECT i AS k, 'w' || i AS workspace_id, 'org' || i AS org_id, CASE WHEN i % 2 = 0 THEN 10 ELSE 45 END AS audit_days, CASE WHEN i % 3 = 0 THEN 35 END AS query_log_days FROM range(8) t(i)),
 cut AS (SELECT *, strftime(TIMESTAMP '2024-02-15 00:00:00' - to_days(greatest(audit_days, 30)::INT), '%Y-%m-%dT%H:%M:%S') AS c FROM p), f AS (SELECT org_id, min(sequence) FILTER (strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') >= c) AS s FROM numbered JOIN cut USING (org_id) GROUP BY 1),
 a AS (SELECT workspace_id, count(*) AS n FROM numbered JOIN f USING (org_id) JOIN p USING (org_id) WHERE s IS NULL OR sequence < s GROUP BY 1), q AS (SELECT workspace_id, count(*) AS n FROM counts JOIN p USING (workspace_id) WHERE day < CAST(TIMESTAMP '2024-02-15 00:00:00' - to_days(query_log_days::INT) AS DATE) GROUP BY 1),
@@ -103,8 +108,7 @@ s AS (SELECT 'w' || (doc_id % 8) AS workspace_id, source, max(TIMESTAMP '2024-01
 g AS (SELECT workspace_id, string_agg(source, ',' ORDER BY source) AS sources FROM s JOIN p USING (workspace_id) WHERE k % 4 = 0 AND updated < TIMESTAMP '2024-02-15 00:00:00' - to_days(9) GROUP BY 1)
 SELECT p.workspace_id, coalesce(a.n, 0) AS audit_events, coalesce(q.n, 0) AS counters, coalesce(sources, '') AS sources FROM p LEFT JOIN a USING (workspace_id) LEFT JOIN q USING (workspace_id) LEFT JOIN g USING (workspace_id)""")
 def apply_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    policies = spark.range(8).select(F.concat(F.lit("w"), i).alias("workspace_id"), F.concat(F.lit("org"), i).alias("org_id"), F.when(i % 2 == 0, 10).otherwise(45).alias("audit_days"), F.when(i % 3 == 0, 35).alias("query_log_days"), F.when(i % 4 == 0, 9).alias("source_data_days"))
+    policies = policies_of(spark)
     updated = F.timestamp_add("DAY", (F.col("doc_id") % 40).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("w"), F.col("doc_id") % 8).alias("workspace_id"), F.col("source").alias("source_id"), updated.alias("updated_at"))
     sources = docs.groupBy("workspace_id", "source_id").agg(F.max("updated_at").alias("updated_at"))
@@ -112,6 +116,28 @@ def apply_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.apply_retention(policies, chain(spark, sf_dir), counts, sources, "2024-02-15 00:00:00").withColumn("sources", F.array_join("sources", ","))
 
 
+@query(f"""WITH {NUMBERED}, {COUNTS}, p AS (SELECT 'w' || i AS workspace_id, 'org' || i AS org_id, CASE WHEN i % 2 = 0 THEN 10 ELSE 45 END AS audit_days, CASE WHEN i % 3 = 0 THEN 35 END AS query_log_days FROM range(8) t(i)),
+cut AS (SELECT *, strftime(TIMESTAMP '2024-02-15 00:00:00' - to_days(greatest(audit_days, 30)::INT), '%Y-%m-%dT%H:%M:%S') AS c FROM p), f AS (SELECT org_id, min(sequence) FILTER (strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') >= c) AS s FROM numbered JOIN cut USING (org_id) GROUP BY 1)
+SELECT n.org_id AS name, count(*) AS kept, min(sequence) AS first, true AS sound FROM numbered n LEFT JOIN f ON f.org_id = n.org_id WHERE f.org_id IS NULL OR sequence >= s GROUP BY 1
+UNION ALL SELECT k.workspace_id, count(*), NULL, true FROM counts k LEFT JOIN p ON p.workspace_id = k.workspace_id WHERE query_log_days IS NULL OR day >= CAST(TIMESTAMP '2024-02-15 00:00:00' - to_days(query_log_days::INT) AS DATE) GROUP BY 1""")
+def purge_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit chains, stored in parts by time, and counters, after a purge by policy: what is left of each, and whether it is sound:
+    chains verify, and as many rows went as the report had said."""
+    root, now = folder(spark), "2024-02-15 00:00:00"
+    events, counts = cut(chain(spark, sf_dir)), cut(governance.count_queries(by_workspace(table(spark, sf_dir, "events"))))
+    for since, until in (("", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "9")):
+        generations.publish({"audit": events.filter((F.col("created_at") >= since) & (F.col("created_at") < until))}, root, "w", f"audit {since}", "none", "append")
+    generations.publish({"counters": counts}, root, "w", "counters", "none", "append")
+    none = spark.createDataFrame([], "workspace_id string, source_id string, updated_at timestamp")
+    said = governance.apply_retention(policies_of(spark), events, counts, none, now).agg(F.sum("audit_events"), F.sum("counters")).first()
+    as_said = governance.purge_aged(spark, root, "w", policies_of(spark), now, "purge 1") == tuple(said)
+    left = generations.active(spark, root, "audit", "w")
+    chains = left.groupBy("org_id").agg(F.count("*").alias("kept"), F.min("sequence").alias("first")).join(governance.verify_audit_chain(left), "org_id")
+    days = generations.active(spark, root, "counters", "w").groupBy("workspace_id").agg(F.count("*").alias("kept"))
+    both = chains.select(F.col("org_id").alias("name"), "kept", "first", "ok").unionByName(days.select(F.col("workspace_id").alias("name"), "kept", F.lit(None).cast("long").alias("first"), F.lit(True).alias("ok")))
+    return both.select("name", "kept", "first", (F.col("ok") & F.lit(as_said)).alias("sound"))
+
+
 BURST = "burst AS (SELECT event_id, user_id % 20 AS key, epoch(date_trunc('hour', ts))::BIGINT + event_id % 50 AS s FROM events)"
 
 
@@ -207,7 +233,7 @@ def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drain(jobs.deliveries_once(events, "400 days"), folder(spark)).select("job", "step")
 
 
-@query()
+@query(f"WITH {BURST} SELECT key, make_timestamp((s // 60) * 60000000) AS window_start, count(*) AS n, count(*) > 2 AS exceeded FROM burst GROUP BY 1, 2")
 def stream_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drain_updates(jobs.rate_windows(burst(jobs.read_stream(spark, sf_dir, "events")), 2), folder(spark), ["key", "window_start"])
 

@@ -273,6 +273,18 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.crawl_order(links.join(pages, links.dst == pages.page_id, "left_semi"), pages.filter("page_id < 2").withColumnRenamed("page_id", "node"), 100)
 
 
+@query("""WITH b AS (SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS base, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1) AS rest, html FROM pages),
+n AS (SELECT base, base || CASE WHEN rest = '' OR rest[1] = '?' THEN '/' || rest ELSE rest END AS url, html FROM b), seeds AS (SELECT DISTINCT split_part(base, '://', 2) AS host, url FROM n),
+first AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url) AS place FROM seeds), links AS (SELECT DISTINCT url AS src, base || unnest(regexp_extract_all(html, '<a\\s[^>]*href=["'']([^"'']*[^"''\\s][^"'']*)["'']', 1, 'i')) AS dst FROM n),
+found AS (SELECT DISTINCT host, dst AS url FROM first JOIN links ON src = url WHERE place <= 20 AND dst NOT IN (SELECT url FROM seeds)), sizes AS (SELECT host, count(*) AS n FROM seeds GROUP BY 1),
+second AS (SELECT f.host, url, n + row_number() OVER (PARTITION BY f.host ORDER BY url) AS place FROM found f JOIN sizes s ON s.host = f.host)
+SELECT host, url, 0 AS depth, place FROM first WHERE place <= 20 UNION ALL SELECT host, url, 1, place FROM second WHERE place <= 20""")
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host crawled from its stored pages over the links that are in them."""
+    pages = table(spark, sf_dir, "pages").select("url", "html")
+    return ingest.crawl_hosts(ingest.page_links(pages), pages.select(normalize_url(F.col("url")).alias("url")), 20)
+
+
 @query("""WITH p AS (SELECT doc_id, 'u' || (doc_id % 700) AS url, text FROM documents), a AS (SELECT doc_id, url, sha256(text) AS sha, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS nth FROM p),
 b AS (SELECT doc_id, url, nth, row_number() OVER (PARTITION BY sha, nth = 1 ORDER BY doc_id) AS c FROM a)
 SELECT doc_id, url, CASE WHEN nth > 1 THEN 'duplicate_url' WHEN c > 1 THEN 'duplicate_content' ELSE 'kept' END AS status FROM b""")

@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,17 +109,22 @@ def publish(representations: dict[str, DataFrame], root: str, workspace: str, ke
     known = commits(spark, root, workspace)
     if (number := committed(spark, root, workspace, key)) is not None:
         return number
-    attempt, parts = uuid.uuid4().hex, []
-    for kind, df in representations.items():
-        path = f"{root}/{kind}/workspace_id={quote(workspace, safe='')}/part={attempt}"
-        df.write.parquet(path)
-        rows, digest = checksum(spark.read.parquet(path)).first()
-        parts.append({"kind": kind, "path": path, "row_count": rows, "checksum": digest})
-    number = known[-1].number + 1 if known else 1
+    parts = [written(spark, df, root, workspace, kind) for kind, df in representations.items()]
+    return commit(spark, root, workspace, key, model, mode, parts, known[-1].number + 1 if known else 1)
+
+
+def written(spark: SparkSession, df: DataFrame, root: str, workspace: str, kind: str) -> Part:
+    """``df`` as a part that no commit names yet."""
+    path = f"{root}/{kind}/workspace_id={quote(workspace, safe='')}/part={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Part(kind, path, *checksum(spark.read.parquet(path)).first())
+
+
+def commit(spark: SparkSession, root: str, workspace: str, key: str, model: str, mode: str, parts: list[Part], number: int) -> int:
     folder = spark._jvm.org.apache.hadoop.fs.Path(log_folder(root, workspace))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     while True:
-        record = {"number": number, "key": key, "mode": mode, "model": model, "parts": parts}
+        record = {"number": number, "key": key, "mode": mode, "model": model, "parts": [asdict(p) for p in parts]}
         if create_once(spark, f"{log_folder(root, workspace)}/{number:012d}.json", json.dumps(record)):
             return number
         if (other := committed(spark, root, workspace, key)) is not None:
@@ -128,6 +134,27 @@ def publish(representations: dict[str, DataFrame], root: str, workspace: str, ke
         number += 1
 
 
+def rewrite(spark: SparkSession, root: str, workspace: str, kind: str, kept: Callable[[DataFrame], DataFrame], key: str) -> tuple[int, int]:
+    """A ``replace`` commit in which parts of ``kind`` hold only the rows that ``kept`` leaves of them: its number, and how many rows
+    are gone. Parts that lose nothing are named again as they are; only the others are written anew. Readers of the old state
+    keep its files."""
+    found = commits(spark, root, workspace)
+    if (number := committed(spark, root, workspace, key)) is not None:
+        return number, 0
+    if not found:
+        raise LookupError(f"no active generation in {workspace}")
+    parts, gone = [], 0
+    for p in (p for c in found for p in c.parts):
+        rest = kept(spark.read.parquet(p.path)) if p.kind == kind else None
+        left = p.row_count if rest is None else rest.count()
+        gone += p.row_count - left
+        if left == p.row_count:
+            parts.append(p)
+        elif left:
+            parts.append(written(spark, rest, root, workspace, kind))
+    return commit(spark, root, workspace, key, found[-1].model, "replace", parts, found[-1].number + 1), gone
+
+
 def active(spark: SparkSession, root: str, kind: str, workspace: str) -> DataFrame:
     """All active parts of a representation. An error if there is none, or if commits were made by different models."""
     found = commits(spark, root, workspace)

@@ -93,6 +93,20 @@ def test_a_failed_write_leaves_the_old_state(spark, tmp_path):
     assert generations.publish({"v": rows(spark, 2)}, root, "w", "g2", "m") == 2
 
 
+def test_a_rewrite_touches_only_what_loses_rows(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(3):
+        generations.publish({"v": spark.range(10 * i, 10 * i + 10), "other": spark.range(2)}, root, "w", f"p{i}", "m", mode="append")
+    before = generations.commits(spark, root, "w")
+    assert generations.rewrite(spark, root, "w", "v", lambda part: part.filter("id >= 14"), "purge") == (4, 14)
+    after = generations.commits(spark, root, "w")
+    assert [c.mode for c in after] == ["replace"] and sorted(r.id for r in generations.active(spark, root, "v", "w").collect()) == list(range(14, 30))
+    old = {p.path for c in before for p in c.parts}
+    assert [p.row_count for p in after[0].parts if p.path not in old] == [6] and sum(p.path in old for p in after[0].parts) == 4
+    assert generations.rewrite(spark, root, "w", "v", lambda part: part.filter("id >= 99"), "purge") == (4, 0)
+    assert all(r.ok for r in generations.verify(spark, root, "w", "m").collect())
+
+
 def arriving(spark, path, found, schema):
     spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).parquet(path)

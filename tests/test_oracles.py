@@ -13,7 +13,8 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
 NAMES = (
     "chunk_documents", "stable_document_id", "normalize_urls", "dedup_pages", "scan_injection", "redact_text", "infer_csv_types", "robots_filter", "bm25_score", "knn_exact", "sentence_windows", "fuse_weighted_rrf", "hybrid_search",
     "match_rules", "route_with_margin", "group_by_aggregate", "tenant_filter", "canonicalize_entities", "retrieve_graph", "pack_batches", "validate_citations", "score_cases", "verify_audit_chain", "apply_retention", "rate_limit_windows",
-    "check_lifecycle", "reconcile_stores", "stream_counts",
+    "check_lifecycle", "reconcile_stores", "stream_counts", "governed_view", "stream_ingest", "embed_incremental", "read_csv_strict", "csv_contract_check", "file_inventory_gate", "answer_batch", "latency_cost_summary", "crawl_pages",
+    "purge_retention", "label_observations", "edge_citations", "compare_reranking", "benchmark_violations", "stream_rate_windows", "deployment_gates", "reports", "graph_snapshot",
 )
 
 

@@ -160,3 +160,25 @@ def test_few_values_are_put_in_order(spark):
     places = {"p": (0.95, lambda n: F.ceil(n * 0.95))}
     found = evaluation.order_statistics(df, ["g"], "latency", places, 1000)
     assert found.first().p == df.selectExpr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").first()[0]
+
+
+def test_links_and_crawls_of_hosts(spark):
+    pages = [("http://A.example/x?q=1#top", "<a href='/y'>1</a><a href='z#f'>2</a><a href='//b.example/'>3</a><a href='mailto:q@a.example'>4</a><a href='http://[bad'>5</a><a href='/y'>6</a>"), (None, "<a href='/q'>"), ("http://c.example", None), ("ftp://d.example/", "<a href='/q'>q</a>")]
+    got = sorted(map(tuple, ingest.page_links(spark.createDataFrame(pages, "url string, html string")).collect()))
+    assert got == [("http://a.example/x?q=1", "http://a.example/y"), ("http://a.example/x?q=1", "http://a.example/z")]
+    rng = random.Random(4)
+    name = lambda h, i: f"http://{h}.example/{i:03d}"
+    links = {(name(h, rng.randrange(60)), name(h, rng.randrange(60))) for h in "abc" for _ in range(90)} | {(name("a", 0), name("a", i)) for i in range(40)}
+    seeds = [name("a", 0), name("a", 5), name("b", 1), name("d", 9)]
+    for limit, queue in ((10, 2), (30, 10), (1, 1)):
+        want = []
+        for h in "abd":
+            line = sorted(s for s in seeds if f"/{h}." in s)[: limit * queue]
+            depth, level = {u: 0 for u in line}, line
+            while level:
+                new = sorted({d for u in level if line.index(u) < limit for s, d in links if s == u} - set(line))[: limit * queue - len(line)]
+                depth |= {u: depth[level[0]] + 1 for u in new}
+                line, level = line + new, new
+            want += [(f"{h}.example", u, depth[u], i + 1) for i, u in enumerate(line[:limit])]
+        found = ingest.crawl_hosts(spark.createDataFrame(sorted(links), "src string, dst string"), spark.createDataFrame([(s,) for s in seeds], "url string"), limit, queue)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
