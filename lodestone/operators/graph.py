@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.checkpoints import cut
 from lodestone.functions.text import URL_NAMESPACE, normalize_name, uuid5
+from lodestone.operators.components import components, star_edges
 
 # Words of a question that speak of a predicate.
 PREDICATE_TERMS = {
@@ -45,28 +46,17 @@ def invalid_extractions(mentions: DataFrame, relations: DataFrame, documents: Da
     return doubled.unionByName(orphan).unionByName(ends.select(F.lit("unknown_endpoint").alias("rule"), F.col("mention_id").cast("string").alias("detail")))
 
 
-def resolve_entities(mentions: DataFrame, rounds: int = 60) -> DataFrame:
+def resolve_entities(mentions: DataFrame) -> DataFrame:
     """(mention_id, component): mentions of a type that share a normalized name or alias, transitively; one row for each
-    mention_id, however many rows it has.
+    mention_id, however many rows it has. Mentions that share no name are their own component.
 
-    A name's mentions all point at the least of them, which links them without pairs; labels then spread over these
-    links, and each round also takes the label of its label, so that rounds grow with the logarithm of a chain.
+    A name's mentions are linked by stars instead of pairs, and a name that many share by a star for each share of them.
     """
     names = mentions.select("mention_id", "entity_type", F.explode(F.array_union(F.array("name"), "aliases")).alias("name"))
     names = names.withColumn("name", normalize_name(F.col("name"))).filter("name <> ''")
-    least = names.groupBy("entity_type", "name").agg(F.min("mention_id").alias("hub"))
-    edges = names.join(least, ["entity_type", "name"]).select(F.col("mention_id").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = mentions.select("mention_id").distinct().withColumn("label", F.col("mention_id"))
-    for _ in range(rounds):
-        seen = both.join(state, both.b == state.mention_id).groupBy("a").agg(F.min("label").alias("seen"))
-        near = state.join(seen, state.mention_id == seen.a, "left").select("mention_id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label"))
-        jump = near.select(F.col("mention_id").alias("label"), F.col("label").alias("further"))
-        new = cut(near.join(jump, "label", "left").select("mention_id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        state = new.select("mention_id", "label")
-        if not new.filter("label <> old").limit(1).count():
-            return state.select("mention_id", F.col("label").alias("component"))
-    raise RuntimeError(f"entities did not settle in {rounds} rounds")
+    labels = components(star_edges(names, ["entity_type", "name"], "mention_id"))
+    every = mentions.select("mention_id").distinct()
+    return every.join(labels.withColumnRenamed("node", "mention_id"), "mention_id", "left").select("mention_id", F.coalesce("label", "mention_id").alias("component"))
 
 
 def canonicalize(mentions: DataFrame, components: DataFrame, workspace: str) -> tuple[DataFrame, DataFrame]:
@@ -110,44 +100,47 @@ def find_anchors(questions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def walk_paths(anchors: DataFrame, relationships: DataFrame, hops: int = 2, sources: list[str] | None = None) -> DataFrame:
-    """(query_id, quality, nodes, path): simple undirected paths of 1 to ``hops`` edges from each anchor, over edges with
-    a support in one of ``sources``. Walking begins at anchors, so a hub counts only where a path reaches it."""
+    """(query_id, quality, nodes, path, steps): simple undirected paths of 1 to ``hops`` edges from each anchor, over edges with
+    a support in one of ``sources``. Walking begins at anchors, so a hub counts only where a path reaches it. ``steps`` holds
+    each edge's predicate, confidence and number of supports, so that nobody has to look them up again."""
     if not 1 <= hops <= 4:
         raise ValueError("hops must be 1 to 4")
     if sources:
         relationships = relationships.filter(F.exists("supports", lambda s: s["source_id"].isin(sources)))
-    edge = relationships.select(F.col("subject").alias("at"), F.col("object").alias("to"), "relationship_id").unionByName(relationships.select(F.col("object").alias("at"), F.col("subject").alias("to"), "relationship_id"))
-    paths = anchors.select("query_id", "quality", F.array("entity_id").alias("nodes"), F.array().cast("array<string>").alias("path"), F.col("entity_id").alias("at"))
+    step = F.struct("predicate", F.col("confidence").cast("double").alias("confidence"), F.size("supports").alias("n")).alias("step")
+    ends = relationships.select("subject", "object", "relationship_id", step)
+    edge = ends.select(F.col("subject").alias("at"), F.col("object").alias("to"), "relationship_id", "step").unionByName(ends.select(F.col("object").alias("at"), F.col("subject").alias("to"), "relationship_id", "step"))
+    none = F.array().cast("array<struct<predicate:string,confidence:double,n:int>>")
+    paths = anchors.select("query_id", "quality", F.array("entity_id").alias("nodes"), F.array().cast("array<string>").alias("path"), none.alias("steps"), F.col("entity_id").alias("at"))
     out = None
     for _ in range(hops):
         paths = paths.join(edge, "at").filter(~F.array_contains("nodes", F.col("to")) & ~F.array_contains("path", F.col("relationship_id")))
-        paths = paths.select("query_id", "quality", F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("path", F.col("relationship_id")).alias("path"), F.col("to").alias("at"))
+        paths = paths.select("query_id", "quality", F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("path", F.col("relationship_id")).alias("path"), F.array_append("steps", F.col("step")).alias("steps"), F.col("to").alias("at"))
         out = paths if out is None else out.unionByName(paths)
     return out.drop("at")
 
 
-def score_paths(paths: DataFrame, relationships: DataFrame, questions: DataFrame) -> DataFrame:
-    """Paths with a score: 0.30 anchor + 0.25 predicate named in the question + 0.25 mean confidence + 0.10 support + 0.10
-    length, at most 1."""
-    keyed = paths.withColumn("path_id", F.concat_ws(">", "path"))
-    steps = keyed.select("query_id", "path_id", F.explode("path").alias("relationship_id")).distinct().join(relationships.select("relationship_id", "predicate", "confidence", F.size("supports").alias("n")), "relationship_id")
-    facts = steps.groupBy("query_id", "path_id").agg(F.round(F.avg("confidence"), 12).alias("confidence"), F.avg("n").alias("n"), F.collect_set("predicate").alias("predicates"))
+def score_paths(paths: DataFrame, questions: DataFrame) -> DataFrame:
+    """Paths of ``walk_paths`` with path_id, a score and whether an edge of theirs has a support: 0.30 anchor + 0.25 predicate
+    named in the question + 0.25 mean confidence + 0.10 support + 0.10 length, at most 1. A projection, but for the questions."""
     terms = F.create_map(*[x for k, v in PREDICATE_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     asked = questions.select("query_id", F.split(normalize_name(F.col("question")), " ").alias("asked"))
-    wanted = F.flatten(F.transform("predicates", lambda p: F.coalesce(terms[p], F.array().cast("array<string>"))))
+    wanted = F.flatten(F.transform("steps", lambda s: F.coalesce(terms[s["predicate"]], F.array().cast("array<string>"))))
+    mean = lambda name: F.aggregate("steps", F.lit(0.0), lambda total, s: total + s[name]) / F.size("steps")
     hit = F.arrays_overlap(wanted, "asked").cast("double")
-    score = 0.30 * F.col("quality") + 0.25 * hit + 0.25 * F.col("confidence") + 0.10 * F.least(F.lit(1.0), F.col("n") / 2) + 0.10 * F.when(F.size("path") == 1, 1.0).otherwise(0.9)
-    return keyed.join(facts, ["query_id", "path_id"]).join(asked, "query_id").withColumn("score", F.round(F.least(F.lit(1.0), score), 9)).drop("asked", "predicates", "n", "confidence")
+    score = 0.30 * F.col("quality") + 0.25 * hit + 0.25 * F.round(mean("confidence"), 12) + 0.10 * F.least(F.lit(1.0), mean("n") / 2) + 0.10 * F.when(F.size("path") == 1, 1.0).otherwise(0.9)
+    supported = F.exists("steps", lambda s: s["n"] > 0)
+    scored = paths.join(asked, "query_id").withColumn("score", F.round(F.least(F.lit(1.0), score), 9))
+    return scored.select("query_id", F.concat_ws(">", "path").alias("path_id"), "quality", "nodes", "path", "score", supported.alias("supported"))
 
 
-def retrieve_graph(scored: DataFrame, relationships: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
+def retrieve_graph(scored: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
     """The best k distinct paths of each question with at least one support."""
     order = Window.partitionBy("query_id", "path_id").orderBy(F.desc("score"), F.array_join("nodes", ">"))
-    one = scored.filter(F.col("score") >= least).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
-    supported = relationships.filter(F.size("supports") > 0).select("relationship_id")
-    live = one.select("query_id", "path_id", F.explode("path").alias("relationship_id")).join(supported, "relationship_id", "left_semi").select("query_id", "path_id").distinct()
+    live = scored.filter((F.col("score") >= least) & F.col("supported")).drop("supported")
+    one = live.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "path_id")
-    return one.join(live, ["query_id", "path_id"], "left_semi").withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    return one.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
 def path_supports(paths: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -254,6 +254,26 @@ def unit_rows(ids: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndar
     return ids[real], rows[real] / norms[real, None]
 
 
+def keep_best(best: np.ndarray, docs: np.ndarray, new: np.ndarray, own: np.ndarray) -> None:
+    """Puts those of ``new`` (scores of all rows with the documents ``own``) into ``best`` and ``docs`` that are among a row's best
+    k, the smaller document first where scores are equal. Only what reaches a row's k-th best so far is sorted, and where that
+    is much, as in the first block, only what reaches the block's own k-th best."""
+    k, floor = best.shape[1], best[:, -1:]
+    reached = new >= floor
+    if new.shape[1] > k and np.count_nonzero(reached) > 4 * k * len(new):
+        reached = new >= np.maximum(floor, np.partition(new, -k, axis=1)[:, -k:][:, :1])
+    row, column = np.nonzero(reached)
+    if not len(row):
+        return
+    touched = np.unique(row)
+    rows = np.concatenate([np.repeat(touched, k), row])
+    scores = np.concatenate([best[touched].ravel(), new[row, column]])
+    names = np.concatenate([docs[touched].ravel(), own[column]])
+    order = np.lexsort((names, -scores, rows))
+    first = order[np.searchsorted(rows[order], touched)[:, None] + np.arange(k)]
+    best[touched], docs[touched] = scores[first], names[first]
+
+
 def nearest_in_task(shared: Broadcast, k: int, digits: int, block: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -265,10 +285,7 @@ def nearest_in_task(shared: Broadcast, k: int, digits: int, block: int = 2048) -
                 for low in range(0, len(ids), block):
                     rows = slice(low, low + block)
                     new = np.round(q[rows] @ d[at : at + block].T, digits)
-                    scores = np.concatenate([best[rows], new], axis=1)
-                    names = np.concatenate([docs[rows], np.broadcast_to(own_docs[at : at + block], new.shape)], axis=1)
-                    order = np.lexsort((names, -scores), axis=1)[:, :k]
-                    best[rows], docs[rows] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+                    keep_best(best[rows], docs[rows], new, own_docs[at : at + block])
         real = np.isfinite(best)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(docs[real]), pa.array(best[real])], ["query_id", "document_id", "raw_score"])
 

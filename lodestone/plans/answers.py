@@ -241,8 +241,8 @@ def five_retrievers(spark: SparkSession, sf_dir: str, depth: int = 15) -> dict[s
 
     def paths(asked: DataFrame) -> DataFrame:
         entities, edges = graph_of(spark, sf_dir)
-        scored = graph.score_paths(graph.walk_paths(graph.find_anchors(asked, entities), edges), edges, asked)
-        return graph.retrieve_graph(scored, edges, depth).select("query_id", "path", F.col("score").alias("raw_score"), F.col("score").alias("normalized_score"), "rank")
+        scored = graph.score_paths(graph.walk_paths(graph.find_anchors(asked, entities), edges), asked)
+        return graph.retrieve_graph(scored, depth).select("query_id", "path", F.col("score").alias("raw_score"), F.col("score").alias("normalized_score"), "rank")
 
     return {
         "vector": lambda asked: retrieval.retrieve_vector(retrieval.knn_exact(vectors(asked), doc_vectors(spark, sf_dir), depth)),

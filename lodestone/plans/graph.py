@@ -113,8 +113,8 @@ def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def top_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     entities, edges = graph_of(spark, sf_dir)
     asked = questions(spark, sf_dir)
-    scored = graph.score_paths(graph.walk_paths(graph.find_anchors(asked, entities), edges), edges, asked)
-    return graph.retrieve_graph(scored, edges), scored, edges, entities
+    scored = graph.score_paths(graph.walk_paths(graph.find_anchors(asked, entities), edges), asked)
+    return graph.retrieve_graph(scored), scored, edges, entities
 
 
 @query(f"WITH {DOCS_NORM}, s AS (SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'not in there at all' ELSE ' ' || substr(content, 20, 30) || ' ' END AS support, content FROM docs_norm) SELECT document_id, strpos(content, trim(support)) - 1 AS \"begin\", strpos(content, trim(support)) - 1 + length(trim(support)) AS \"end\" FROM s WHERE strpos(content, trim(support)) > 0")

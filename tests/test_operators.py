@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.operators import citations, evaluation, governance, graph, ingest, maintenance, ranking, retrieval, routing
+from lodestone.operators.components import components, dealt, star_edges
 
 
 def test_bm25_by_hand(spark):
@@ -116,8 +117,8 @@ def test_paths_are_simple(spark):
     asked = spark.createDataFrame([(1, "who owns ax")], "query_id long, question string")
     paths = graph.walk_paths(graph.find_anchors(asked, ent), rel)
     assert sorted(">".join(r.nodes) for r in paths.collect()) == ["a>b", "a>b>c", "a>c", "a>c>b"]
-    scored = graph.score_paths(paths, rel, asked)
-    best = graph.retrieve_graph(scored, rel)
+    scored = graph.score_paths(paths, asked)
+    best = graph.retrieve_graph(scored)
     assert best.filter("rank = 1").first().score == pytest.approx(0.3 / 3 + 0.25 + 0.25 * 0.8 + 0.1 * 0.5 + 0.1)
     text = {r.text for r in graph.render_paths(best, rel, ent).collect()}
     assert "Ax — OWNS → Bx — PART_OF → Cx" in text and "Ax ← OWNS — Cx" in text
@@ -289,3 +290,48 @@ def test_audit_chains_of_any_text_verify(spark):
     for bad in ("no json", '{"k": 2, "a": "ü"}'):
         broken = chain.withColumn("metadata", F.when((F.col("org_id") == "o") & (F.col("sequence") == 1), bad).otherwise(F.col("metadata")))
         assert {r.org_id: r.first_broken for r in governance.verify_audit_chain(broken).collect()} == {"o": 1, "p": None}
+
+
+def test_components_of_stars_chains_and_hot_groups(spark):
+    """A group that most members are in, a chain that runs through small groups, repeats and loners; without edges nothing."""
+    hot = [("hot", i) for i in range(3000)] * 2
+    chain = [(f"c{i}", 10_000 + i + d) for i in range(40) for d in (0, 1)]
+    members = spark.createDataFrame([*hot, *chain, ("one", 99_999)], "g string, m long")
+    edges = star_edges(members, ["g"], "m")
+    assert edges.count() < 3000 + 2 * len(chain)
+    assert edges.groupBy("b").count().agg({"count": "max"}).first()[0] < 150, "no hub has a whole hot group"
+    found = {r.node: r.label for r in components(edges).collect()}
+    assert found == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(10_000, 10_041), 10_000)}
+    assert components(edges.limit(0)).count() == 0
+    rows = spark.createDataFrame([(None, 1), (5, 2), (5, 3), (6, 4)], "k int, v int")
+    names = spark.createDataFrame([(5, "five")], "k int, name string")
+    assert sorted(tuple(r) for r in dealt(rows, "k", names, "v").select("k", "v", "name").collect()) == [(5, 2, "five"), (5, 3, "five")]
+
+
+def test_paths_without_support_are_left_out(spark):
+    schema = "relationship_id string, subject string, predicate string, object string, confidence double, supports array<struct<source_id:string>>"
+    edges = spark.createDataFrame([("r1", "a", "OWNS", "b", 0.5, [("s",)]), ("r2", "b", "PART_OF", "c", 1.0, []), ("r3", "a", "OWNS", "d", 0.9, [])], schema)
+    anchors = spark.createDataFrame([(1, "a", 1.0)], "query_id int, entity_id string, quality double")
+    asked = spark.createDataFrame([(1, "who owns b")], "query_id int, question string")
+    scored = graph.score_paths(graph.walk_paths(anchors, edges), asked)
+    assert {r.path_id: (r.score, r.supported) for r in scored.collect()} == {
+        "r1": (round(0.3 + 0.25 + 0.125 + 0.05 + 0.1, 9), True), "r1>r2": (round(0.3 + 0.25 + 0.1875 + 0.025 + 0.09, 9), True), "r3": (round(0.3 + 0.25 + 0.225 + 0.1, 9), False),
+    }
+    assert [(r.path_id, r["rank"]) for r in graph.retrieve_graph(scored).orderBy("rank").collect()] == [("r1>r2", 1), ("r1", 2)]
+
+
+def test_best_of_blocks_with_many_ties():
+    rng = np.random.default_rng(7)
+    k, n = 5, 1000
+    scores = np.round(rng.normal(size=(40, n)), 1)
+    scores[3] = 0.5  # all equal
+    names = rng.permutation(n)
+    best, docs = np.full((40, k), -np.inf), np.full((40, k), 2**63 - 1, np.int64)
+    for at in range(0, n, 130):
+        retrieval.keep_best(best, docs, scores[:, at : at + 130], names[at : at + 130])
+    for r in range(40):
+        want = sorted(zip(-scores[r], names, strict=True))[:k]
+        assert list(zip(-best[r], docs[r], strict=True)) == want
+    few, held = np.full((1, k), -np.inf), np.full((1, k), 2**63 - 1, np.int64)
+    retrieval.keep_best(few, held, np.array([[0.1, 0.3]]), np.array([8, 9]))
+    assert few[0, :2].tolist() == [0.3, 0.1] and held[0, :2].tolist() == [9, 8] and not np.isfinite(few[0, 2:]).any()
