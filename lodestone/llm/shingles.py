@@ -8,11 +8,15 @@ similar one with less.
 
 Every candidate pair that can still change a group is verified on the texts, unless its parity sketches prove that it is
 less similar: bit i of a sketch is the parity of the shingles whose hash ends in i, so that two sketches never differ in more
-bits than the sets in elements, and sets with a similarity of 0.8 differ in at most a ninth of the sum of their sizes.
-First each class of a band (or of linked fingerprints) is compared with the least of it; what then lies in one group needs no
-further comparison, and in bands that hold several groups all members outside the most frequent group are compared with all
-members of the band. A band's members meet in blocks, and only pairs that pass the sketches become rows: a large group of
-copies costs rows in proportion to its size, and so does a large group of copies with too many edits.
+bits than the sets in elements, and sets with a similarity of 0.8 differ in at most a ninth of the sum of their sizes. A
+sketch has at least four bits a shingle; the longer one of two is folded.
+
+First each class is compared with one that is the least of most of its bands (or of its linked fingerprints). What then lies
+in one group needs no further comparison. In bands that hold several groups, members outside the most frequent group meet all
+members of other groups in blocks, where sketches are compared and only each member's nearest become rows. These are verified,
+groups are joined, and what is left meets again with ``FURTHER`` times as many, until a round has left no pair out. So a large
+group costs rows in proportion to its size, however many of its pairs are similar; only pairs that the sketches take for
+similar and that are not (with similarities between 0.79 and 0.8 for the most part) must all be seen.
 
 Documents with equal shingle sets are one class. A text of at most five words is one shingle; null text is as empty. An
 empty table gives an empty table.
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +39,10 @@ from lodestone.llm.simhash import components, dealt, fingerprint_value, links, s
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 _random = np.random.default_rng(11)
-#: Bits of a parity sketch, and how many members of a band outside its most frequent group meet the band in one block.
+#: Least bits of a parity sketch, and how many members of a band outside its most frequent group meet how many of the band.
 SKETCH, BLOCK = 1024, 1000
+#: How many of a member's nearest are tried in the first round, and how many times as many in each further one.
+NEAREST, FURTHER = 2, 16
 FLIP = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
 FACTOR = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -57,15 +64,20 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
-    """The parity sketch of a set as (signed) longs."""
-    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    """The parity sketch of a set as (signed) longs: the least power of two of bits with four a shingle."""
+    size = max(SKETCH, 1 << (4 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
 def may_be_similar(size: Column, bits: Column, other_size: Column, other_bits: Column) -> Column:
     """False only where sizes and sketches prove a similarity below ``SIMILARITY``."""
-    apart = sum((F.bit_count(bits[i].bitwiseXOR(other_bits[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return apart * (1 + SIMILARITY) <= (size + other_size) * (1 - SIMILARITY) + 1e-6
+    words = F.least(F.size(bits), F.size(other_bits))  # sets of similar sizes have sketches of one length or of twice that
+    xor = lambda x, y: x.bitwiseXOR(y)
+    own, other = (F.when(F.size(b) > words, F.zip_with(F.slice(b, 1, words), F.slice(b, words + 1, words), xor)).otherwise(b) for b in (bits, other_bits))
+    apart = F.aggregate(F.zip_with(own, other, xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    sizes = F.least(size, other_size) + 1e-6 >= F.greatest(size, other_size) * SIMILARITY
+    return sizes & (apart * (1 + SIMILARITY) <= (size + other_size) * (1 - SIMILARITY) + 1e-6)
 
 
 def classed(text: Column) -> Column:
@@ -125,6 +137,76 @@ def linked_prints(classes: DataFrame) -> DataFrame:
     return same.union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
+def nearest(rows: pa.Table, most: int) -> pa.Table:
+    """a, b, more: for each row with ``few`` those ``most`` other rows of its band and of other labels that have the nearest
+    sketches, of all that may be similar; whether there are more. Rows: band, few, fp, label, size, bits."""
+    band, few, fp, label, size = (rows[c].to_numpy() for c in ("band", "few", "fp", "label", "size"))
+    words = pc.list_value_length(rows["bits"]).to_numpy()
+    flat, starts = pc.list_flatten(rows["bits"]).to_numpy().view(np.uint64), np.cumsum(words) - words
+
+    def sketches(at: np.ndarray, width: int) -> np.ndarray:
+        own = flat[starts[at][:, None] + np.arange(words[at[0]])]
+        return own if own.shape[1] == width else own[:, :width] ^ own[:, width:]
+
+    ends, near = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
+    order = np.argsort(band, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        probes, others = members[few[members]], members[~few[members]]
+        for width in np.unique(words[probes]):
+            for theirs in (width // 2, width, width * 2):  # further lengths are of sets whose sizes are too different
+                own, met = probes[words[probes] == width], others[words[others] == theirs]
+                step = 4_000_000 // max(1, len(met))
+                for i in range(0, len(own) if len(met) else 0, max(1, step)):
+                    part = own[i : i + max(1, step)]
+                    x, y = (sketches(at, min(width, theirs)) for at in (part, met))
+                    apart = np.zeros((len(part), len(met)), np.int32)
+                    for w in range(x.shape[1]):
+                        apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+                    may = apart * (1 + SIMILARITY) <= (size[part][:, None] + size[met][None, :]) * (1 - SIMILARITY) + 1e-6
+                    p, q = np.nonzero(may & (label[part][:, None] != label[met][None, :]))
+                    ends.append(np.stack((part[p], met[q])))
+                    near.append(apart[p, q])
+    (own, met), near = np.concatenate(ends, axis=1), np.concatenate(near)
+    order = np.lexsort((fp[met], near, own))
+    own, met = own[order], met[order]
+    _, first, counts = np.unique(own, return_index=True, return_counts=True)
+    keep = np.arange(len(own)) - np.repeat(first, counts) < most
+    x, y, more = fp[own][keep], fp[met][keep], np.repeat(counts > most, counts)[keep]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "more": more})
+
+
+def candidates(shared: DataFrame, labels: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """a, b, more: what members of bands (band, fp) with several labels try next. Bands with more than ``BLOCK`` members meet in
+    blocks, smaller ones are dealt."""
+    grouped = shared.select("band", "fp").join(labels.hint("merge"), "fp")  # no broadcasts: each round's would stay with the driver
+    sizes = grouped.groupBy("band", "label").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    bands = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), blocks(F.sum("n") - F.max("n")).alias("probes"), blocks(F.sum("n")).alias("others"), F.count("*").alias("groups"))
+    mixed = cut(grouped.join(bands.filter("groups > 1").drop("groups").hint("merge"), "band").join(texts.select("fp", "size", "bits").hint("merge"), "fp"))
+    deals = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), mixed.count() // 5000)
+    deal = F.when(F.col("others") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(deals)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
+    columns = [deal.alias("deal"), "band", "fp", "label", "size", "bits"]
+    few = mixed.filter("label <> most").select(*columns, F.lit(True).alias("few"), own("probes").alias("i"), every("others").alias("j"))
+    all_ = mixed.select(*columns, F.lit(False).alias("few"), every("probes").alias("i"), own("others").alias("j"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        return nearest(rows, most)
+
+    return cut(few.union(all_).groupBy("deal", "i", "j").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (fp, label: the least of its group), where groups are one that edges (a, b) link."""
+    ends = dealt(edges, "a", labels.select(F.col("fp").alias("a"), F.col("label").alias("x")).hint("merge"), "b").join(labels.select(F.col("fp").alias("b"), F.col("label").alias("y")).hint("merge"), "b")
+    links_ = cut(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if links_.isEmpty():
+        return labels
+    names = labels.select("label").distinct().join(components(links_).select(F.col("fp").alias("label"), F.col("label").alias("new")), "label", "left")
+    return cut(dealt(labels, "label", names, "fp").select("fp", F.coalesce("new", "label").alias("label")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), label: equal for the rows of one group."""
     known = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # texts are found again by their hash, not stored
@@ -133,7 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = rows.groupBy("fp").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "fp")
     least = banded.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(banded.join(least, "band"))
-    tried = cut(shared.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).union(linked_prints(classes)).distinct())
+    often = shared.filter("fp <> least").groupBy("fp", "least").agg(F.count("*").alias("n")).groupBy("fp").agg(F.max_by("least", F.struct("n", "least")).alias("least"))
+    tried = cut(often.select(F.col("least").alias("a"), F.col("fp").alias("b")).union(linked_prints(classes)).distinct())
     if tried.isEmpty():  # no two classes share a band or a near fingerprint
         return rows.select("doc_id", "h", F.col("fp").alias("label"))
 
@@ -141,20 +224,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = rows.join(some, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     texts = stored(dealt(known, "h", needed, "doc_id").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("text", "size", "bits"))))
     edges = similar(cut(possible(tried, texts)), texts)
-
-    grouped = shared.select("band", "fp").join(components(edges), "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
-    sizes = grouped.groupBy("band", "label").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("blocks"), F.count("*").alias("groups"))
-    mixed = cut(grouped.join(most.filter("groups > 1").drop("groups"), "band").join(texts.select("fp", "size", "bits"), "fp"))
-    few = mixed.filter("label <> most").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    all_ = mixed.select("band", F.col("fp").alias("other"), F.col("label").alias("their"), F.col("size").alias("n"), F.col("bits").alias("marks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    met = (few["band"] == all_["band"]) & (few["block"] == all_["block"]) & (F.col("label") != F.col("their"))
-    pairs = few.join(all_, met & may_be_similar(F.col("size"), F.col("bits"), F.col("n"), F.col("marks")))
-    pairs = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    edges = edges.union(similar(cut(pairs.join(tried, ["a", "b"], "left_anti")), texts))
-
-    labels = classes.select("fp").join(components(edges), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    return dealt(rows.select("doc_id", "h", "fp"), "fp", labels, "doc_id").select("doc_id", "h", "label")
+    labels = cut(texts.select("fp").join(components(edges).hint("merge"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
+    most, more = NEAREST, True
+    while more:  # a round that leaves no pair out is the last one
+        pairs = candidates(shared, labels, texts, most)
+        new = cut(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            labels, tried = joined(labels, similar(new, texts)), tried.union(new)
+        most, more = most * FURTHER, not pairs.filter("more").isEmpty()
+
+    named = classes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return dealt(rows.select("doc_id", "h", "fp"), "fp", named, "doc_id").select("doc_id", "h", "label")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from lodestone.llm import shingles
 from pyspark.sql import functions as F
 
@@ -76,3 +78,65 @@ def test_edited_copies_leave(spark, monkeypatch, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect() if r.doc_id is not None)
     assert len(set(label)) < 120 and got == sorted({*label, 900, 902, 903})
+
+
+@pytest.mark.parametrize("block", [1000, 60])
+def test_large_groups_try_few_pairs(spark, monkeypatch, block):
+    """Copies that are all alike, where the least member of each band is one with too many edits, so that it links none of them."""
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base = rng.choices(words, k=150)
+
+    def edited(n):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), n):
+            copy[at] = rng.choice(words)
+        return " ".join(copy)
+
+    order = lambda t: np.uint64(xxhash.xxh64_intdigest(shingles.shingle_set(t).tobytes(), 42)).astype(np.int64)
+    texts = sorted({edited(4) for _ in range(2000)}, key=order)[:60]
+    texts += [t for t in {edited(1) for _ in range(300)} if order(t) > order(texts[-1])]
+    sets = [shingles.shingle_set(t) for t in texts]
+    label = np.arange(len(texts))
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+    tried, verify = [], shingles.similar
+
+    def counted(pairs, texts):
+        tried.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(shingles, "similar", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.keep_first(docs).collect()) == sorted(set(label.tolist()))
+    assert links > 30_000 and sum(tried) < 20 * len(texts)
+
+
+def test_sketches_of_long_texts(spark):
+    """Sketches grow with the sets, so that those of long texts tell 0.7 from 0.8 too, also where one is twice as long."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, other in ((5000, 5000), (4097, 4000), (4096, 4200), (20000, 20000), (5000, 900)):
+        for wanted in (0.7, 0.801):
+            both = int(wanted * (size + other) / (1 + wanted))
+            pool = np.unique(rng.integers(0, 2**64, size + other, np.uint64))
+            pool = rng.permutation(pool)
+            x = pool[:size]
+            y = np.concatenate((pool[: min(both, other)], pool[size : size + max(0, other - both)]))
+            likeness = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            rows.append((likeness, len(x), shingles.sketch(np.unique(x)), len(y), shingles.sketch(np.unique(y))))
+    df = spark.createDataFrame(rows, "likeness double, n long, a array<long>, m long, b array<long>")
+    may = shingles.may_be_similar
+    got = df.select("likeness", may(F.col("n"), F.col("a"), F.col("m"), F.col("b")).alias("may"), may(F.col("m"), F.col("b"), F.col("n"), F.col("a")).alias("turned"))
+    for r in got.collect():
+        assert r.may == r.turned and (r.may if r.likeness >= 0.8 else not r.may)
+    flat = [(0, i == 0, i, i, len_, bits) for _, n, a, m, b in rows for i, (len_, bits) in enumerate(((n, a), (m, b)))]
+    for at in range(0, len(flat), 2):
+        t = pa.table({c: [r[i] for r in flat[at : at + 2]] for i, c in enumerate(("band", "few", "fp", "label", "size", "bits"))})
+        assert len(shingles.nearest(t, 1)) == (rows[at // 2][0] >= 0.8)
