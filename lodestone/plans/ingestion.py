@@ -51,11 +51,11 @@ def write_and_read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Files of ``part`` and ``nation`` as CSV, with quotes, line ends and empty fields in them."""
+    """Files of ``part`` as CSV, with quotes, line ends and empty fields in them: as many as the contract of files needs."""
     folder = f"{fresh_folder(spark)}/csv"
     part = table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('say "'), "p_name", F.lit('",\nthen'))).otherwise(F.col("p_name")))
     part = part.withColumn("p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")))
-    part.repartition(4, "p_partkey").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/part")
+    csv_sources.write_csv(part, f"{folder}/part")
     return folder
 
 

@@ -1,4 +1,5 @@
-"""CSV sources: strict reading with a report of every broken record, contract checks, conservative types, previews.
+"""CSV sources: strict reading with a report of every broken record, contract checks, conservative types, previews, and writing by
+the contract.
 
 Files are bounded by the contract (``most_bytes``), so a task parses a file at a time: quotes may run over lines, and only a parser
 that has read the file from its beginning knows which line ends end a record. Larger files are refused by their length, which
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Shapes of logical types, in order of precedence.
@@ -153,6 +154,25 @@ def read_csv_strict(spark: SparkSession, path: str, columns: list[str] | None =
     return rows.select(F.col("file").alias("_file"), F.col("row").alias("_row"), *[F.col("fields")[i].alias(c) for i, c in enumerate(columns)])
 
 
+def write_csv(rows: DataFrame, path: str, limits: Contract = Contract(), least: int = 4) -> None:
+    """``rows`` as text in CSV files below ``path``, as many as keep each within the contract's rows and bytes whatever the lengths of
+    its records; dealt ``least`` ways at least. Null and empty fields are alike. What no file can hold under the contract (a record longer
+    than a file, a file of nothing but empty fields) is written, and readers report it."""
+    text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+    # At most two quotes, a separator, and each quote doubled.
+    sized = text.withColumn("_bytes", sum(2 * F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) + 3 for c in rows.columns).cast("long"))
+    total, count = sized.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count("*")).first()
+    # A record beyond half a file has one of its own. The others begin below the half, so that they end within the file.
+    half = max(1, (limits.most_bytes - sum(2 * len(c.encode()) + 3 for c in rows.columns)) // 2)
+    deals = max(least, -(-total // half), -(-2 * count // limits.most_rows))
+    dealt = sized.withColumns({"_hash": F.xxhash64(*[f"`{c}`" for c in rows.columns]), "alone": F.col("_bytes") > half}).withColumn("deal", F.pmod("_hash", F.lit(deals)))
+    before = Window.partitionBy("deal", "alone").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
+    place, begins = F.count("*").over(before), F.coalesce(F.sum("_bytes").over(before), F.lit(0))
+    cuts = {"by_rows": F.floor(place / F.lit(limits.most_rows)), "by_bytes": F.when(F.col("alone"), place).otherwise(F.floor(begins / F.lit(half)))}
+    exact = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    dealt.withColumns(cuts).drop("_bytes", "_hash").write.partitionBy("deal", "alone", *cuts).options(**exact).csv(path)
+
+
 def infer_types(rows: DataFrame) -> DataFrame:
     """(column, type) of text columns in one pass: the first of boolean, integer, decimal, datetime, date that fits all
     values that are not null; text otherwise, and for columns without values."""

@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lodestone.operators import evaluation, ingest
 from lodestone.sources import csv, files
 
@@ -64,6 +65,40 @@ def test_every_fault_is_reported_and_none_fails_the_query(spark, tmp_path):
     assert list(csv.records(b"", csv.Contract())) == [(-1, "empty", "no header", None)]
 
 
+def test_files_keep_to_the_contract(spark, tmp_path):
+    rng = random.Random(5)
+    limits = csv.Contract(most_bytes=2000, most_rows=9, longest=1500)
+    odd = [' a ', 'x\ry', 'q"\\', None, "\t", "a,b\r\nc", "", "é\u2028", '"' * 700, "ß" * 900]
+    rows = [(i, rng.choice(odd[:-2]) if i % 40 else odd[-1 - i // 40 % 2]) for i in range(400)] + [(None, "same")] * 50
+    csv.write_csv(spark.createDataFrame(rows, "`a.b` long, c string").repartition(3), f"{tmp_path}/out", limits)
+    found = csv.csv_records(spark, f"{tmp_path}/out", limits)
+    verdicts = csv.csv_verdicts(found).collect()
+    assert 50 <= len(verdicts) <= 150 and all(r.accepted for r in verdicts), csv.csv_faults(found).collect()
+    assert max(f.stat().st_size for f in (tmp_path / "out").rglob("*.csv")) <= 2000
+    got = [(r.fields[0], r.fields[1]) for r in found.filter("row > 0").collect()]
+    assert sorted(got, key=repr) == sorted(((None if a is None else str(a), c or None) for a, c in rows), key=repr)
+    csv.write_csv(spark.createDataFrame([], "a long"), f"{tmp_path}/none", limits)
+    assert csv.csv_records(spark, f"{tmp_path}/none", limits).count() == 0
+    wide = spark.createDataFrame([("x" * 3000,), ("y",)], "a string")
+    csv.write_csv(wide, f"{tmp_path}/wide", limits)
+    assert sorted(r.rule for r in csv.csv_faults(csv.csv_records(spark, f"{tmp_path}/wide", limits)).collect()) == ["too_large"]
+
+
+def large_part(spark, path):
+    """More than four files of a contract's bytes hold."""
+    part = spark.range(600).selectExpr("id AS p_partkey", "concat('name ', id, ' ', repeat('x', 90000)) AS p_name", "'b' AS p_brand", "'LARGE' AS p_type", "CAST(id % 50 AS INT) AS p_size", "1.5D AS p_retailprice")
+    part.repartition(4).write.parquet(f"{path}/part.parquet")
+    name = lambda i: f"name {i} " + "x" * 90000
+    return {str(i): (f'say "{name(i)}",\nthen' if i % 5 == 0 else name(i), "b" if i % 7 else None, "LARGE", str(i % 50)) for i in range(600)}
+
+
+def test_preview_of_a_table_beyond_four_files(spark, tmp_path):
+    want = large_part(spark, tmp_path)
+    got = {r.column: r for r in entry.queries()["csv_preview"](spark, str(tmp_path)).collect()}
+    assert {c: r.type for c, r in got.items()} == {"p_partkey": "integer", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "integer"} and {r.row_count for r in got.values()} == {600}
+    assert got["p_name"].sample == [want[str(i)][0] for i in range(3)] and got["p_brand"].sample == [None, "b", "b"]
+
+
 def test_headers_that_differ_and_nothing_to_accept(spark, tmp_path):
     for named in ({"a": "x,y\n1,2\n", "b": "x,z\n1,2\n"}, {"a": "x,y\n1\n"}):
         with pytest.raises(ValueError):
