@@ -99,6 +99,12 @@ def test_preview_of_a_table_beyond_four_files(spark, tmp_path):
     assert got["p_name"].sample == [want[str(i)][0] for i in range(3)] and got["p_brand"].sample == [None, "b", "b"]
 
 
+def test_rows_of_a_table_beyond_four_files(spark, tmp_path):
+    want = large_part(spark, tmp_path)
+    got = entry.queries()["read_csv_strict"](spark, str(tmp_path)).collect()
+    assert len(got) == 600 and {r[0]: tuple(r)[1:] for r in got} == want
+
+
 def test_headers_that_differ_and_nothing_to_accept(spark, tmp_path):
     for named in ({"a": "x,y\n1,2\n", "b": "x,z\n1,2\n"}, {"a": "x,y\n1\n"}):
         with pytest.raises(ValueError):
