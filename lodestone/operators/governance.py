@@ -47,12 +47,13 @@ def link(org: str, sequence: int, actor: str | None, action: str, metadata: str
 
 
 CHAIN = "org_id string, sequence long, actor string, action string, metadata string, created_at string, prev_hash string, hash string"
+HEADS = "org_id string, sequence long, hash string"
 
 
-def append_audit_chain(events: DataFrame) -> DataFrame:
+def append_audit_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Events (org_id, event_id, actor, action, metadata, created_at) with sequence, prev_hash and hash, by org in order of
-    event_id. A chain is sequential in its org; its rows stream through one task in order, and only the last link is
-    held."""
+    event_id; where ``heads`` (:func:`chain_heads`) has an org's last link, its chain goes on from there. A chain is sequential in
+    its org; its rows stream through one task in order, and only the last link is held."""
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         org, sequence, before = None, 0, GENESIS
@@ -61,13 +62,25 @@ def append_audit_chain(events: DataFrame) -> DataFrame:
             for e in b.itertuples(index=False):
                 if e.org_id != org:
                     org, sequence, before = e.org_id, 0, GENESIS
+                if e.hash is not None:
+                    sequence, before = e.sequence, e.hash
+                    continue
                 sequence += 1
                 own = link(org, sequence, e.actor, e.action, e.metadata, e.created_at, before)
                 rows.append((org, sequence, e.actor, e.action, e.metadata, e.created_at, before, own))
                 before = own
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
 
-    return events.repartition("org_id").sortWithinPartitions("org_id", "event_id").mapInPandas(chain, CHAIN)
+    placed = events.select("org_id", "event_id", "actor", "action", "metadata", "created_at", F.lit(0).cast("long").alias("sequence"), F.lit(None).cast("string").alias("hash"))
+    if heads is not None:
+        placed = placed.unionByName(heads, allowMissingColumns=True)
+    # An org's last link comes before its events.
+    return placed.repartition("org_id").sortWithinPartitions("org_id", F.col("hash").isNull(), "event_id").mapInPandas(chain, CHAIN)
+
+
+def chain_heads(links: DataFrame) -> DataFrame:
+    """(org_id, sequence, hash): each org's last link."""
+    return links.groupBy("org_id").agg(F.max("sequence").alias("sequence"), F.max_by("hash", "sequence").alias("hash"))
 
 
 def row_hash() -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.text import chunk_text, collapse_whitespace, injection_labels, redact
-from lodestone.operators.governance import CHAIN, GENESIS, link
+from lodestone.operators.governance import CHAIN, HEADS, append_audit_chain, chain_heads
 from lodestone.operators.retrieval import embed_incremental
 from lodestone.sources.generations import active, commits, publish
 
@@ -49,31 +49,50 @@ def deliveries_once(deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
     return with_time(deliveries).withWatermark("ts", late).dropDuplicatesWithinWatermark(["job", "step"])
 
 
-def audit_chain(events: DataFrame) -> DataFrame:
-    """Events (org_id, event_id, actor, action, metadata, created_at) linked to their org's chain as they arrive; the state
-    is the last sequence and hash. Within a batch events are taken in order of event_id."""
+@dataclass(frozen=True)
+class AuditChain:
+    """A stream of events (org_id, event_id, actor, action, metadata, created_at) that :func:`drain` links to chains."""
 
-    def extend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sequence, before = state.get if state.exists else (0, GENESIS)
-        rows = []
-        for e in pd.concat(list(batches)).sort_values("event_id").itertuples(index=False):
-            sequence += 1
-            own = link(key[0], sequence, e.actor, e.action, e.metadata, e.created_at, before)
-            rows.append((key[0], sequence, e.actor, e.action, e.metadata, e.created_at, before, own))
-            before = own
-        state.update((sequence, before))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
+    events: DataFrame
 
-    return events.groupBy("org_id").applyInPandasWithState(extend, CHAIN, "sequence long, hash string", "append", GroupStateTimeout.NoTimeout)
 
+def audit_chain(events: DataFrame) -> AuditChain:
+    """Events linked to their org's chain as they arrive; what is kept of a chain is the last sequence and hash. Within a batch events
+    are taken in order of event_id, which is no work for a group's function: a stream has no sort, and an org's events need not fit
+    into memory. So each batch is sorted and linked as a table is."""
+    return AuditChain(events)
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
+
+def drain(stream: DataFrame | AuditChain, folder: str) -> DataFrame:
     """Runs an append stream over all files there are, into a Parquet table, and reads it."""
+    if isinstance(stream, AuditChain):
+        return drain_chain(stream.events, folder)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/table")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+def drain_chain(events: DataFrame, folder: str) -> DataFrame:
+    """:func:`drain` of an audit chain. Batches are written under their number and go on from the last links as of the batch before,
+    which stay until the next batch is done: a repeated batch replaces itself by the same links."""
+    spark, names = events.sparkSession, [c.split()[0] for c in CHAIN.split(", ")]
+
+    def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        heads = session.read.schema(HEADS).parquet(f"{folder}/heads/{(number - 1) % 2}") if number else None
+        append_audit_chain(batch, heads).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        new = session.read.schema(CHAIN).parquet(f"{folder}/table/batch={number}").select("org_id", "sequence", "hash")
+        chain_heads(new if heads is None else new.unionByName(heads)).write.mode("overwrite").parquet(f"{folder}/heads/{number % 2}")
+
+    events.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    try:
+        return spark.read.schema(CHAIN).parquet(f"{folder}/table").select(*names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHAIN)  # no batch has come
+
+
 def drain_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Runs an update stream over all files there are; the last value of each key counts. Batches are written under their
     id, so that a repeated batch replaces itself."""
